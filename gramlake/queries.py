@@ -1,11 +1,15 @@
-"""Queries of the library's own operators, and their SQL."""
+"""Queries of the library's own operators, and their SQL: gathered from the modules that define them."""
 
 from __future__ import annotations
 
+from gramlake.operators import linear, tables
+
+MODULES = (tables, linear)
+
 
 def queries():
-    return {}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {k: q for m in MODULES for k, q in m.SQL.items()}
