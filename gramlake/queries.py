@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gramlake.operators import linear, tables
+from gramlake.functions import scalars
+from gramlake.operators import diagnostics, joins, linear, sampling, tables
 
-MODULES = (tables, linear)
+MODULES = (tables, linear, diagnostics, joins, scalars, sampling)
 
 
 def queries():
