@@ -20,9 +20,9 @@ WIDTH = 0.02
 GROUP_ROWS = 200
 #: A document is rejected above factor * the quantile of its group, and never below the floor: (measure, quantile, factor, floor).
 FENCES = (
-    ("symbols_per_word", 0.75, 4.0, 0.5),
-    ("repeat_share", 0.75, 4.0, 0.10),
-    ("dup_line_share", 0.75, 4.0, 0.30),
+    ("symbols_per_word", 0.75, 4.0, 0.25),
+    ("repeat_share", 0.75, 4.0, 0.20),
+    ("dup_line_share", 0.75, 4.0, 0.50),
     ("chars_per_word", 0.90, 2.0, 12.0),
     ("upper_share", 0.75, 4.0, 0.50),
 )
