@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from gramlake.functions import scalars
-from gramlake.operators import diagnostics, joins, linear, models, sampling, tables
+from gramlake.operators import diagnostics, joins, linear, mesh, models, sampling, tables
 
-MODULES = (tables, linear, diagnostics, joins, scalars, sampling, models)
+MODULES = (tables, linear, diagnostics, joins, scalars, sampling, models, mesh)
 
 
 def queries():
