@@ -59,6 +59,7 @@ def solve(n: int, weight: float, mean: Sequence[float], cov: Sequence[float], ri
     dof = n - rank
     sigma2 = sse / dof if dof > 0 else math.nan
     var = np.concatenate([[1 / weight + mean[:p] @ inverse @ mean[:p]], np.diag(inverse)]) * sigma2
+    yy = float(yy)
     r2 = 1 - sse / yy if yy > 0 else float(sse == 0)
     k = rank + 1
     log_lik = -n / 2 * (math.log(2 * math.pi) + math.log(max(sse / n, 1e-300)) + 1)
