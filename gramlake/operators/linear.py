@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from gramlake.functions.special import student_t_ppf
 from gramlake.session import table
 
+#: Terms beyond which products are summed as matrices instead of one expression a pair.
+WIDE = 16
 MODEL = "n long, weight double, coef array<double>, std_error array<double>, sigma2 double, sse double, r_squared double, adj_r_squared double, rmse double, log_lik double, aic double, aicc double, bic double"
 
 
@@ -39,6 +41,29 @@ def moments(df: DataFrame, xs: Sequence[str], y: str, by: Sequence[str] = (), we
     return sums.select(*by, "n", "weight", mean.alias("mean"), cov.alias("cov"))
 
 
+def wide_moments(df: DataFrame, xs: Sequence[str], y: str) -> dict:
+    """moments for many terms, whose pairs would be too many expressions: blocks of rows become partial matrices on the
+    executors, centred by means from a first pass, and their entries are summed by position."""
+    names = [*xs, y]
+    df = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in names]).dropna()
+    head = df.agg(F.count("*").alias("n"), F.array(*[F.avg(c) for c in names]).alias("mean")).first()
+    n, mean = head["n"], np.array(head["mean"], float)
+    at = np.triu_indices(len(names))
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(names), len(names)))
+        for b in batches:
+            v = b.to_numpy(float) - mean
+            total += v.T @ v
+        yield pd.DataFrame({"k": np.arange(len(at[0])), "v": total[at]})
+
+    sums = df.mapInPandas(partial, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+    cov = np.zeros(len(at[0]))
+    for r in sums:
+        cov[r["k"]] = r["v"]
+    return {"n": n, "mean": mean, "cov": unpack(cov, len(names))}
+
+
 def unpack(cov: Sequence[float], p: int) -> np.ndarray:
     out = np.zeros((p, p))
     out[np.triu_indices(p)] = cov
@@ -87,6 +112,9 @@ def fit(df: DataFrame, xs: Sequence[str], y: str, by: Sequence[str] = (), weight
 
 
 def fit_one(df: DataFrame, xs: Sequence[str], y: str, weight: str | None = None, ridge: float = 0.0) -> dict:
+    if weight is None and len(xs) > WIDE:
+        m = wide_moments(df, xs, y)
+        return solve(m["n"], float(m["n"]), m["mean"], m["cov"][np.triu_indices(len(xs) + 1)], ridge)
     r = moments(df, xs, y, (), weight).first()
     return solve(r["n"], r["weight"], r["mean"], r["cov"], ridge)
 
@@ -213,6 +241,8 @@ def stepwise(m: dict, names: Sequence[str], criterion: str = "bic") -> list[str]
 
 
 def full_moments(df: DataFrame, xs: Sequence[str], y: str) -> dict:
+    if len(xs) > WIDE:
+        return wide_moments(df, xs, y)
     r = moments(df, xs, y).first()
     return {"n": r["n"], "mean": np.array(r["mean"]), "cov": unpack(r["cov"], len(xs) + 1)}
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from gramlake.functions import scalars
-from gramlake.operators import diagnostics, joins, linear, mesh, models, sampling, tables
+from gramlake.operators import advanced, diagnostics, joins, linear, mesh, models, sampling, tables
 from gramlake.plans import service
 
-MODULES = (tables, linear, diagnostics, joins, scalars, sampling, models, mesh, service)
+MODULES = (tables, linear, diagnostics, joins, scalars, sampling, models, advanced, mesh, service)
 
 
 def queries():
