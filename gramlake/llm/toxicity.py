@@ -90,9 +90,16 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, weight: n
     start = float(np.log(rate / (1 - rate)))
     if not len(toxic) or toxic.min() == toxic.max():
         return Classifier({}, start)
-    flat = np.concatenate([a for a, _ in texts])
-    owner = np.repeat(np.arange(len(texts)), [len(a) for a, _ in texts])
+    # features in fewer than LEAST texts weigh nothing: most go before they are named, by counts of hash ranges
+    range_of = lambda a: (a >> np.uint64(39)).astype(np.int32)
+    counts = np.zeros(1 << 25, np.uint16)
+    for a, _ in texts:
+        np.add.at(counts, range_of(a), 1)
+    common = [a[counts[range_of(a)] >= LEAST] for a, _ in texts]
+    flat = np.concatenate(common)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(a) for a in common])
     names, code = np.unique(flat, return_inverse=True)
+    del flat, common, counts
     pos = np.bincount(code, toxic[owner], len(names))
     neg = np.bincount(code, 1 - toxic[owner], len(names))
     n1, n0 = toxic.sum(), (1 - toxic).sum()
@@ -158,6 +165,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     f, g = (rows[c].to_pylist() for c in ("f", "g"))
     order = sorted(range(len(f)), key=f.__getitem__)
     toxic = rows["toxic"].to_numpy().astype(float)[order] if len(f) else np.empty(0)
+    del rows
     seen = {t: max(1, int((toxic == t).sum())) for t in (0, 1)}
     weight = np.array([totals.get(int(t), 1) / seen[int(t)] for t in toxic])
     return fit([(np.frombuffer(f[k], np.uint64), np.frombuffer(g[k], np.uint64)) for k in order], toxic, weight)
