@@ -19,6 +19,9 @@ from gramlake.operators.linear import fit_one, full_moments, mean_column
 from gramlake.operators.models import DENSE_ROWS, KERNELS, glm, kriging_fit
 from gramlake.session import table
 
+#: Stations of layered profiles, which are broadcast.
+MAX_STATIONS = 1_000
+
 # from moments: m = {n, mean, cov} of inputs and output, centred sums
 
 
@@ -263,7 +266,9 @@ def layered(points: DataFrame, profiles: DataFrame, t: float, k: int = 3, power:
     value = F.when(inside, F.col("temperature") + (F.lit(t) - F.col("t")) / (F.col("t1") - F.col("t")) * (F.col("v1") - F.col("temperature"))).otherwise(F.col("temperature"))
     now = p.select("name", "x", "y", "depth", value.alias("v"))
     st = now.groupBy("name", "x", "y").agg(F.array_sort(F.collect_list(F.struct("depth", "v"))).alias("at"))
-    pairs = points.select("pid", F.col("x").alias("px"), F.col("y").alias("py"), F.col("depth").alias("z")).join(F.broadcast(st) if st.count() <= 1_000 else st, F.lit(True))
+    if st.count() > MAX_STATIONS:
+        raise ValueError(f"over {MAX_STATIONS} stations: map each region with its own")
+    pairs = points.select("pid", F.col("x").alias("px"), F.col("y").alias("py"), F.col("depth").alias("z")).join(F.broadcast(st), F.lit(True))
     lower = F.filter("at", lambda a: a["depth"] <= F.col("z"))
     upper = F.filter("at", lambda a: a["depth"] >= F.col("z"))
     a, b = F.element_at(lower, -1), F.get(upper, F.lit(0))
