@@ -57,16 +57,16 @@ class Cascade:
     if the first level that lacks it is an even one, or if all have it and the last is odd.
 
     A level is built by a distributed aggregate of its 64-bit words; what comes to the driver is the sum of the levels,
-    about BITS_A_KEY bits a listed key and less for the false positives, and never over max_bytes: `levels` is None then
-    and `contains` is not to be used (see `membership`).
+    about BITS_A_KEY bits a listed key and less for the false positives, and never over max_bytes: beyond, `levels` is None
+    and `mark` joins the list instead.
     """
 
     def __init__(self, listed: DataFrame, universe: DataFrame, max_bytes: int = MAX_BYTES):
         """listed, universe: one string column `key` each. Null keys are never listed."""
-        listed = stage(listed.where("key IS NOT NULL").distinct(), "listed")
+        self.listed = listed = stage(listed.where("key IS NOT NULL").distinct(), "listed")
         others = universe.where("key IS NOT NULL").distinct().join(listed, "key", "left_anti")
         self.levels: list[tuple[int, dict[int, int]]] | None = []
-        temporary = [listed]
+        temporary = []
         inside, outside = listed, others
         while True:
             n = inside.count()
@@ -101,6 +101,13 @@ class Cascade:
             out &= bit(place)
         return out
 
+    def mark(self, df: DataFrame, key: str, name: str) -> DataFrame:
+        """df with a boolean column: whether its key is listed. A filter's probe, or a join if the list exceeds the bound."""
+        if self.levels is not None:
+            return df.withColumn(name, F.coalesce(self.contains(F.col(key)), F.lit(False)))
+        found = self.listed.select(F.col("key").alias("listed_key"), F.lit(True).alias(name))
+        return df.drop(name).join(found, F.col(key) == F.col("listed_key"), "left").drop("listed_key").withColumn(name, F.coalesce(name, F.lit(False)))
+
     def contains(self, key: Column) -> Column:
         """Whether a key of the universe is listed."""
         verdict = F.lit(len(self.levels) % 2 == 1)

@@ -315,6 +315,10 @@ def test_cascade_is_exact_over_its_universe(spark, monkeypatch):
     c = url_cascade.Cascade(keys.where("key LIKE '%7'"), keys)
     assert len(c.levels) > 2
     assert keys.where(c.contains(F.col("key")) != F.col("key").endswith("7")).count() == 0
+    large = url_cascade.Cascade(keys.where("key LIKE '%7'"), keys, max_bytes=16)
+    assert large.levels is None
+    for each in (c, large):
+        assert each.mark(keys, "key", "on").where(F.col("on") != F.col("key").endswith("7")).count() == 0
     none = url_cascade.Cascade(keys.where("false"), keys)
     assert keys.where(none.contains(F.col("key"))).count() == 0
 
