@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gramlake.llm.runtime import stage
+
 #: Terms of the inverted distribution: rates are at most MAX_RATE, where the tail beyond is under 1e-15.
 MAX_RATE, TERMS = 8.0, 48
 
@@ -61,7 +63,8 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     A null source is the source ''. Null doc_ids and texts hash as ''. Identical rows draw the same count. An empty table
     gives an empty result.
     """
-    table = rates(docs, weights, temperature, scale).withColumnsRenamed({"src": "mix_src", "rate": "mix_rate"})
+    # written first, so that the plan knows its size: texts are not shuffled to meet a few sources
+    table = stage(rates(docs, weights, temperature, scale).withColumnsRenamed({"src": "mix_src", "rate": "mix_rate"}), "rates")
     plain = docs.drop("mix_rate", "mix_copy", "mix_key", "mix_src")
     rows = plain.withColumn("mix_src", F.coalesce("source", F.lit(""))).join(table, "mix_src").drop("mix_src")
     digest = F.md5(F.coalesce("text", F.lit("")))
