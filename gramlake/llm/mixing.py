@@ -58,7 +58,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     The count inverts the Poisson distribution at a uniform number hashed from (doc_id, text, seed), so that a lost task
     repeats itself exactly and copies of a doc_id with other texts draw on their own. Appended: mix_rate (double), mix_copy
     (int, from 0), mix_key (double, the place in the global order). Columns of those names in docs are replaced; others go
-    through. The order is a range partitioning on mix_key, so no source or document gathers in a task.
+    through. The order is a partitioning into equal ranges of mix_key, so no source or document gathers in a task.
 
     A null source is the source ''. Null doc_ids and texts hash as ''. Identical rows draw the same count. An empty table
     gives an empty result.
@@ -71,4 +71,8 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     draw = poisson_count(uniform(F.col("doc_id"), digest, F.lit(seed)), F.col("mix_rate"))
     rows = rows.withColumn("mix_n", draw).where("mix_n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_n") - 1))).drop("mix_n")
     rows = rows.withColumn("mix_key", uniform(F.col("doc_id"), digest, F.lit(seed), F.lit("order"), F.col("mix_copy")))
-    return rows.repartitionByRange("mix_key").sortWithinPartitions("mix_key") if shuffle else rows
+    if not shuffle:
+        return rows
+    # keys are uniform in [0, 1): equal ranges are even without a sampling pass over the texts
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionById(parts, F.floor(F.col("mix_key") * parts).cast("int")).sortWithinPartitions("mix_key")
