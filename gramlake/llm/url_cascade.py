@@ -142,7 +142,7 @@ def judged(pages: DataFrame, rules: tuple = RULES, blocked: tuple | None = None)
     cascades = {}
     for name, listed in lists.items():
         if listed:
-            cascades[name] = Cascade(spark.createDataFrame([(k,) for k in listed], "key string"), universe)
+            cascades[name] = Cascade(spark.range(1).select(F.explode(F.array(*map(F.lit, listed))).alias("key")), universe)
     fits = F.array().cast("array<struct<len:int,hlen:int,key:string,verdict:string>>")
     for v in ("block", "allow"):
         if v in cascades:
