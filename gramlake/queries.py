@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from gramlake.functions import scalars
-from gramlake.operators import advanced, diagnostics, joins, linear, mesh, models, sampling, tables
+from gramlake.functions import casts, scalars
+from gramlake.operators import advanced, diagnostics, edits, joins, linear, mesh, models, sampling, tables
 from gramlake.plans import service
 
-MODULES = (tables, linear, diagnostics, joins, scalars, sampling, models, advanced, mesh, service)
+MODULES = (tables, linear, diagnostics, joins, scalars, sampling, models, advanced, mesh, service, casts, edits)
 
 
 def queries():
