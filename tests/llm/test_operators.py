@@ -102,6 +102,25 @@ def test_lm_prefers_seen_order(spark):
     assert got and all(r.score > r.base_score / 3 for r in got)
 
 
+def test_lm_scores_do_not_depend_on_what_fits(spark, docs, monkeypatch):
+    def scores():
+        return sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in bloom_lm.scored(docs).collect())
+
+    whole = scores()
+    for name, bound in (("MAX_BYTES", 1000), ("HEAD", 20), ("PART", 2000)):
+        with monkeypatch.context() as m:
+            m.setattr(bloom_lm, name, bound)
+            if name == "PART":  # many shards, broadcast and not
+                shards = scores()
+                m.setattr(bloom_lm, "MAX_BYTES", 1000)
+                assert scores() == shards
+            else:
+                assert scores() == whole
+    with monkeypatch.context() as m:
+        m.setattr(bloom_lm, "HEAD", 0)
+        assert scores() == whole
+
+
 def test_lm_filter_holds_counts(spark):
     keys = np.arange(1, 5000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     counts = 1 + np.arange(4999) % 700
