@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from gramlake.llm.runtime import stage
 
-#: Terms of the inverted distribution: rates are at most MAX_RATE, where the tail beyond is under 1e-15.
+#: Terms of the inverted distribution of one draw: its rate is at most MAX_RATE, where the tail beyond is under 1e-15.
+#: Higher rates are sums of independent draws.
 MAX_RATE, TERMS = 8.0, 48
 
 
@@ -30,11 +31,19 @@ def poisson_count(u: Column, rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step, lambda acc: acc["n"])
 
 
+def repeats(rate: Column, *parts: Column) -> Column:
+    """A Poisson count of any rate: up to MAX_RATE one draw at the parts' uniform number, above it a sum of draws of equal
+    rates, each at most MAX_RATE, whose numbers are hashed from the parts and the draw's number."""
+    draws = F.ceil(rate / MAX_RATE).cast("int")
+    more = lambda acc, k: acc + poisson_count(uniform(*parts, F.lit("draw"), k), rate / draws)
+    return F.when(rate <= MAX_RATE, poisson_count(uniform(*parts), rate)).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(draws, F.lit(1))), F.lit(0), more))
+
+
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, scale: float = 1.0) -> DataFrame:
     """(src, rate): mean repetitions that bring each source's rows to its target share of scale * rows.
 
-    Without weights the targets are the shares raised to temperature. Sources without a weight get none. A rate never
-    exceeds MAX_RATE (a documented parameter of the distribution, not of the data).
+    Without weights the targets are the shares raised to temperature. Sources without a weight get none. A rate
+    has no upper end.
     """
     sizes = docs.groupBy(F.coalesce("source", F.lit("")).alias("src")).agg(F.count("*").alias("n"))
     if weights is None:
@@ -49,13 +58,13 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     rows, every = float(total["rows"] or 0), float(total["all"] or 0)
     if not math.isfinite(every) or every <= 0:
         return sizes.select("src", F.lit(0.0).alias("rate"))
-    return sizes.select("src", F.round(F.least(F.lit(MAX_RATE), F.lit(scale * rows / every) * F.col("want") / F.col("n")), 9).alias("rate"))
+    return sizes.select("src", F.round(F.lit(scale * rows / every) * F.col("want") / F.col("n"), 9).alias("rate"))
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, scale: float = 1.0, seed: int = 11, shuffle: bool = True) -> DataFrame:
     """Rows of docs, each repeated by a Poisson count with its source's rate, in a global random order.
 
-    The count inverts the Poisson distribution at a uniform number hashed from (doc_id, text, seed), so that a lost task
+    The count inverts the Poisson distribution at uniform numbers hashed from (doc_id, text, seed), so that a lost task
     repeats itself exactly and copies of a doc_id with other texts draw on their own. Appended: mix_rate (double), mix_copy
     (int, from 0), mix_key (double, the place in the global order). Columns of those names in docs are replaced; others go
     through. The order is a partitioning into equal ranges of mix_key, so no source or document gathers in a task.
@@ -68,7 +77,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     plain = docs.drop("mix_rate", "mix_copy", "mix_key", "mix_src")
     rows = plain.withColumn("mix_src", F.coalesce("source", F.lit(""))).join(table, "mix_src").drop("mix_src")
     digest = F.md5(F.coalesce("text", F.lit("")))
-    draw = poisson_count(uniform(F.col("doc_id"), digest, F.lit(seed)), F.col("mix_rate"))
+    draw = repeats(F.col("mix_rate"), F.col("doc_id"), digest, F.lit(seed))
     rows = rows.withColumn("mix_n", draw).where("mix_n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_n") - 1))).drop("mix_n")
     rows = rows.withColumn("mix_key", uniform(F.col("doc_id"), digest, F.lit(seed), F.lit("order"), F.col("mix_copy")))
     if not shuffle:

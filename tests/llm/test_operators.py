@@ -264,6 +264,16 @@ def test_mixing_meets_targets_and_repeats_itself(spark, docs):
     assert mixing.mixed(docs).count() > 0 and mixing.mixed(empty(spark)).count() == 0
 
 
+def test_mixing_meets_targets_above_one_draw(spark):
+    data = [(k, f"t{k}", "en", "b" if k % 100 else "a", 1) for k in range(10_000)]
+    got = mixing.mixed(spark.createDataFrame(data, DOCS), {"a": 0.5, "b": 0.5}).collect()
+    n = collections.Counter(r.source for r in got)
+    assert abs(n["a"] / 5000 - 1) < 0.06 and abs(n["b"] / 5000 - 1) < 0.06
+    by = collections.Counter(r.doc_id for r in got if r.source == "a")
+    counts = np.array([by[k] for k in range(0, 10_000, 100)])
+    assert {r.mix_rate for r in got if r.source == "a"} == {50.0} and 25 < counts.var() < 90
+
+
 # op6
 
 
