@@ -155,6 +155,33 @@ def test_pieces_equal_the_library(spark, docs):
     assert pieces.encoded(empty(spark), tokenizer()).count() == 0
 
 
+def test_encoded_walks_the_map_and_gives_spans(spark, tmp_path):
+    from sentencepiece import sentencepiece_model_pb2
+
+    texts = ["caf\u00e9 ab  abx", "  \u00e9  ab ", "", "   ", "naïve 中文字 \U0001f600", "x▁y", None, "abc ab a"]
+    df = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], DOCS)
+    for trim in (False, True):
+        proto = sentencepiece_model_pb2.ModelProto()
+        proto.ParseFromString(open(tokenizer(), "rb").read())
+        proto.normalizer_spec.precompiled_charsmap = darts({b"ab": b"22", b"a": b"b", "é".encode(): b"e"})
+        proto.normalizer_spec.name, proto.normalizer_spec.remove_extra_whitespaces = "user_defined", trim
+        at = tmp_path / f"map{trim}.model"
+        at.write_bytes(proto.SerializeToString())
+        tool = pieces.load(str(at))
+        seen = []
+        walk = tool.map.match
+        tool.map.match = lambda text, k, walk=walk, seen=seen: seen.append(k) or walk(text, k)
+        tool.ids([texts[0]])
+        assert seen  # ids rest on the walk
+        tool.map.match = walk
+        got = {r.doc_id: r for r in pieces.encoded(df, str(at), with_ids=True, with_spans=True).collect()}
+        for k, t in enumerate(texts):
+            ref = tool.model.encode(t or "", return_type="proto").pieces
+            assert got[k].ids == [tool.begin, *(p.id for p in ref), tool.end]
+            assert [s.id for s in got[k].spans] == [p.id for p in ref]
+            assert [(s.start, s.end) for s in got[k].spans if s.id not in tool.byte] == [(p.begin, p.end) for p in ref if p.id not in tool.byte]
+
+
 def darts(entries):
     """A double-array trie of byte strings, as the compiled maps hold it: for the test of CharsMap only."""
     strings, places = b"", {}
