@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,25 +58,38 @@ def random_points(spark: SparkSession, n: int, limits: Limits, seed: int = 0) ->
     return _scaled(df.withColumns({f"u{j}": uniform(seed, F.col("i"), F.lit(j)) for j in range(len(limits))}), limits)
 
 
+def _dealt(i: np.ndarray, n: int, seed: int, axis: int) -> np.ndarray:
+    """Places of i in a permutation of 0 .. n - 1. A walk returns to where it started at the latest, so every walk ends inside."""
+    half = np.uint64(max(1, math.ceil(math.log2(max(n, 2)) / 2)))
+    mask = (np.uint64(1) << half) - np.uint64(1)
+    v, todo = i.astype(np.uint64), np.arange(len(i))
+    while len(todo):
+        left, right = v[todo] >> half, v[todo] & mask
+        for r in range(4):
+            key = (seed * 0x9E3779B97F4A7C15 + axis * 0xC2B2AE3D27D4EB4F + r * 0x165667B19E3779F9) % (1 << 64)
+            h = (right + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03) ^ np.uint64(key)
+            for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                h = (h ^ (h >> np.uint64(shift))) * np.uint64(by)
+            left, right = right, left ^ ((h ^ (h >> np.uint64(31))) & mask)
+        v[todo] = left << half | right
+        todo = todo[v[todo] >= n]
+    return v.astype(np.int64)
+
+
 def latin_hypercube(spark: SparkSession, n: int, limits: Limits, seed: int = 0, centre: bool = False) -> DataFrame:
     """(i, x0, ...): each axis has one point in each of n strata. Strata are dealt by a keyed permutation of i that needs no sort:
     four rounds of a Feistel mix on a power-of-two range, walked until the value is inside n."""
-    half = max(1, math.ceil(math.log2(max(n, 2)) / 2))
-    mask = (1 << half) - 1
+    d = len(limits)
 
-    def once(v: Column, j: int) -> Column:
-        left, right = F.shiftright(v, half), v.bitwiseAND(F.lit(mask))
-        for r in range(4):
-            left, right = right, left.bitwiseXOR(F.xxhash64(F.lit(seed), F.lit(j), F.lit(r), right).bitwiseAND(F.lit(mask)))
-        return F.shiftleft(left, half).bitwiseOR(right)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            i = t["i"].to_numpy()
+            yield pd.DataFrame({"i": i} | {f"v{j}": _dealt(i, n, seed, j) for j in range(d)})
 
-    df = spark.range(n).withColumnRenamed("id", "i")
-    for j in range(len(limits)):
-        df = df.withColumn("v", once(F.col("i"), j))
-        for _ in range(24):  # the range is under 4 n: all walks end
-            df = df.withColumn("v", F.when(F.col("v") < n, F.col("v")).otherwise(once(F.col("v"), j)))
+    df = spark.range(n).withColumnRenamed("id", "i").mapInPandas(run, "i long" + "".join(f", v{j} long" for j in range(d)))
+    for j in range(d):
         jitter = F.lit(0.5) if centre else uniform(seed + 1, F.col("i"), F.lit(j))
-        df = df.withColumn(f"u{j}", (F.col("v") + jitter) / n).drop("v")
+        df = df.withColumn(f"u{j}", (F.col(f"v{j}") + jitter) / n).drop(f"v{j}")
     return _scaled(df, limits)
 
 

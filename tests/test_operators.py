@@ -340,3 +340,10 @@ def test_normality_statistics():
     # symmetric, mesokurtic values: both z near zero
     assert abs(diagnostics.skew_z(100, 0.0)) < 1e-12 and abs(diagnostics.kurtosis_z(200, 3 * 199 / 201)) < 0.5
     assert math.isnan(diagnostics.skew_z(7, 0.1)) and math.isnan(diagnostics.kurtosis_z(4, 3))
+
+
+def test_latin_hypercube_fills_every_stratum_just_above_a_power_of_four(spark):
+    for n in (1, 2, 5, 1025, 65537):
+        for axis in ("x0", "x1"):
+            got = sampling.latin_hypercube(spark, n, [(0, 1), (0, 1)], 5, centre=True).select(F.floor(F.col(axis) * n).alias("k"))
+            assert got.where(f"k >= 0 AND k < {n}").distinct().count() == n
