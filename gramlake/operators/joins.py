@@ -58,15 +58,23 @@ def _grid_nearest(queries: DataFrame, points: DataFrame, axes: Sequence[str], k:
     at = points.select(F.col(point_id), *[F.col(a).alias(f"p_{a}") for a in axes], *[cell(a).alias(f"g{j}") for j, a in enumerate(axes)])
     todo = queries.select(query_id, *axes)
     done, ring = None, 1
-    limit = max(math.ceil(s / size) for s in spans) + 1
+    last = [math.floor((box[f"{a}_hi"] - box[f"{a}_lo"]) / size) for a in axes]
+    limit = max(last) + 1
+    # rings count from the query's cell, or the nearest one of the box for a query outside
+    own = [F.greatest(F.lit(0), F.least(F.lit(m), cell(a))) for a, m in zip(axes, last, strict=True)]
+    gap = [F.greatest(F.lit(0.0), F.lit(box[f"{a}_lo"]) - F.col(a), F.col(a) - F.lit(box[f"{a}_hi"])) for a in axes]
+    ringed = lambda c, m: F.sequence(F.greatest(F.lit(0), c - ring), F.least(F.lit(m), c + ring))
     while True:
-        near = todo.select("*", *[F.explode(F.sequence(cell(a) - ring, cell(a) + ring)).alias(f"g{j}") if j == 0 else cell(a).alias(f"c{j}") for j, a in enumerate(axes)])
+        near = todo.select("*", *[F.explode(ringed(c, last[j])).alias(f"g{j}") if j == 0 else c.alias(f"c{j}") for j, c in enumerate(own)])
         for j in range(1, len(axes)):
-            near = near.select("*", F.explode(F.sequence(F.col(f"c{j}") - ring, F.col(f"c{j}") + ring)).alias(f"g{j}"))
+            near = near.select("*", F.explode(ringed(F.col(f"c{j}"), last[j])).alias(f"g{j}"))
         pairs = near.join(at, [f"g{j}" for j in range(len(axes))]).withColumn("distance", F.sqrt(squared_distance(axes, [f"p_{a}" for a in axes])))
         best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy("distance", point_id))).where(F.col("rank") <= k)
-        # the block's edge is at least (ring) whole cells away: a k-th neighbour within that is final
-        sure = best.groupBy(query_id).agg(F.count("*").alias("found"), F.max("distance").alias("far")).where((F.col("found") == k) & (F.col("far") <= ring * size) if ring < limit else F.lit(True))
+        # a point outside the block is as far as the box on every axis, and by (ring) whole cells farther on one: a k-th
+        # neighbour nearer than that is final
+        more = [2 * g * ring * size + (ring * size) ** 2 for g in gap]
+        free = F.sqrt(sum((g * g for g in gap), F.lit(0.0)) + (F.least(*more) if len(more) > 1 else more[0])) * (1 - 1e-9)
+        sure = best.withColumn("free", free).groupBy(query_id).agg(F.count("*").alias("found"), F.max("distance").alias("far"), F.first("free").alias("free")).where((F.col("found") == k) & (F.col("far") < F.col("free")) if ring < limit else F.lit(True))
         part = best.join(sure.select(query_id), query_id, "left_semi").select(query_id, point_id, "distance", "rank")
         done = part if done is None else done.unionByName(part)
         if ring >= limit:

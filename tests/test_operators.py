@@ -347,3 +347,14 @@ def test_latin_hypercube_fills_every_stratum_just_above_a_power_of_four(spark):
         for axis in ("x0", "x1"):
             got = sampling.latin_hypercube(spark, n, [(0, 1), (0, 1)], 5, centre=True).select(F.floor(F.col(axis) * n).alias("k"))
             assert got.where(f"k >= 0 AND k < {n}").distinct().count() == n
+
+
+def test_nearest_does_not_depend_on_the_number_of_points(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    points = frame(spark, pid=np.arange(400), x=r.uniform(0, 1, 400), y=r.uniform(0, 2, 400))
+    at = np.array([(0.5, 0.5), (0.99, 1.99), (1.5, 1.0), (-2.5, 1.0), (9.0, -7.0), (0.5, 40.0), (-1e6, 3.0)])
+    asked = frame(spark, qid=np.arange(len(at)), x=at[:, 0], y=at[:, 1])
+    rows = lambda k: sorted((q.qid, q["rank"], q.pid, round(q.distance, 6)) for q in joins.nearest(asked, points, ["x", "y"], k).collect())
+    want = {k: rows(k) for k in (5, 500)}
+    monkeypatch.setattr(joins, "BROADCAST_POINTS", 10)
+    assert len(want[5]) == 5 * len(at) and {k: rows(k) for k in (5, 500)} == want
