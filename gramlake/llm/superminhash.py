@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramlake.llm.runtime import components, map_groups, stage
-from gramlake.llm.text import as_bytes, mix, pieces, shingle_set
+from gramlake.llm.text import as_bytes, mix, pieces, shingle_sets
 
 #: Slots of a signature, a prime; the first BANDS * BAND_ROWS are banded. A pair at 0.8 shares no band with probability 7e-6.
 SLOTS, BANDS, BAND_ROWS = 151, 30, 5
@@ -85,7 +85,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             texts = as_bytes(batch.column(1))
             for part in pieces(texts):
-                sets = [shingle_set(t, width) for t in texts[part]]
+                sets = shingle_sets(texts[part], width)
                 sig = signatures(sets)
                 digest = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]).reshape(-1, 2)
                 marks = (sig & np.uint64(255)).astype(np.uint8)
@@ -164,7 +164,8 @@ def _verified(rows: DataFrame, width: int, percent: int) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         ids = t["doc_id"].to_numpy()
-        sets = [shingle_set(x, width) for x in as_bytes(t["text"].combine_chunks())]
+        texts = as_bytes(t["text"].combine_chunks())
+        sets = [s for part in pieces(texts) for s in shingle_sets(texts[part], width)]
         marks = np.frombuffer(b"".join(t["marks"].to_pylist()), np.uint8).reshape(len(ids), -1)
         found = list(linked(sets, marks, t["label"].to_numpy(), t["home"].to_numpy().astype(bool), percent))
         return pa.table({"a": pa.array([ids[x] for x, _ in found], pa.int64()), "b": pa.array([ids[y] for _, y in found], pa.int64())})

@@ -44,7 +44,52 @@ def words(text: bytes | None, lower: bool = True) -> list[bytes]:
 
 
 def word_hashes(tokens: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
+    """The hash of each word (of bytes without whitespace), as `hashed` gives it."""
+    return hashed([b" ".join(tokens)], lower=False)[0]
+
+
+#: Bytes of text in a step, and of a word that is hashed by powers; longer words are each hashed by xxHash.
+STEP, LONGEST = 1 << 16, 1 << 14
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = np.cumprod(np.full(STEP + LONGEST, _BASE, np.uint64))
+_INVERSE = np.cumprod(np.full(STEP + LONGEST, pow(_BASE, -1, 1 << 64), np.uint64))
+
+
+def hashed(texts: list[bytes | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of all texts in a row, bounds): text k has hashes[bounds[k] : bounds[k + 1]].
+
+    The words are those of `words`. A hash is a polynomial of the word's scrambled bytes modulo 2^64, and its length,
+    mixed: the bytes of a step are multiplied by running powers at once, and a word's sum by the inverse power of its start.
+    """
+    joined = b"\n".join([t or b"" for t in texts]) + b"\n"
+    raw = np.frombuffer(joined.lower() if lower else joined, np.uint8)
+    solid = ~_SPACE[raw]
+    edge = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+    if solid[0]:
+        edge = np.concatenate([[0], edge])
+    starts = edge[::2]
+    size = edge[1::2] - starts
+    out = np.empty(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        hi = int(np.searchsorted(starts, starts[lo] + STEP))
+        at = edge[2 * lo : 2 * hi] - starts[lo]
+        at = np.minimum(at, at[-2] + LONGEST)  # the last word's end
+        v = raw[starts[lo] : starts[lo] + at[-1]].astype(np.uint64)
+        v += np.uint64(1)
+        v *= np.uint64(0xD6E8FEB86659FD93)
+        v ^= v >> np.uint64(29)
+        v *= _POWERS[: len(v)]
+        sums = np.add.reduceat(np.append(v, np.uint64(0)), at)[::2]
+        out[lo:hi] = sums * _INVERSE[at[::2]]
+        lo = hi
+    out = mix(out + size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    for k in np.flatnonzero(size > LONGEST):
+        out[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : starts[k] + size[k]].tobytes())
+    at = np.concatenate([[0], np.cumsum([len(t or b"") + 1 for t in texts], dtype=np.int64)])
+    return out, np.searchsorted(starts, at)
 
 
 def windows(h: np.ndarray, width: int) -> np.ndarray:
@@ -56,10 +101,19 @@ def windows(h: np.ndarray, width: int) -> np.ndarray:
     return mix(acc)
 
 
-def shingle_set(text: bytes | None, width: int) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles; a text of fewer words is one shingle, one without words has none."""
-    h = word_hashes(words(text))
+def shingles(h: np.ndarray, width: int) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles; fewer words are one shingle, none have none."""
     if not len(h):
         return h
     # a short text's only shingle must not equal a shingle of full width
     return np.unique(windows(h, width)) if len(h) >= width else mix(windows(h, len(h)) + np.uint64(len(h)))
+
+
+def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
+    """The shingles of each text."""
+    h, at = hashed(texts)
+    return [shingles(h[a:b], width) for a, b in zip(at, at[1:], strict=False)]
+
+
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    return shingle_sets([text], width)[0]

@@ -107,29 +107,100 @@ def test_lm_scores_do_not_depend_on_what_fits(spark, docs, monkeypatch):
         return sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in bloom_lm.scored(docs).collect())
 
     whole = scores()
-    for name, bound in (("MAX_BYTES", 1000), ("HEAD", 20), ("PART", 2000)):
+    for bounds in ({"MAX_BYTES": 1000}, {"HEAD": 20}, {"HEAD": 0}, {"HEAD": 20, "MAX_BYTES": 1000}):
         with monkeypatch.context() as m:
-            m.setattr(bloom_lm, name, bound)
-            if name == "PART":  # many shards, broadcast and not
-                shards = scores()
-                m.setattr(bloom_lm, "MAX_BYTES", 1000)
-                assert scores() == shards
-            else:
-                assert scores() == whole
+            for name, bound in bounds.items():
+                m.setattr(bloom_lm, name, bound)
+            assert scores() == whole
     with monkeypatch.context() as m:
-        m.setattr(bloom_lm, "HEAD", 0)
-        assert scores() == whole
+        m.setattr(bloom_lm, "PART", 2000)  # many shards and hot histories, broadcast and not
+        shards = scores()
+        m.setattr(bloom_lm, "MAX_BYTES", 1000)
+        assert scores() == shards
+    # the shards differ in false probes alone
+    assert all(abs(a[-1] - b[-1]) < 0.01 * abs(a[-1]) for a, b in zip(whole, shards, strict=True))
+
+
+def plain_bigrams(data):
+    """Counts of words and bigrams (None begins and 0 ends a text) of the training rows."""
+    one, two = collections.Counter(), collections.Counter()
+    for i, t, *_ in data:
+        if crc(i) % 7 != 2:
+            stream = [None, *words(t), 0]
+            one.update(stream)
+            two.update(zip(stream, stream[1:], strict=False))
+    return one, two
+
+
+def test_lm_score_is_the_formula(spark):
+    one, two = plain_bigrams(rows())
+    n, v = sum(c for w, c in one.items() if w is not None), len(one) - 1
+    singles, twos = (sum(c == k for c in two.values()) for k in (1, 2))
+    d = singles / (singles + 2 * twos)
+    q = lambda c: 0 if c < 2 else c if c <= 4 else 4 * 1.25 ** math.floor(math.log(c / 4, 1.25) + 1e-9)
+    mass = collections.Counter()
+    for (b, _), c in two.items():
+        if c >= 2:
+            mass[b] += q(c) - d
+    p = lambda b, a: (max(q(two[b, a]) - d, 0) + (one[b] - mass[b]) * (one[a] + 1) / (n + v + 1)) / one[b] if one[b] else (one[a] + 1) / (n + v + 1)
+    want = collections.defaultdict(list)
+    for i, t, *_ in rows():
+        stream = [None, *words(t), 0]
+        want[i].append(sum(math.log10(p(b, a)) for b, a in zip(stream, stream[1:], strict=False)))
+    got = collections.defaultdict(list)
+    for r in bloom_lm.scored(spark.createDataFrame(rows(), DOCS)).collect():
+        got[r.doc_id].append(r.score)
+    # a level above the true one is found falsely now and then
+    assert got.keys() == want.keys()
+    pairs = [(a, b) for i in want for a, b in zip(sorted(want[i]), sorted(got[i]), strict=True)]
+    assert all(abs(a - b) < 0.01 * abs(a) for a, b in pairs)
+
+
+def test_lm_probabilities_sum_to_one(spark):
+    # documents of one word after each history of interest: their scores are log10 P(word | BEGIN) + log10 P(END | word);
+    # the model itself is asked for all words of the vocabulary
+    one, _ = plain_bigrams(rows())
+    held = []
+    old = bloom_lm._collected
+
+    def spy(*a):
+        held.append(old(*a))
+        return held[-1]
+
+    bloom_lm._collected, seen = spy, {}
+    broadcast = spark.sparkContext.broadcast
+
+    def keep(x):
+        seen[type(x)] = x
+        return broadcast(x)
+
+    spark.sparkContext.broadcast = keep
+    try:
+        bloom_lm.scored(spark.createDataFrame(rows(), DOCS)).count()
+    finally:
+        bloom_lm._collected = old
+        del spark.sparkContext.broadcast
+    model, head = seen[bloom_lm.Model], seen[tuple]
+    every = np.append(head[0][head[0] != bloom_lm.BEGIN], np.uint64(12345))  # and an unknown word
+    c_after = bloom_lm.find(head, every)[0]
+    assert len(every) == len(one) and c_after[-1] == 0
+    for h in [bloom_lm.BEGIN, *head[0][:: len(head[0]) // 40], np.uint64(777)]:
+        c, s = bloom_lm.find(head, np.array([h]))
+        total = 10 ** model.log10(np.full(len(every), h), every, np.repeat(c, len(every)), np.repeat(s, len(every)), c_after)
+        assert abs(total.sum() - 1) < 0.01
 
 
 def test_lm_filter_holds_counts(spark):
     keys = np.arange(1, 5000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    counts = 1 + np.arange(4999) % 700
-    data, bits = bloom_lm.build(keys, bloom_lm.level(counts))
-    shards = bloom_lm.Shards(np.frombuffer(data, np.uint8), np.array([0]), np.array([bits]))
-    lvl = shards.levels(keys)
+    counts = 2 + np.arange(4999) % 700
+    data, bits = bloom_lm.build(keys, bloom_lm.level(counts), 24)
+    shards = bloom_lm.Shards(np.frombuffer(data, np.uint8), np.array([0]), np.array([bits]), 24)
+    lvl = shards.levels(np.zeros(len(keys), np.int64), keys)
     assert (lvl >= bloom_lm.level(counts)).all() and (lvl == bloom_lm.level(counts)).mean() > 0.97
-    assert (shards.levels(keys + np.uint64(1)) > 0).mean() < 0.02
-    assert np.abs(bloom_lm.value(bloom_lm.level(counts)) / counts - 1).max() < 0.26
+    others = np.arange(5000, 400_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    assert (shards.levels(np.zeros(len(others), np.int64), others) > 0).sum() <= 2
+    v = bloom_lm.value(bloom_lm.level(counts))
+    assert (v <= counts + 1e-6).all() and (v > 0.75 * counts).all()
 
 
 # op3
@@ -249,20 +320,61 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got) and len(got) == 602
 
 
-def test_counterfactual_penalty_evens_identity_terms():
+def test_counterfactual_penalty_evens_identity_terms(spark, monkeypatch):
     # one group is mentioned in toxic texts only, its counterpart in clean ones: the penalty must pull them together
-    f = lambda text: np.unique(np.array([x for w in toxicity.distinct_words(text) for x in toxicity.features(w)], np.uint64))
-    swap = toxicity._swaps()
-    texts = [("vile " * (k % 2 == 0) + ("women" if k % 2 == 0 or k % 8 == 1 else "people") + f" said w{k % 7}") for k in range(200)]
-    pairs = [(f(t), f(" ".join(swap.get(w, w) for w in t.split()))) for t in texts]
-    y = np.array([float(k % 2 == 0) for k in range(200)])
+    data = [(k, " ".join((("vile " if k % 2 == 0 else "") + ("women" if k % 2 == 0 or k % 8 == 1 else "people"), "said", f"w{k % 7}")), "en", "s", 1) for k in range(400)]
+    df, labels = spark.createDataFrame(data, DOCS), spark.createDataFrame([(k, int(k % 2 == 0)) for k in range(400)], "doc_id long, toxic int")
     gaps = []
     for strength in (0.0, 5.0):
-        toxicity.SWAP, old = strength, toxicity.SWAP
-        score = toxicity.fit(pairs, y, np.ones(200)).scorer()
-        toxicity.SWAP = old
+        monkeypatch.setattr(toxicity, "SWAP", strength)
+        model = toxicity.train(df, labels)
+        score = model.scorer()
         gaps.append(abs(score("women said w1") - score("men said w1")))
-    assert gaps[1] < 0.6 * gaps[0]
+        assert model.pairs > 400
+    assert gaps[1] < 0.5 * gaps[0]
+
+
+def test_every_labelled_text_has_counterfactuals():
+    listed = toxicity.rows_of(toxicity.IDENTITIES)
+    assert set(toxicity.IDENTITIES) == {"en", "de", "fr", "es"}
+    for text in ("quite plain", "die frauen sprachen", "les femmes", "x"):
+        found = toxicity.distinct_words(text)
+        added, pairs = toxicity.counterfactuals(found, listed)
+        assert len(added) and len(pairs) >= 3
+        inside = sum(len(row) - 1 for row in listed for t in row if t in found)
+        assert len(pairs) > inside
+        for come, go in pairs[:inside]:
+            assert len(come) and len(go) and set(go.tolist()) <= set(toxicity.hashes_of(found).tolist())
+    assert toxicity.counterfactuals(set(), listed)[1] == []
+
+
+def test_packed_columns_come_back():
+    r = np.random.default_rng(0)
+    for n in (0, 3, 400, 2000):
+        at = np.sort(r.choice(2000, n, replace=False))
+        assert toxicity._unpacked(toxicity._packed(at, 2000), 2000).tolist() == at.tolist()
+        assert len(toxicity._packed(at, 2000)) <= 251
+
+
+def test_toxicity_awkward_rows(spark):
+    data, labels = toxic_table(300)
+    long = (4000, prose(3, 60_000) + " you worthless idiots " + prose(4, 60_000), "en", "s", 1)
+    repeated = [(2, data[2][1], "en", "s", 1)] * 50 + [(2, "another text of this id", "en", "s", 1)]
+    df = spark.createDataFrame([*data, long, *repeated], DOCS)
+    for name in ("toxic", "kind", "come", "go", "score", "id"):
+        df = df.withColumn(name, F.lit("own"))
+    truth = spark.createDataFrame([*labels, (4000, 1), *labels[:5]], "doc_id long, toxic int").withColumn("text", F.lit("x")).withColumn("id", F.lit(1))
+    got = toxicity.judged(df, truth).collect()
+    assert len(got) == 300 + 52
+    scores = {}
+    for r in got:
+        scores.setdefault(r.doc_id, set()).add(round(r.score, 12))
+    assert len(scores[2]) == 2 and all(len(s) == 1 for i, s in scores.items() if i != 2)
+    kept = toxicity.passed(df, truth)
+    assert kept.columns == df.columns and kept.count() == sum(r.predicted == 0 for r in got)
+    # at the threshold a document is toxic
+    some = sorted(r.score for r in got)[100]
+    assert all(r.predicted == int(r.score >= some) for r in toxicity.judged(df, truth, some).collect())
 
 
 def test_toxicity_without_labels(spark):
@@ -322,20 +434,84 @@ def test_quality_measures_and_verdicts(spark, docs):
     got = quality.judged(spark.createDataFrame(data, DOCS)).collect()
     want = collections.Counter((i, *plain_quality(t)) for i, t, *_ in data)
     assert collections.Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == want
-    kept = {r.doc_id for r in got if r.kept}
-    assert not kept & {9000, 9001, 9002, 3000, 3001, 3002} and set(range(100)) - {k for k in range(100) if plain_quality(data[k][1])[-1]} <= kept
+    assert all(r.base_failed for r in got if r.doc_id in {9000, 3000, 3001, 3002}) and not any(r.kept for r in got if r.base_failed)
+    assert collections.Counter((r.doc_id, r.kept) for r in got) == plain_kept(data)
     passed = quality.passed(docs)
     assert passed.columns == docs.columns
     assert sorted(str(r.doc_id) for r in passed.collect()) == sorted(str(r.doc_id) for r in quality.judged(docs).where("kept").collect())
     assert quality.judged(empty(spark)).count() == 0 and quality.passed(empty(spark)).count() == 0
 
 
+def plain_kept(data):
+    """(doc_id, kept) of each row, from exact quantiles of the passing documents of each group."""
+    by_id = collections.Counter()
+    found = []
+    for i, t, lang, source, _ in data:
+        n, chars, symbols, _, _, failed = plain_quality(t)
+        upper = sum("A" <= c <= "Z" for c in (t or ""))
+        by_id[i, False] += failed
+        if not failed:
+            found.append((i, lang, source, np.array([symbols, upper, chars], float), np.array([n, chars, n], float)))
+    lower = lambda x, q: np.sort(x, axis=0)[max(math.ceil(q * len(x)) - 1, 0)]
+
+    def residual(a, b, p):
+        out = (a - p * b) / np.sqrt(p * b + 1)
+        out[2] = (a[2] / b[2] - p[2]) * math.sqrt(b[2])
+        return out
+
+    def shrunk(points, at):
+        """Quantiles of all, of languages and of groups, from [(lang, source, values)]."""
+        cut = lambda keep: np.array([lower(np.array([x for la, so, x in points if keep(la, so)]), q) for q in at])
+        mixed = lambda own, n, to: (n * own + quality.PRIOR * to) / (n + quality.PRIOR)
+        every = cut(lambda la, so: True)
+        langs = {la: mixed(cut(lambda a, b: a == la), sum(a == la for a, _, _ in points), every) for la in {a for a, _, _ in points}}  # noqa: B023
+        own = {g: mixed(cut(lambda a, b: (a, b) == g), sum((a, b) == g for a, b, _ in points), langs[g[0]]) for g in {(a, b) for a, b, _ in points}}  # noqa: B023
+        return langs, own
+
+    langs, own = shrunk([(la, so, a / b) for _, la, so, a, b in found], [0.5])
+    q = [0.25, 0.5, 0.75]
+    _, own_cuts = shrunk([(la, so, residual(a, b, own[la, so][0])) for _, la, so, a, b in found], q)
+    wide = [(la, so, residual(a, b, langs[la][0])) for _, la, so, a, b in found]
+    lang_cuts, _ = shrunk(wide, q)
+    scale = lambda c: np.maximum(np.minimum(c[2] - c[1], c[1] - c[0]) / 0.6745, 1)
+    beyond = lambda x, c, reach=quality.REACH: np.where([False, False, True], np.abs(x - c[1]), x - c[1]) > reach * scale(c)
+    for i, la, so, a, b in found:
+        typical = lower(np.array([x for g, h, x in wide if (g, h) == (la, so)]), 0.5)
+        far = beyond(typical, lang_cuts[la], quality.FAR)
+        middle = np.where(far, langs[la][0], own[la, so][0])
+        cuts = np.where(far, lang_cuts[la], own_cuts[la, so])
+        by_id[i, not beyond(residual(a, b, middle), cuts).any()] += 1
+    return +by_id
+
+
+def test_verdicts_follow_the_group(spark):
+    """The same texts are kept where their source is like them, and rejected where it is not; a source of junk is no standard."""
+    r = np.random.default_rng(2)
+    plain = lambda k: prose(k, 60)
+    marked = lambda k, share: " ".join(w + ("#" if r.random() < share else "") for w in prose(k, 60).split())
+    data = [(k, plain(k), "en", "prose", 1) for k in range(400)]
+    data += [(1000 + k, marked(k, 0.15 if k < 390 else 0.9), "en", "notes", 1) for k in range(400)]
+    data += [(2000 + k, marked(k, 0.15), "en", "prose", 1) for k in range(10)]
+    data += [(3000 + k, plain(k) if k % 10 < 7 else marked(k, 0.9), "en", "third", 1) for k in range(300)]
+    data += [(4000 + k, marked(k, 0.9), "en", "junk", 1) for k in range(100)]
+    data += [(5000 + k, plain(k).upper() + " x", "en", "prose", 1) for k in range(5)]
+    df = spark.createDataFrame(data, DOCS)
+    kept = {x.doc_id: x.kept for x in quality.judged(df).collect()}
+    rate = lambda ids: np.mean([kept[i] for i in ids])
+    assert rate(range(400)) == 1 and rate(range(1000, 1390)) > 0.98 and rate(range(1390, 1400)) == 0
+    assert rate(range(2000, 2010)) < 0.3  # in prose the marks of notes stand out
+    assert rate([3000 + k for k in range(300) if k % 10 < 7]) == 1 and rate([3000 + k for k in range(300) if k % 10 >= 7]) == 0
+    assert rate(range(4000, 4100)) == 0 and rate(range(5000, 5005)) == 0
+    assert collections.Counter(kept.items()) == plain_kept(data)
+
+
 def test_sketch_quantiles(spark):
     r = np.random.default_rng(1)
-    x = r.lognormal(0, 2, 4000)
+    x = r.normal(0.3, 1, 4000) * r.lognormal(0, 2, 4000)
     df = spark.createDataFrame([(int(k % 2), [float(v)]) for k, v in enumerate(x)], "g int, values array<double>")
-    for row in quality.quantiles(df, ["g"], [0.75]).collect():
-        assert abs(row.cut / np.quantile(x[row.g :: 2], 0.75) - 1) < 0.03
+    for row in quality.quantiles(df, ["g"], [0.1, 0.75]).collect():
+        for q, cut in zip((0.1, 0.75), row.cuts, strict=True):
+            assert abs(cut / np.quantile(x[row.g :: 2], q) - 1) < 0.04
 
 
 # op7
