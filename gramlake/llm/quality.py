@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramlake.llm.runtime import stage
-from gramlake.llm.text import as_bytes, hashed, pieces, windows
+from gramlake.llm.text import hashed, text_pieces, windows
 
 #: The bytes counted as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -55,11 +55,10 @@ def measured(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column(0))
             rows = []
-            for p in pieces(texts):
-                h, at = hashed(texts[p], lower=False)
-                rows += [measure(t, h[a:b]) for t, a, b in zip(texts[p], at, at[1:], strict=False)]
+            for _, texts in text_pieces(batch.column(0)):
+                h, at = hashed(texts, lower=False)
+                rows += [measure(t, h[a:b]) for t, a, b in zip(texts, at, at[1:], strict=False)]
             found = np.array(rows, np.int64).reshape(-1, 7)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(found[:, k]) for k in range(7))], names=[*batch.schema.names[1:], *names])
 

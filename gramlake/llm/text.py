@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: A batch of texts is worked on in pieces of about so many bytes, to bound a worker's memory.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -22,18 +25,27 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def pieces(texts: list[bytes | None]) -> list[slice]:
     """Slices of texts with about PIECE_BYTES each; a longer text stands alone."""
+    return _cuts([len(t or b"") for t in texts])
+
+
+def _cuts(sizes: list[int]) -> list[slice]:
     out, start, held = [], 0, 0
-    for i, t in enumerate(texts):
-        n = len(t or b"")
+    for i, n in enumerate(sizes):
         if held and held + n > PIECE_BYTES:
             out.append(slice(start, i))
             start, held = i, 0
         held += n
-    if start < len(texts):
-        out.append(slice(start, len(texts)))
+    if start < len(sizes):
+        out.append(slice(start, len(sizes)))
     return out
 
 
+def text_pieces(column: pa.Array) -> Iterator[tuple[slice, list[bytes | None]]]:
+    """The pieces of a column of texts, one after the other as bytes: no more than one is held beside the column."""
+    for p in _cuts(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        yield p, as_bytes(column.slice(p.start, p.stop - p.start))
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 

@@ -80,23 +80,25 @@ class Counter:
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> Counter:
-    """The ordinary pieces of a SentencePiece model file, with their scores, as a unigram vocabulary."""
+def load(model: bytes) -> Counter:
+    """The ordinary pieces of a SentencePiece model, with their scores, as a unigram vocabulary."""
     proto = sentencepiece_model_pb2.ModelProto()
-    with open(path, "rb") as f:
-        proto.ParseFromString(f.read())
+    proto.ParseFromString(model)
     return Counter([(p.piece, p.score) for p in proto.pieces if p.type == p.NORMAL])
 
 
 def counted(docs: DataFrame, model: str) -> DataFrame:
     """(doc_id, n_tokens) of each row of docs (doc_id, text, any other columns), over whole texts.
 
-    Null and empty texts have no tokens. Null doc_ids stay null; repeated rows are counted each. An empty table gives an
+    model: path of a SentencePiece model on the driver; its bytes go to the workers. Null and empty texts have no tokens. Null doc_ids stay null; repeated rows are counted each. An empty table gives an
     empty result. Other columns, whatever their names, are not read.
     """
 
+    with open(model, "rb") as f:
+        held = docs.sparkSession.sparkContext.broadcast(f.read())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = load(model)
+        tool = load(held.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([tool.count(t) for t in batch.column(1).to_pylist()], pa.int64())], names=["doc_id", "n_tokens"])
 
