@@ -51,7 +51,8 @@ def lookup(spark: SparkSession, shards: list[str], slots: int = SLOTS) -> DataFr
 def sharded(docs: DataFrame, shards: list[str], key: str = "doc_id", slots: int = SLOTS) -> DataFrame:
     """docs with shard_slot (int) and shard (int, position in shards) appended; columns of those names are replaced.
 
-    Placement is a hash and one probe of the broadcast table; no row moves. Equal keys share a shard. Rows with a null key
+    Placement is a hash and one probe of the broadcast table; no row moves. Equal keys share a shard, so a key with a
+    third of all rows makes its shard so large; `write_shards` splits it over files. Rows with a null key
     have no identity to keep together and are placed by the MD5 of their text, so that they do not gather in one shard.
     Empty and very long texts need nothing else; an empty table gives an empty result.
     """
@@ -61,7 +62,11 @@ def sharded(docs: DataFrame, shards: list[str], key: str = "doc_id", slots: int
 
 
 def write_shards(docs: DataFrame, shards: list[str], path: str, files: int = 1, **kw) -> None:
-    """Parquet under path, one folder a shard: rows go to files tasks for each shard, dealt by a hash of the whole row's id."""
+    """Parquet under path, one folder a shard, each of `files` files: every (shard, file) is a task of its own.
+
+    Rows of a shard are dealt to its files by a hash of their doc_id and text, rows that repeat in both by chance of their
+    place, so that neither a repeated key nor a repeated row fills one file. An empty table gives a folder without shards.
+    """
     placed = sharded(docs, shards, **kw)
-    spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(files))
-    placed.repartition(len(shards) * files, "shard", spread).write.partitionBy("shard").parquet(path)
+    spread = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(files)).cast("int")
+    placed.repartitionById(len(shards) * files, F.col("shard") * files + spread).write.partitionBy("shard").parquet(path)

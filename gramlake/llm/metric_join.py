@@ -9,12 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramlake.llm.runtime import components, map_groups, stage
-
-#: Vectors on either side of a task; distinct vectors from which a group gets pivots; pivots in all (they are broadcast).
-BLOCK, PIVOT_FROM, MAX_PIVOTS = 1024, 8192, 4096
-
-
+from gramlake.llm.runtime import components, map_groups, spread_join, stage
+
+#: Vectors on either side of a task of the join, and of one that deals vectors to pivots.
+BLOCK, DEAL = 1024, 4096
+#: Home vectors from which a cell is split, pivots of a split, rounds of splits.
+PIVOT_FROM, PIVOTS, LEVELS = 8192, 256, 4
+#: Vectors of a cell that foretell a split. It is made if it leaves under GAIN of the pairs, and copies a row no oftener than
+#: the whole cell's join in blocks would.
+TRIAL, GAIN = 1024, 0.5
 def unit(vectors: np.ndarray) -> np.ndarray:
     """Rows in double precision, of length one; scaled first, so that no square overflows."""
     v = vectors.astype(np.float64)
@@ -27,48 +30,105 @@ def _stack(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
-def _cells(classes: DataFrame, pivots: dict[tuple[int, int], np.ndarray], reach: float) -> DataFrame:
-    """Rows (label, dim, pivot, ring, home, rep, n, vec): each class in its own cell, and where a class within reach may live.
+def _lives(v: np.ndarray, points: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(pivot, ring) where each row of v lives, and (row, pivot, ring) of everywhere that a row within reach of it may live.
 
-    A class lives at its nearest pivot, in the ring floor(distance / reach). By the triangle inequality one within reach of
-    x lives at pivot i only in the rings that [d_i(x) - reach, d_i(x) + reach] meets, and not beyond d_home(x) + reach.
+    A row lives at its nearest pivot, in the ring floor(distance / reach). By the triangle inequality one within reach of x
+    lives at pivot i only in the rings that [d_i(x) - reach, d_i(x) + reach] meets, and not beyond d_nearest(x) + reach.
     """
-    held = classes.sparkSession.sparkContext.broadcast(pivots)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            label, dim = batch["label"].to_numpy(), batch["dim"].to_numpy()
-            take, pivot, ring, home = [np.arange(n)], [np.zeros(n, np.int32)], [np.zeros(n, np.int32)], [np.ones(n, np.int32)]
-            for key, points in held.value.items():
-                own = np.flatnonzero((label == key[0]) & (dim == key[1]))
-                if not len(own):
-                    continue
-                d = np.sqrt(np.maximum(2 - 2 * unit(_stack(batch["vec"].take(pa.array(own)))) @ points.T, 0))
-                near = d.argmin(1)
-                at = (d / reach).astype(np.int32)
-                inner = at[np.arange(len(own)), near]
-                pivot[0][own], ring[0][own] = near, inner
-                for k in (-1, 0, 1):
-                    there = at + k
-                    goes = (there >= 0) & (there <= inner[:, None] + 1)
-                    goes[np.arange(len(own)), near] &= k != 0
-                    i, p = np.nonzero(goes)
-                    take.append(own[i])
-                    pivot.append(p.astype(np.int32))
-                    ring.append(there[i, p])
-                    home.append(np.zeros(len(i), np.int32))
-            take, pivot, ring, home = (np.concatenate(x) for x in (take, pivot, ring, home))
-            for lo in range(0, len(take), 8192):
-                part = slice(lo, lo + 8192)
-                rows = batch.take(pa.array(take[part]))
-                yield pa.RecordBatch.from_arrays(
-                    [rows["label"], rows["dim"], pa.array(pivot[part]), pa.array(ring[part]), pa.array(home[part]), rows["rep"], rows["n"], rows["vec"]],
-                    names=["label", "dim", "pivot", "ring", "home", "rep", "n", "vec"],
-                )
+    d = np.sqrt(np.maximum(2 - 2 * v @ points.T, 0))
+    near = d.argmin(1)
+    at = (d / reach).astype(np.int32)
+    inner = at[np.arange(len(v)), near]
+    rows, pivots, rings = [], [], []
+    for k in (-1, 0, 1):
+        there = at + k
+        i, p = np.nonzero((there >= 0) & (there <= inner[:, None] + 1))
+        rows.append(i)
+        pivots.append(p.astype(np.int32))
+        rings.append(there[i, p])
+    return near.astype(np.int32), inner, tuple(map(np.concatenate, (rows, pivots, rings)))
+
+
+def _pays(reach: float):
+    """Whether a cell's split pays, by a trial of its rows (role 1) against its pivots (role 0)."""
+
+    def run(t: pa.Table) -> pa.Table | None:
+        role = t["role"].to_numpy()
+        v = unit(_stack(t["vec"]))
+        if not (role == 0).any() or not (role == 1).any():
+            return None
+        near, inner, (rows, pivot, ring) = _lives(v[role == 1], v[role == 0], reach)
+        place = lambda p, r: p.astype(np.int64) << 32 | r
+        lives, home = np.unique(place(near, inner), return_counts=True)
+        may, copies = np.unique(place(pivot, ring), return_counts=True)
+        at = np.minimum(np.searchsorted(lives, may), len(lives) - 1)
+        pairs = (np.where(lives[at] == may, home[at], 0) * copies).sum()
+        n = int((role == 1).sum())
+        good = pairs < GAIN * n * n and len(rows) <= n * max(2.0, 2.0 * t["homes"][0].as_py() / BLOCK)
+        return t.select(["label", "dim", "cell"]).slice(0, 1) if good else None
+
+    return run
+
 
+def _dealt(reach: float):
+    """Rows of a cell (role 1), or of one block of it, in the cells around its pivots (role 0)."""
+
+    def run(t: pa.Table) -> pa.Table | None:
+        role = t["role"].to_numpy()
+        rows = t.filter(pa.array(role == 1))
+        if not len(rows):
+            return None
+        near, inner, (i, pivot, ring) = _lives(unit(_stack(rows["vec"])), unit(_stack(t.filter(pa.array(role == 0))["vec"])), reach)
+        home = rows["home"].to_numpy() == 1
+        own = np.flatnonzero(home)
+        # a home row is its cell's copy too: it stands there once
+        other = ~(home[i] & (near[i] == pivot) & (inner[i] == ring))
+        take = np.concatenate([own, i[other]])
+        out = rows.take(pa.array(take)).drop_columns(["role", "block", "home"])
+        new = np.concatenate([near[own], pivot[other]]).astype(np.int64) << 32 | np.concatenate([inner[own], ring[other]])
+        out = out.append_column("place", pa.array(new)).append_column("home", pa.array(np.repeat([1, 0], [len(own), int(other.sum())]).astype(np.int32)))
+        return out.select(["label", "dim", "cell", "place", "home", "rep", "n", "vec"])
+
+    return run
+
+
+def _cells(classes: DataFrame, reach: float) -> DataFrame:
+    """Rows (label, dim, cell, home, rep, n, vec): each class in its own cell (home 1), and where a class within reach may live.
+
+    A label and dimension is one cell at first. Cells of PIVOT_FROM home rows and more are split around pivots of their own,
+    at most PIVOTS, and the parts again, LEVELS times: the number of pivots grows with the data, and none are broadcast. A
+    cell stays whole where a trial finds that no distance bound prunes it; its join is then all its pairs, in blocks. All
+    cells of a level are split by the same few jobs.
+    """
     kind = classes.schema["vec"].dataType.simpleString()
-    return classes.select("label", "dim", "rep", "n", "vec").mapInArrow(run, f"label long, dim int, pivot int, ring int, home int, rep long, n long, vec {kind}")
+    key = ["label", "dim", "cell"]
+    whole = F.xxhash64("label", "dim").alias("cell")
+    rows = classes.select("label", "dim", whole, F.lit(1).alias("home"), "rep", "n", "vec")
+    done = None
+    for level in range(LEVELS):
+        sizes = rows.groupBy(*key).agg(F.sum("home").alias("homes"), F.count("*").alias("all")).where(F.col("homes") >= PIVOT_FROM)
+        sizes = stage(sizes.withColumn("pivots", F.least(F.lit(PIVOTS), F.ceil(2 * F.col("homes") / PIVOT_FROM))).withColumn("blocks", F.ceil(F.col("all") / DEAL).cast("int")), "large")
+        if sizes.isEmpty():
+            break
+        # large cells are few next to rows: at most one in PIVOT_FROM
+        drawn = rows.join(sizes, key).withColumn("u", F.pmod(F.xxhash64("rep", F.lit(level)), F.lit(1 << 30)) / (1 << 30))
+        pivots = drawn.where((F.col("home") == 1) & (F.col("u") < F.col("pivots") / F.col("homes"))).select(*key, F.lit(0).alias("role"), "blocks", "homes", "vec")
+        trial = drawn.where((F.col("home") == 1) & (F.col("u") >= 0.5) & (F.col("u") < 0.5 + F.least(F.lit(0.5), TRIAL / F.col("homes")))).select(*key, F.lit(1).alias("role"), "blocks", "homes", "vec")
+        pivots = stage(pivots, "pivots")
+        good = stage(map_groups(pivots.unionByName(trial).drop("blocks"), key, _pays(reach), "label long, dim int, cell long"), "split")
+        if good.isEmpty():
+            break
+        split = rows.join(sizes, key).join(good, key, "left_semi")
+        block = F.pmod(F.xxhash64("rep", F.lit(level), F.lit(1)), F.col("blocks")).cast("int")
+        dealt = split.select(*key, block.alias("block"), F.lit(1).alias("role"), "home", "rep", "n", "vec")
+        each = pivots.join(good, key, "left_semi").select(*key, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "role", *[F.lit(0).cast(t).alias(c) for c, t in (("home", "int"), ("rep", "long"), ("n", "long"))], "vec")
+        fresh = map_groups(dealt.unionByName(each), [*key, "block"], _dealt(reach), f"label long, dim int, cell long, place long, home int, rep long, n long, vec {kind}")
+        fresh = fresh.withColumn("cell", F.xxhash64("cell", "place")).drop("place")
+        rest = rows.join(good, key, "left_anti")
+        done = rest if done is None else done.unionByName(rest)
+        rows = stage(fresh, "cells")
+    return rows if done is None else done.unionByName(rows)
 
 
 def _join(threshold: float):
@@ -106,8 +166,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
 
     Vectors link when their labels are equal and not null and their cosine, in double precision, is at least threshold.
     n_links counts the other rows linked directly; component_id is the smallest vec_id reachable by links. Equal vectors
-    stand as one class with a count. Classes are dealt to cells around broadcast pivots (at most MAX_PIVOTS in all); a cell
-    joins on its own, in blocks of BLOCK rows, against its members and the boundary copies that the triangle inequality
+    stand as one class with a count. Classes are dealt to cells around pivots, in levels (`_cells`); a cell joins on its own, in blocks of BLOCK rows, against its members and the boundary copies that the triangle inequality
     asks for. Links are counted where they are found and only a forest of them leaves a task, never the pairs.
 
     Vectors that are null, empty, zero or hold null or non-finite components, rows without a label and rows with a null
@@ -123,19 +182,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     key = ["label", "dim", "k1", "k2"]
     good = rows.where("vec IS NOT NULL")
     classes = stage(good.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec")), "vectors")
-    # pivots: only groups that are large, and large in proportion, have any, so that their number is bounded
-    total = classes.count()
-    sizes = classes.groupBy("label", "dim").count().where(F.col("count") >= max(PIVOT_FROM, total // MAX_PIVOTS)).collect()
-    want = {(r["label"], r["dim"]): max(1, min(256, r["count"] // PIVOT_FROM * 2, MAX_PIVOTS * r["count"] // total)) for r in sizes}
-    pivots = {}
-    for (label, dim), n in want.items():
-        some = classes.where((F.col("label") == label) & (F.col("dim") == dim)).orderBy(F.xxhash64("k1", F.lit(3)), "rep").select("vec").limit(n)
-        pivots[label, dim] = unit(np.array([r["vec"] for r in some.collect()]))
     reach = float(np.sqrt(2 - 2 * threshold)) + 1e-7
-    cells = stage(_cells(classes, pivots, reach), "cells")
-    cell = ["label", "dim", "pivot", "ring"]
-    blocks = cells.groupBy(*cell).agg(F.ceil(F.sum("home") / BLOCK).cast("int").alias("rows"), F.ceil(F.count("*") / BLOCK).cast("int").alias("cols")).where("rows > 0")
-    dealt = cells.join(blocks, cell)
+    cells = _cells(classes, reach)
+    cell = ["label", "dim", "cell"]
+    blocks = cells.groupBy(*cell).agg(F.ceil(F.sum("home") / BLOCK).cast("int").alias("rows"), F.ceil(F.count("*") / BLOCK).cast("int").alias("cols"), F.count("*").alias("members")).where("rows > 0")
+    blocks = stage(blocks, "blocks")
+    total = blocks.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    dealt = spread_join(cells.select("cell", "label", "dim", "home", "rep", "n", "vec"), blocks.select("cell", "label", "dim", "rows", "cols", "members"), ["cell", "label", "dim"], "members", total)
     part = lambda n: F.pmod(F.xxhash64("rep", F.lit(5)), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = dealt.where("home = 1").select("*", part("rows").alias("x"), all_of("cols").alias("y"))
@@ -145,8 +198,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     named = components(found.where("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b")), "vector-links")
     done = classes.select(*key, "rep", "n").join(links, "rep", "left").join(named.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    done = stage(done.select(*key, (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "classes")
-    linked = rows.where("vec IS NOT NULL").select("vec_id", *key).join(done, key)
+    done = stage(done.select(*key, "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "classes")
+    # equal vectors may be a third of all rows
+    linked = spread_join(rows.where("vec IS NOT NULL").select("k1", "k2", "label", "dim", "vec_id"), done, ["k1", "k2", "label", "dim"], "n", done.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     alone = rows.where("vec IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.select("vec_id", "n_links", "component_id").unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -7,11 +7,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramlake.llm.runtime import stage
+from gramlake.llm.runtime import free, plan_bytes, stage
 
 #: Terms of the inverted distribution of one draw: its rate is at most MAX_RATE, where the tail beyond is under 1e-15.
 #: Higher rates are sums of independent draws.
 MAX_RATE, TERMS = 8.0, 48
+#: Bytes of input that a range of the global order takes, as files hold it.
+PART_BYTES = 128 << 20
 
 
 def uniform(*parts: Column) -> Column:
@@ -66,22 +68,24 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
 
     The count inverts the Poisson distribution at uniform numbers hashed from (doc_id, text, seed), so that a lost task
     repeats itself exactly and copies of a doc_id with other texts draw on their own. Appended: mix_rate (double), mix_copy
-    (int, from 0), mix_key (double, the place in the global order). Columns of those names in docs are replaced; others go
-    through. The order is a partitioning into equal ranges of mix_key, so no source or document gathers in a task.
+    (int, from 0), mix_key (double, the place in the global order). Columns of those three names in docs are replaced; all
+    others go through. The order is a partitioning into equal ranges of mix_key, so no source or document gathers in a task.
 
-    A null source is the source ''. Null doc_ids and texts hash as ''. Identical rows draw the same count. An empty table
+    A null source is the source ''. Null doc_ids and texts hash as ''. Identical rows draw the same count and the same
+    mix_keys; among equal keys the order is not fixed, and cannot be told from the rows. An empty table
     gives an empty result.
     """
+    plain = docs.drop("mix_rate", "mix_copy", "mix_key")
+    src, n = free(plain, "mix_src", "mix_n")
     # written first, so that the plan knows its size: texts are not shuffled to meet a few sources
-    table = stage(rates(docs, weights, temperature, scale).withColumnsRenamed({"src": "mix_src", "rate": "mix_rate"}), "rates")
-    plain = docs.drop("mix_rate", "mix_copy", "mix_key", "mix_src")
-    rows = plain.withColumn("mix_src", F.coalesce("source", F.lit(""))).join(table, "mix_src").drop("mix_src")
+    table = stage(rates(docs, weights, temperature, scale).withColumnsRenamed({"src": src, "rate": "mix_rate"}), "rates")
+    rows = plain.withColumn(src, F.coalesce("source", F.lit(""))).join(table, src).drop(src)
     digest = F.md5(F.coalesce("text", F.lit("")))
     draw = repeats(F.col("mix_rate"), F.col("doc_id"), digest, F.lit(seed))
-    rows = rows.withColumn("mix_n", draw).where("mix_n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_n") - 1))).drop("mix_n")
+    rows = rows.withColumn(n, draw).where(F.col(n) > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col(n) - 1))).drop(n)
     rows = rows.withColumn("mix_key", uniform(F.col("doc_id"), digest, F.lit(seed), F.lit("order"), F.col("mix_copy")))
     if not shuffle:
         return rows
-    # keys are uniform in [0, 1): equal ranges are even without a sampling pass over the texts
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # keys are uniform in [0, 1): equal ranges are even without a sampling pass over the texts; their number follows the input
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(max(scale, 1.0) * (plan_bytes(docs) or 0) / PART_BYTES))
     return rows.repartitionById(parts, F.floor(F.col("mix_key") * parts).cast("int")).sortWithinPartitions("mix_key")

@@ -92,12 +92,15 @@ FROM v LEFT JOIN named ON v.vec_id = named.a LEFT JOIN n ON v.vec_id = n.a
 
 _OP5 = f"""
 WITH RECURSIVE s AS (SELECT coalesce(source, '') AS src, count(*) AS n FROM documents GROUP BY 1),
-r AS (SELECT src, round(least({mixing.MAX_RATE}, (sum(n) OVER ())::DOUBLE / sum(pow(n::DOUBLE, 0.5)) OVER () * pow(n::DOUBLE, 0.5) / n), 9) AS rate FROM s),
-t AS (SELECT src, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS cdf FROM r
-  UNION ALL SELECT src, rate, k + 1, p * rate / (k + 1), cdf + p * rate / (k + 1) FROM t WHERE k < {mixing.TERMS}),
-d AS (SELECT *, coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':11' AS id FROM documents),
-u AS (SELECT *, ('0x' || substr(md5(id), 1, 13))::BIGINT::DOUBLE / {1 << 52} AS u FROM d),
-c AS (SELECT u.*, t.rate, t.k FROM u JOIN t ON coalesce(u.source, '') = t.src AND t.cdf <= u.u AND t.k < {mixing.TERMS})
+r AS (SELECT src, round((sum(n) OVER ())::DOUBLE / sum(pow(n::DOUBLE, 0.5)) OVER () * pow(n::DOUBLE, 0.5) / n, 9) AS rate FROM s),
+per AS (SELECT src, rate, greatest(ceil(rate / {mixing.MAX_RATE}), 1)::INTEGER AS draws, rate / greatest(ceil(rate / {mixing.MAX_RATE}), 1) AS one FROM r),
+t AS (SELECT src, one, 0 AS k, exp(-one) AS p, exp(-one) AS cdf FROM per
+  UNION ALL SELECT src, one, k + 1, p * one / (k + 1), cdf + p * one / (k + 1) FROM t WHERE k < {mixing.TERMS}),
+d AS (SELECT *, row_number() OVER () AS row, coalesce(source, '') AS src, coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':11' AS id FROM documents),
+u AS (SELECT row, d.src, ('0x' || substr(md5(id || CASE WHEN rate <= {mixing.MAX_RATE} THEN '' ELSE ':draw:' || draw END), 1, 13))::BIGINT::DOUBLE / {1 << 52} AS u
+  FROM d JOIN per ON d.src = per.src, unnest(range(1, draws + 1)) AS x(draw)),
+n AS (SELECT row, count(*) AS n FROM u JOIN t ON u.src = t.src AND t.cdf <= u.u AND t.k < {mixing.TERMS} GROUP BY row),
+c AS (SELECT d.*, per.rate, k FROM d JOIN n USING (row) JOIN per ON d.src = per.src, unnest(range(0, n.n)) AS x(k))
 SELECT doc_id, text, lang, source, n_chars, rate AS mix_rate, k::INTEGER AS mix_copy,
   ('0x' || substr(md5(id || ':order:' || k), 1, 13))::BIGINT::DOUBLE / {1 << 52} AS mix_key
 FROM c

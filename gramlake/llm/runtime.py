@@ -61,33 +61,76 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(parts)
 
 
-def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:
-    """fn on the rows of each key, streamed from sorted partitions: many small groups share one Python call."""
+def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table | None], schema: str, parts: int | None = None) -> DataFrame:
+    """fn on the rows of each key, streamed from sorted partitions: many small groups share one Python call. With parts, the
+    only key is a number below parts, and each is a partition of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, keys):
             if (out := fn(table)) is not None:
                 yield from out.to_batches()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    dealt = df.repartitionById(parts, F.col(keys[0])) if parts else df.repartition(*keys)
+    return dealt.sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+#: A key with over one in HOT of the rows is joined by broadcast: there are fewer than HOT such keys, of a few numbers each.
+HOT = 1024
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names like names that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def plan_bytes(df: DataFrame) -> int | None:
+    """Bytes that Spark's statistics give df, or None where it does not know."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else None
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """left joined to right (inner) on keys that are unique in right and the first of which is a long, wherever one key may
+    have a third of left's rows: right's column count has the number of left's rows. Keys with over one in HOT of total
+    rows meet theirs by broadcast, and then have a key of their own in the shuffled join of the others."""
+    values = [c for c in right.columns if c not in keys and c != count]
+    hot = right.where(F.col(count) > total // HOT).select(*[F.col(k).alias(f"hot_{k}") for k in keys], *[F.col(v).alias(f"hot_{v}") for v in values])
+    same = [F.col(k) == F.col(f"hot_{k}") for k in keys]
+    out = left.join(F.broadcast(hot), same, "left").withColumn("cold_key", F.when(F.col(f"hot_{keys[0]}").isNull(), F.col(keys[0])).otherwise(F.xxhash64(*left.columns)))
+    cold = right.where(F.col(count) <= total // HOT).select(F.col(keys[0]).alias("cold_key"), *[F.col(k).alias(f"cold_{k}") for k in keys[1:]], *[F.col(v).alias(f"cold_{v}") for v in values], F.lit(True).alias("cold_found"))
+    on = ["cold_key", *[F.col(k) == F.col(f"cold_{k}") for k in keys[1:]]]
+    if len(keys) > 1:
+        cold = cold.withColumnRenamed("cold_key", "cold_first")
+        on = [F.col("cold_key") == F.col("cold_first"), *on[1:]]
+    out = out.join(cold, on, "left")
+    is_hot = F.col(f"hot_{keys[0]}").isNotNull()
+    out = out.where(is_hot | F.col("cold_found"))
+    return out.select(*left.columns, *[F.when(is_hot, F.col(f"hot_{v}")).otherwise(F.col(f"cold_{v}")).alias(v) for v in values])
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(node, component) for every node of edges (a, b) that is not the smallest of its connected component.
 
-    Alternates large-star and small-star steps, each a min-aggregate and a join on integer ids, so that a hub's rows
-    pre-aggregate and its join partition can be split. Every round is a staged table; nothing is collected.
+    Alternates large-star and small-star steps, each a min-aggregate and a join on integer ids. A hub's rows pre-aggregate,
+    and its join is a broadcast of one row (`spread_join`). Every round is a staged table; nothing is collected.
     """
     size = [F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))]
     now = stage(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct(), label)
     mark = now.agg(*size).first()
     while mark[0]:
-        both = now.select(F.col("lo").alias("node"), F.least("lo", "hi").alias("m")).unionByName(now.select(F.col("hi").alias("node"), F.col("lo").alias("m")))
-        least = both.groupBy("node").agg(F.min("m").alias("m"))
-        large = now.join(least, now["lo"] == least["node"]).select("hi", F.col("m").alias("lo")).where("hi <> lo").distinct()
-        least = large.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("m"))
-        small = large.join(least, large["hi"] == least["node"]).select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
-        after = stage(small.unionByName(least.select(F.col("node").alias("hi"), F.col("m").alias("lo"))).distinct(), label)
+        down = now.select(F.col("lo").alias("node"), F.col("lo").alias("m"), F.lit(1).alias("n"))
+        least = down.unionByName(now.select(F.col("hi").alias("node"), F.col("lo").alias("m"), F.lit(0).alias("n"))).groupBy("node").agg(F.min("m").alias("m"), F.sum("n").alias("n"))
+        large = spread_join(now, least.where("n > 0").withColumnRenamed("node", "lo"), ["lo"], "n", mark[0])
+        large = large.select("hi", F.col("m").alias("lo")).where("hi <> lo").distinct()
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, least, ["hi"], "n", mark[0]).select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
+        after = stage(small.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct(), label)
         new = after.agg(*size).first()
         release(now)
         now = after

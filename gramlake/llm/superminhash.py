@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramlake.llm.runtime import components, map_groups, stage
-from gramlake.llm.text import as_bytes, mix, pieces, shingle_sets
+from gramlake.llm.runtime import HOT, components, free, map_groups, spread_join, stage
+from gramlake.llm.text import mix, shingle_sets, text_pieces
 
 #: Slots of a signature, a prime; the first BANDS * BAND_ROWS are banded. A pair at 0.8 shares no band with probability 7e-6.
 SLOTS, BANDS, BAND_ROWS = 151, 30, 5
@@ -83,9 +83,8 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column(1))
-            for part in pieces(texts):
-                sets = shingle_sets(texts[part], width)
+            for part, texts in text_pieces(batch.column(1)):
+                sets = shingle_sets(texts, width)
                 sig = signatures(sets)
                 digest = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]).reshape(-1, 2)
                 marks = (sig & np.uint64(255)).astype(np.uint8)
@@ -164,8 +163,7 @@ def _verified(rows: DataFrame, width: int, percent: int) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         ids = t["doc_id"].to_numpy()
-        texts = as_bytes(t["text"].combine_chunks())
-        sets = [s for part in pieces(texts) for s in shingle_sets(texts[part], width)]
+        sets = [s for _, texts in text_pieces(t["text"].combine_chunks()) for s in shingle_sets(texts, width)]
         marks = np.frombuffer(b"".join(t["marks"].to_pylist()), np.uint8).reshape(len(ids), -1)
         found = list(linked(sets, marks, t["label"].to_numpy(), t["home"].to_numpy().astype(bool), percent))
         return pa.table({"a": pa.array([ids[x] for x, _ in found], pa.int64()), "b": pa.array([ids[y] for _, y in found], pa.int64())})
@@ -190,19 +188,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     An empty table gives an empty result. Other columns, whatever their names, are not read.
     """
     sig = stage(signed(docs.select(F.col("doc_id").cast("long"), "text"), width), "signatures")
-    one = stage(sig.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "sets")
+    some = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    one = stage(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "sets")
+    total = one.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     # any row of (digest, doc_id) will do: equal sets have equal bands
-    reps = sig.join(one.withColumnsRenamed({"rep": "doc_id"}), ["d1", "d2", "doc_id"], "left_semi").select("doc_id", "n_shingles", "bands", "marks")
+    reps = spread_join(some.select("d1", "d2", "doc_id", "n_shingles", "bands", "marks"), one, ["d1", "d2"], "copies", total)
+    reps = stage(reps.where("doc_id = rep").select("doc_id", "n_shingles", "bands", "marks"), "reps")
     keyed = reps.select("doc_id", F.explode("bands").alias("band"))
-    heads = keyed.groupBy("band").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head <> last").select("band", "head")
-    pairs = keyed.join(heads, "band").where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
+    heads = keyed.groupBy("band").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("head <> last").select("band", "head", "n")
+    pairs = spread_join(keyed, heads, ["band"], "n", BANDS * reps.count()).where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     group = stage(components(pairs, "candidates"), "groups")
     group = group.unionByName(group.select(F.col("component").alias("node"), "component").distinct())
     known = stage(reps.join(group, reps["doc_id"] == group["node"]).select("doc_id", F.col("component").alias("cc"), "n_shingles", "marks"), "members")
     sizes = known.groupBy("cc").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"))
     sizes = sizes.select("cc", "n", F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    members = known.count()
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
-    full = stage(known.join(sizes, "cc").join(texts, "doc_id"), "texts")
+    full = stage(spread_join(known, sizes, ["cc"], "n", members).join(texts, "doc_id"), "texts")
     # a group of one block is one task
     task = F.xxhash64("cc", F.lit(0), F.lit(0))
     alone = full.where("blocks = 1").select(task.alias("task"), F.lit(1).alias("home"), "doc_id", F.col("doc_id").alias("label"), "marks", "text")
@@ -218,38 +220,43 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         star = stage(_verified(first, width, percent), "pivots")
         joined = components(star, "pivot-groups").select(F.col("node").alias("doc_id"), "component")
         marked = stage(large.join(joined, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component"), "labelled")
-        main = marked.groupBy("cc", "label").count().groupBy("cc").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-        marked = marked.join(main, "cc").withColumn("loose", F.col("label") != F.col("main"))
-        loose = marked.where("loose").groupBy("cc").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("rows"))
-        marked = marked.join(loose, "cc").withColumn("own", _block(F.col("rows")).cast("int")).withColumn("block", _block(F.col("blocks")).cast("int"))
+        main = marked.groupBy("cc", "label").count().groupBy("cc").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("n"))
+        marked = spread_join(marked, main, ["cc"], "n", members).withColumn("loose", F.col("label") != F.col("main"))
+        here = lambda x: F.when(F.col("loose"), x)
+        loose = marked.groupBy("cc").agg(F.greatest(F.ceil(F.count(here(F.lit(1))) / BLOCK_DOCS), F.ceil(F.sum(here(F.col("n_shingles"))) / BLOCK_SHINGLES)).cast("int").alias("rows"), F.count("*").alias("n")).where("rows > 0")
+        marked = spread_join(marked, loose, ["cc"], "n", members).withColumn("own", _block(F.col("rows")).cast("int")).withColumn("block", _block(F.col("blocks")).cast("int"))
         mine = marked.where("loose").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y")).withColumn("x", F.col("own")).withColumn("home", F.lit(1))
         # a loose member meets those of its own block as a home row
         other = marked.select("*", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("x")).withColumn("y", F.col("block")).where("NOT (loose AND own = x)").withColumn("home", F.lit(0))
         rest = mine.unionByName(other).select(F.xxhash64("cc", "x", "y", F.lit(2)).alias("task"), "home", "doc_id", "label", "marks", "text")
         edges = edges.unionByName(star).unionByName(_verified(rest, width, percent))
     named = components(edges, "links").select(F.col("node").alias("rep"), "component")
-    final = stage(one.join(named, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component")), "components")
-    out = sig.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 AND doc_id IS NOT NULL"), F.col("d1")).alias("d1"), "d2")
-    # rows without a set get a key of their own, so that nulls do not meet in one task
-    out = out.withColumn("d1", F.coalesce("d1", F.xxhash64("doc_id", "n_shingles", F.lit("none"))))
-    out = out.join(final, ["d1", "d2"], "left")
-    some = F.expr("n_shingles > 0 AND doc_id IS NOT NULL")
-    out = out.withColumn("component_id", F.when(some, F.col("component")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    final = stage(one.join(named, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"), "copies"), "components")
+    out = spread_join(some.select("doc_id", "n_shingles", "d1", "d2"), final, ["d1", "d2"], "copies", total).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    rest = sig.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns, less all but one document of each group of near-duplicates: the smallest doc_id stays.
 
-    Of rows that share a doc_id the one with the least text stays. Rows with a null doc_id stay.
+    Of rows that share a doc_id one with the least text stays. Rows with a null doc_id stay.
+    Other columns may have any names.
     """
+    (key,) = free(docs, "kept_id")
     ids = near_duplicates(docs, width, percent).where("kept AND doc_id IS NOT NULL")
-    ids = stage(ids.groupBy("doc_id").agg(F.count("*").alias("n")).withColumnRenamed("doc_id", "kept_id"), "kept")
+    ids = stage(ids.groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("n")), "kept")
+    total = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     own = docs["doc_id"].cast("long")
-    out = docs.join(ids.where("n = 1"), own == F.col("kept_id"), "left_semi").unionByName(docs.where(docs["doc_id"].isNull()))
+    # ids with over one in HOT of the rows, fewer than HOT: their rows are found by broadcast
+    hot = F.broadcast(ids.where((F.col("n") > 1) & (F.col("n") > total // HOT)).select(key))
+    cold = docs.join(hot, own == F.col(key), "left_anti")
+    own_cold = cold["doc_id"].cast("long")
+    out = cold.join(ids.where("n = 1").select(key), own_cold == F.col(key), "left_semi").unionByName(docs.where(docs["doc_id"].isNull()))
     again = ids.where("n > 1")
     if not again.isEmpty():
-        rows = docs.join(again, own == F.col("kept_id"), "left_semi")
-        one = rows.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce("text", F.lit(""))).alias("row"))
-        out = out.unionByName(one.select("row.*"))
+        few = again.where(F.col("n") <= total // HOT).select(key)
+        rows = docs.join(hot, own == F.col(key), "left_semi").unionByName(cold.join(few, own_cold == F.col(key), "left_semi"))
+        one = rows.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce("text", F.lit(""))).alias("least"))
+        out = out.unionByName(one.select("least.*"))
     return out

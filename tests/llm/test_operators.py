@@ -72,6 +72,25 @@ def test_embeddings_equal_all_pairs(spark, monkeypatch, pivot_from, block):
     assert metric_join.near_vectors(df.where("false")).count() == 0
 
 
+def test_cells_split_in_levels(spark, monkeypatch):
+    """Clustered vectors, a label with most of them: cells shrink over levels, and the links stay those of all pairs."""
+    monkeypatch.setattr(metric_join, "PIVOT_FROM", 12)
+    monkeypatch.setattr(metric_join, "PIVOTS", 80)
+    monkeypatch.setattr(metric_join, "BLOCK", 16)
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(40, 24))
+    data = [(k, [float(x) for x in centres[k % 40] + r.normal(size=24) * (0.02 if k % 3 else 0.16)], 0 if k % 5 else 1) for k in range(700)]
+    data += [(1000 + k, data[3][1], 0) for k in range(300)]  # a third are equal
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    rows = df.select(F.col("label").cast("long").alias("label"), F.lit(24).alias("dim"), F.col("vec_id").alias("rep"), F.lit(1).cast("long").alias("n"), F.col("embedding").alias("vec"))
+    cells = metric_join._cells(rows.where("rep < 700"), 0.375).collect()
+    assert sum(c.home for c in cells) == 700 and len({c.cell for c in cells}) > 20
+    largest = collections.Counter(c.cell for c in cells if c.home).most_common(1)[0][1]
+    assert largest < 200
+    got = [(x.vec_id, x.n_links, x.component_id) for x in metric_join.near_vectors(df).collect()]
+    assert sorted(got, key=str) == sorted(plain_links(data, 0.93), key=str)
+
+
 # op2
 
 
@@ -137,12 +156,12 @@ def test_lm_score_is_the_formula(spark):
     n, v = sum(c for w, c in one.items() if w is not None), len(one) - 1
     singles, twos = (sum(c == k for c in two.values()) for k in (1, 2))
     d = singles / (singles + 2 * twos)
-    q = lambda c: 0 if c < 2 else c if c <= 4 else 4 * 1.25 ** math.floor(math.log(c / 4, 1.25) + 1e-9)
+    q = lambda c: 0 if c < 2 else c if c <= 4 else 4 * 1.4 ** math.floor(math.log(c / 4, 1.4) + 1e-9)
     mass = collections.Counter()
     for (b, _), c in two.items():
-        if c >= 2:
+        if c >= 2 and one[b] >= 4:
             mass[b] += q(c) - d
-    p = lambda b, a: (max(q(two[b, a]) - d, 0) + (one[b] - mass[b]) * (one[a] + 1) / (n + v + 1)) / one[b] if one[b] else (one[a] + 1) / (n + v + 1)
+    p = lambda b, a: ((max(q(two[b, a]) - d, 0) if one[b] >= 4 else 0) + (one[b] - mass[b]) * (one[a] + 1) / (n + v + 1)) / one[b] if one[b] else (one[a] + 1) / (n + v + 1)
     want = collections.defaultdict(list)
     for i, t, *_ in rows():
         stream = [None, *words(t), 0]
@@ -186,7 +205,8 @@ def test_lm_probabilities_sum_to_one(spark):
     assert len(every) == len(one) and c_after[-1] == 0
     for h in [bloom_lm.BEGIN, *head[0][:: len(head[0]) // 40], np.uint64(777)]:
         c, s = bloom_lm.find(head, np.array([h]))
-        total = 10 ** model.log10(np.full(len(every), h), every, np.repeat(c, len(every)), np.repeat(s, len(every)), c_after)
+        many = lambda x: np.repeat(x, len(every))
+        total = 10 ** model.smoothed(model.probed(many(h), every, many(s)), many(c), many(s), c_after)
         assert abs(total.sum() - 1) < 0.01
 
 
@@ -200,14 +220,14 @@ def test_lm_filter_holds_counts(spark):
     others = np.arange(5000, 400_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     assert (shards.levels(np.zeros(len(others), np.int64), others) > 0).sum() <= 2
     v = bloom_lm.value(bloom_lm.level(counts))
-    assert (v <= counts + 1e-6).all() and (v > 0.75 * counts).all()
+    assert (v <= counts + 1e-6).all() and (v > 0.7 * counts).all()
 
 
 # op3
 
 
 def test_pieces_equal_the_library(spark, docs):
-    tool = pieces.load(tokenizer())
+    tool = pieces.load(open(tokenizer(), "rb").read())
     odd = ["", " ", "  two  spaces ", "a\nb\tc", "▁", "x▁▁y", "naïve 中文字 😀 \u0000", "<s> </s> <0x0A>", "   ", "e\u0301", "tail   ", prose(9, 3000), "z" * 4000]
     assert tool.ids(odd) == tool.model.encode(odd, add_bos=True, add_eos=True)
     for text in odd:
@@ -217,6 +237,18 @@ def test_pieces_equal_the_library(spark, docs):
         assert [s[0] for s in spans] == [p.id for p in ref]
         assert [(s[1], s[2]) for s in spans if s[0] not in tool.byte] == [(p.begin, p.end) for p in ref if p.id not in tool.byte]
         assert all(0 <= a <= b <= len(raw) for _, a, b in spans)
+    # all at once, and again from memory, and after it was full
+    for memory in (200_000, 200_000, 3):
+        pieces.MEMORY = memory
+        ids, bounds, spans, decoded = tool.batch([x.encode() for x in odd])
+        for k, text in enumerate(odd):
+            own = slice(bounds[k], bounds[k + 1])
+            assert ids[own].tolist() == tool.model.encode(text, add_bos=True, add_eos=True)
+            assert decoded[k].decode() == tool.model.decode(ids[own].tolist())
+            assert [tuple(x) for x in spans[own].tolist()[1:-1]] == [x[1:] for x in tool.spans(text)]
+            assert spans[own][0].tolist() == [0, 0] and spans[own][-1].tolist() == [len(text.encode())] * 2
+    pieces.MEMORY = 200_000
+    assert tool.batch([])[0].tolist() == [] and tool.batch([b""])[0].tolist() == [tool.begin, tool.end]
     got = collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in pieces.encoded(docs, tokenizer()).collect())
     want = collections.Counter()
     for i, t, *_ in rows():
@@ -238,7 +270,7 @@ def test_encoded_walks_the_map_and_gives_spans(spark, tmp_path):
         proto.normalizer_spec.name, proto.normalizer_spec.remove_extra_whitespaces = "user_defined", trim
         at = tmp_path / f"map{trim}.model"
         at.write_bytes(proto.SerializeToString())
-        tool = pieces.load(str(at))
+        tool = pieces.load(at.read_bytes())
         seen = []
         walk = tool.map.match
         tool.map.match = lambda text, k, walk=walk, seen=seen: seen.append(k) or walk(text, k)
@@ -250,9 +282,22 @@ def test_encoded_walks_the_map_and_gives_spans(spark, tmp_path):
             ref = tool.model.encode(t or "", return_type="proto").pieces
             assert got[k].ids == [tool.begin, *(p.id for p in ref), tool.end]
             assert [s.id for s in got[k].spans] == [p.id for p in ref]
+            flat = np.array([(0, 0), *((s.start, s.end) for s in got[k].spans), (len((t or "").encode()),) * 2], "<i4")
+            assert got[k].spans_sha256 == hashlib.sha256(flat.tobytes()).hexdigest()
             assert [(s.start, s.end) for s in got[k].spans if s.id not in tool.byte] == [(p.begin, p.end) for p in ref if p.id not in tool.byte]
 
 
+def test_random_texts_encode_as_the_library_does():
+    tool = pieces.load(open(tokenizer(), "rb").read())
+    r = np.random.default_rng(4)
+    alphabet = [*" ab\n▁é中😀\u0301\t<0x41>", "  ", "▁▁", "the", " ing"]
+    texts = ["".join(r.choice(alphabet, r.integers(0, 14))) for _ in range(3000)]
+    ids, bounds, _, decoded = tool.batch([t.encode() for t in texts])
+    for k, t in enumerate(texts):
+        want = tool.model.encode(t, add_bos=True, add_eos=True)
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == want and decoded[k].decode() == tool.model.decode(want), t
+
+
 def darts(entries):
     """A double-array trie of byte strings, as the compiled maps hold it: for the test of CharsMap only."""
     strings, places = b"", {}
@@ -401,6 +446,20 @@ def test_mixing_meets_targets_and_repeats_itself(spark, docs):
     keys = [r.mix_key for r in got]
     assert keys == sorted(keys) and len(set(keys)) == len(keys)
     assert mixing.mixed(docs).count() > 0 and mixing.mixed(empty(spark)).count() == 0
+    own = docs.withColumn("mix_n", F.lit("mine")).withColumn("mix_src", F.lit(7)).withColumn("mix_src_", F.lit(8)).withColumn("mix_rate", F.lit("old"))
+    mixed = mixing.mixed(own)
+    assert mixed.columns == [*[c for c in own.columns if c != "mix_rate"], "mix_rate", "mix_copy", "mix_key"]
+    assert {(x.mix_n, x.mix_src, x.mix_src_) for x in mixed.collect()} == {("mine", 7, 8)}
+
+
+def test_mixing_ranges_follow_the_input(spark, docs, tmp_path, monkeypatch):
+    docs.write.parquet(str(tmp_path / "d"))
+    monkeypatch.setattr(mixing, "PART_BYTES", 4000)
+    table = spark.read.parquet(str(tmp_path / "d"))
+    mixed = mixing.mixed(table)
+    assert mixed.rdd.getNumPartitions() > 10
+    keys = [x.mix_key for x in mixed.collect()]
+    assert keys == sorted(keys) and len(keys) == mixing.mixed(docs).count()
 
 
 def test_mixing_meets_targets_above_one_draw(spark):
@@ -541,6 +600,36 @@ def test_urls_equal_the_rules_read_plainly(spark):
     assert url_cascade.judged(df.where("false")).count() == 0
 
 
+def test_block_list_is_a_table_of_any_size(spark, monkeypatch):
+    urls = [f"http://{a}h{k}.net.de/x" for k in range(300) for a in ("", "www.")] + ["http://example.org/fr/", None, "http://h7.net.de.evil/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    hosts = [f"h{k}.net.de" for k in range(0, 300, 7)]
+    listed = spark.createDataFrame([(h, 1) for h in [*hosts, None, "", hosts[0]]], "name string, why int")
+    want = {k: plain_url(u, url_cascade.RULES, hosts)[3] for k, u in enumerate(urls)}
+    assert {"block", "allow"} == set(want.values())
+    for bound in (1 << 20, 16):
+        cascade = url_cascade.Cascade
+        monkeypatch.setattr(url_cascade, "Cascade", lambda a, b, max_bytes=bound: cascade(a, b, max_bytes))  # noqa: B023
+        assert {r.page_id: r.verdict for r in url_cascade.judged(df, blocked=listed).collect()} == want
+        monkeypatch.setattr(url_cascade, "Cascade", cascade)
+    assert {r.verdict for r in url_cascade.judged(df, blocked=listed.where("false")).collect()} == {"allow"}
+
+
+def test_probe_time_does_not_grow_with_the_filter(spark):
+    import time
+
+    took = []
+    for size in (1 << 10, 1 << 22):
+        c = url_cascade.Cascade.__new__(url_cascade.Cascade)
+        c.levels = [(size * 8, bytes(size))]
+        keys = spark.range(20_000).select(F.col("id").cast("string").alias("key"))
+        keys.where(c.contains(F.col("key"))).count()
+        began = time.time()
+        assert keys.where(c.contains(F.col("key"))).count() == 0
+        took.append(time.time() - began)
+    assert took[1] < 10 * took[0] + 2
+
+
 def test_cascade_is_exact_over_its_universe(spark, monkeypatch):
     monkeypatch.setattr(url_cascade, "BITS_A_KEY", 2)  # many false positives: many levels
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
@@ -579,9 +668,47 @@ def test_near_duplicates_equal_all_pairs(spark, docs, monkeypatch, block):
     assert kept.columns == docs.columns
     best = near_groups([(i, t) for i, t, *_ in rows()], 5, 80)
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([str(i) for i in set(best.values())] + ["None", "None"])
+    own = docs.withColumn("kept_id", F.lit("mine")).withColumn("kept_id_", F.lit(2)).withColumn("least", F.lit(1)).withColumn("d1", F.lit(3))
+    again = superminhash.deduplicated(own, 5, 80)
+    assert again.columns == own.columns and sorted(str(r.doc_id) for r in again.collect()) == sorted(str(r.doc_id) for r in kept.collect())
     assert superminhash.near_duplicates(empty(spark)).count() == 0 and superminhash.deduplicated(empty(spark)).count() == 0
 
 
+def test_hubs_meet_by_broadcast(spark, monkeypatch):
+    """A key with half of all rows never gathers in a task of the shuffled join."""
+    left = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.lit(5)).otherwise(F.col("id")).alias("k"), F.col("id").alias("x"))
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.max("x").alias("m")).where("k <> 7")
+    out = runtime.spread_join(left, right, ["k"], "n", 4000)
+    want = left.join(right, "k").select("k", "x", "m")
+    assert out.exceptAll(want).count() == 0 and want.exceptAll(out).count() == 0
+    sizes = [len(p) for p in out.rdd.glom().collect()]
+    assert max(sizes) < 0.5 * sum(sizes)
+
+
+def test_copies_and_repeated_ids_of_a_third_of_all_rows(spark):
+    data = [(k, prose(k, 30), "en", "s", 1) for k in range(60)] + [(1000 + k, prose(1, 30), "en", "s", 1) for k in range(60)]
+    data += [(5, prose(5, 30), "en", "s", 1)] * 60 + [(9, "one more text of this id", "en", "s", 1)]
+    got = {r.doc_id: r.component_id for r in superminhash.near_duplicates(spark.createDataFrame(data, DOCS), 4, 80).collect()}
+    assert got == near_groups([(i, t) for i, t, *_ in data], 4, 80)
+    kept = superminhash.deduplicated(spark.createDataFrame(data, DOCS), 4, 80).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(60))
+
+
+def test_pairs_just_above_the_threshold_are_found(spark):
+    """Recall of the bands against all pairs, where they miss most: similarities from 0.80 to 0.86."""
+    r, data, want = np.random.default_rng(6), [], 0
+    for k in range(1500):
+        w = [f"q{k}_{j}" for j in range(120)]
+        v = list(w)
+        for j in r.choice(115, 3 if k % 2 else 2, replace=False):  # a changed word breaks up to four shingles
+            v[j] = f"z{k}_{j}"
+        a, b = ({tuple(x[j : j + 4]) for j in range(117)} for x in (w, v))
+        data += [(2 * k, " ".join(w), "en", "s", 1), (2 * k + 1, " ".join(v), "en", "s", 1)]
+        want += 100 * len(a & b) >= 80 * len(a | b)
+    got = superminhash.near_duplicates(spark.createDataFrame(data, DOCS), 4, 80).where("NOT kept").count()
+    assert want > 500 and got == want
+
+
 def test_superminhash_estimates_with_less_variance():
     r = np.random.default_rng(5)
     errors, plain = [], []
@@ -615,9 +742,28 @@ def test_shards_are_even_and_stable(spark, docs):
         maglev.table(["a", "a"])
 
 
+@pytest.mark.parametrize("n,slots", [(1, 7), (3, 7), (5, 31), (7, 101)])
+def test_table_is_filled_in_turns(n, slots):
+    names = [f"s{k}" for k in range(n)]
+    prefer = []
+    for name in names:
+        d = hashlib.md5(name.encode()).hexdigest()
+        offset, skip = int(d[:16], 16) % slots, int(d[16:], 16) % (slots - 1) + 1
+        prefer.append([(offset + j * skip) % slots for j in range(slots)])
+    want, turn = {}, 0
+    while len(want) < slots:
+        free = next(x for x in prefer[turn % n] if x not in want)
+        want[free] = turn % n
+        turn += 1
+    assert maglev.table(names, slots).tolist() == [want[k] for k in range(slots)]
+
+
 def test_written_shards(spark, docs, tmp_path):
     maglev.write_shards(docs, ["a", "b", "c"], str(tmp_path / "out"), files=2)
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows())
+    for k in range(3):
+        files = list((tmp_path / "out" / f"shard={k}").glob("*.parquet"))
+        assert len(files) == 2
 
 
 # op10
@@ -630,17 +776,16 @@ def test_counts_equal_a_unigram_tokenizer(spark, docs):
     proto = sentencepiece_model_pb2.ModelProto()
     with open(tokenizer(), "rb") as f:
         proto.ParseFromString(f.read())
-    # specials and bytes need entries; no text reaches them at so low a score
-    vocabulary = [(p.piece, p.score if p.type == p.NORMAL else -2e9) for p in proto.pieces]
+    # specials and bytes need entries; no text here holds them. The lowest score, which unknown characters go by, stays.
+    least = min(p.score for p in proto.pieces if p.type == p.NORMAL)
+    vocabulary = [(p.piece, p.score if p.type == p.NORMAL else least) for p in proto.pieces]
     plain = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=True))
     plain.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
-    tool = viterbi_count.Counter([(p.piece, p.score) for p in proto.pieces if p.type == p.NORMAL])
-    tool.unknown = min(s for _, s in vocabulary) - viterbi_count.UNKNOWN_PENALTY
+    tool = viterbi_count.load(open(tokenizer(), "rb").read())
     odd = ["", " ", "a", "  two  spaces ", "a\nb\tc", "naïve 中文字 😀x", "▁x▁▁y", "aaaaaaaaab" * 30, "indubitably un-re-lated"] + [t for _, t, *_ in rows() if t]
     assert [tool.count(t) for t in odd] == [len(plain.encode(t, add_special_tokens=False).ids) for t in odd]
     got = collections.Counter((r.doc_id, r.n_tokens) for r in viterbi_count.counted(docs, tokenizer()).collect())
-    own = viterbi_count.load(tokenizer())
-    assert got == collections.Counter((i, own.count(t)) for i, t, *_ in rows())
+    assert got == collections.Counter((i, len(plain.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in rows())
     assert viterbi_count.counted(empty(spark), tokenizer()).count() == 0
 
 
