@@ -142,9 +142,28 @@ def quantile_exact(x: np.ndarray, y: np.ndarray, tau: float, w: np.ndarray | Non
         if np.linalg.matrix_rank(a[[*basis, k]]) == len(basis) + 1:
             basis.append(int(k))
         if len(basis) == p:
-            vertex = np.linalg.solve(a[basis], y[basis])
-            return vertex if loss(vertex) <= loss(beta) * (1 + 1e-9) + 1e-12 else beta
-    return beta
+            break
+    if len(basis) < p:
+        return beta
+    # from vertex to vertex along edges, each to the least of its piecewise-linear loss, until none is lower
+    vertex, value = np.linalg.solve(a[basis], y[basis]), math.inf
+    better = True
+    while better:
+        better = False
+        for k in range(p):
+            d = np.linalg.solve(a[basis], np.eye(p)[k])
+            c, r = a @ d, y - a @ vertex
+            at = np.flatnonzero(np.abs(c) > 1e-12)
+            t = r[at] / c[at]
+            pull = w[at] * np.abs(c[at])
+            order = np.argsort(t, kind="stable")
+            want = (pull * np.where(c[at] > 0, tau, 1 - tau)).sum()
+            i = at[order[min(int(np.searchsorted(np.cumsum(pull[order]), want * (1 - 1e-12))), len(order) - 1)]]
+            new = vertex + r[i] / c[i] * d
+            now = loss(new)
+            if now < min(value, loss(vertex)) - 1e-12 * max(1.0, abs(now)):
+                basis[k], vertex, value, better = int(i), new, now, True
+    return vertex
 
 
 def quantile_fit(df: DataFrame, xs: Sequence[str], y: str, tau: float, rounds: int = 60) -> dict:
@@ -633,7 +652,8 @@ def residual_bootstrap(df: DataFrame, key: str, xs: Sequence[str], y: str, draws
     wild: each row's residual with a sign hashed from its key and the draw. residual: the residual of a hashed row (rows are
     numbered by the order of their residuals' hash, so that no row moves). One aggregate for all draws: X'X stays.
     """
-    data = df.select(key, *[F.col(c).cast("double").alias(c) for c in [*xs, y]]).dropna()
+    data = df.select(F.col(key).alias("_key"), *[F.col(c).cast("double").alias(c) for c in [*xs, y]]).dropna()
+    key = "_key"
     m = fit_one(data, list(xs), y)
     r = F.col(y) - mean_column(m, xs)
     names = [F.lit(1.0), *[F.col(c) for c in xs]]

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gramlake.functions import casts, scalars
-from gramlake.operators import advanced, diagnostics, edits, joins, linear, mesh, models, sampling, tables
-from gramlake.plans import service
+from gramlake.functions import casts, numerics, records, scalars
+from gramlake.operators import additive, advanced, diagnostics, edits, elements, joins, linear, mesh, models, sampling, spatial, tables
+from gramlake.plans import modelling, service
+from gramlake.sources import workbooks
 
-MODULES = (tables, linear, diagnostics, joins, scalars, sampling, models, advanced, mesh, service, casts, edits)
+MODULES = (tables, linear, diagnostics, joins, scalars, sampling, models, advanced, mesh, service, casts, edits, numerics, records, workbooks, spatial, additive, elements, modelling)
 
 
 def queries():
