@@ -17,6 +17,7 @@ from gramlake.operators.advanced import nonlinear, pi_groups
 from gramlake.operators.linear import fit_one, mean_column
 from gramlake.operators.models import CANONICAL, DENSE_ROWS, LINKS, VARIANCES, _original, _standardised, _weighted_gram, b_spline, glm, unit_deviance
 from gramlake.functions.special import _udf, box_cox, box_cox_inverse, normal_cdf_column
+from gramlake.operators.tables import percentiles
 from gramlake.session import table
 
 # links: probit by the normal law, powers of the mean
@@ -184,7 +185,7 @@ def quantile_fit(df: DataFrame, xs: Sequence[str], y: str, tau: float, rounds: i
             beta = new
             if done and eps <= size * 1e-6:
                 break
-        flat = data.select(F.percentile(y, tau)).first()[0]
+        (flat,) = percentiles(data, F.col(y), [tau])
         r = F.col(y) - mean_column({"coef": list(map(float, beta))}, xs)
         at = data.agg(F.sum(check_loss(r, tau)).alias("a"), F.sum(check_loss(F.col(y) - F.lit(flat), tau)).alias("b")).first()
         return {"coef": _original(beta, m, s), "objective": at["a"], "r1": 1 - at["a"] / at["b"] if at["b"] else 0.0, "tau": tau}

@@ -16,7 +16,7 @@ from gramlake.functions.scalars import formula
 from gramlake.functions.special import box_cox, box_cox_inverse
 from gramlake.operators.joins import nearest
 from gramlake.operators.linear import fit_one, full_moments, mean_column
-from gramlake.operators.models import DENSE_ROWS, KERNELS, glm, kriging_fit
+from gramlake.operators.models import DENSE_ROWS, KERNELS, glm
 from gramlake.session import table
 
 #: Stations of layered profiles, which are broadcast.
@@ -49,6 +49,7 @@ def bayes(m: dict, ard: bool = False, rounds: int = 500) -> dict:
         free = 1 - alpha * np.diag(inv)
         new = np.minimum(free / np.maximum(w * w, 1e-300), 1e12) if ard else np.full(p, free.sum() / max(w @ w, 1e-300))
         beta_new = (n - free.sum()) / rss
+        new = np.maximum(new, 1e-300)
         done = np.abs(np.log(new / alpha)).max() < 1e-9 and abs(math.log(beta_new / beta)) < 1e-9
         alpha, beta = new, beta_new
         if done:
@@ -180,22 +181,39 @@ def heteroscedastic(df: DataFrame, xs: Sequence[str], y: str, rounds: int = 12)
 
 
 def transformed(df: DataFrame, xs: Sequence[str], y: str, grid: Sequence[float] = tuple(np.linspace(-2, 3, 11))) -> dict:
-    """Box-Cox parameter by profile likelihood of a linear model, every grid value from one aggregate of moments each; the
-    refined value by parabola; smearing factor for means."""
-    logs = df.agg(F.sum(F.log(y)).alias("s")).first()["s"]
-
-    def score(lam: float) -> float:
-        m = fit_one(df.withColumn("__z", box_cox(F.col(y), lam)), xs, "__z")
-        return -m["n"] / 2 * math.log(max(m["sse"] / m["n"], 1e-300)) + (lam - 1) * logs
-
-    values = {round(float(v), 12): score(round(float(v), 12)) for v in grid}
-    best = max(values, key=values.get)
-    step = float(grid[1] - grid[0])
-    for _ in range(6):
-        step /= 2
-        for v in (best - step, best + step):
-            values[v] = score(v)
-        best = max((best - step, best, best + step), key=values.get)
+    """Box-Cox parameter by profile likelihood of a linear model; smearing factor for means.
+
+    The moments of all grid values come from one aggregate: the inputs' cross products are shared, each value adds its own
+    sums. Two finer grids around the best follow, then a parabola.
+    """
+    data = df.select(*[F.col(c).cast("double").alias(c) for c in xs], F.col(y).cast("double").alias("__y")).dropna()
+    base = data.agg(F.avg(F.log("__y")).alias("l"), *[F.avg(c).alias(f"m_{c}") for c in xs]).first()
+    centre = [F.col(c) - F.lit(float(base[f"m_{c}"])) for c in xs]
+    p = len(xs)
+
+    def scores(values: Sequence[float]) -> dict[float, float]:
+        # scaled by the geometric mean, so that powers stay in range
+        z = [box_cox(F.col("__y") / F.lit(math.exp(base["l"])), v) for v in values]
+        row = data.agg(F.count("*").alias("n"), F.array(*[F.sum(a * b) for a in centre for b in centre]).alias("g"), *[F.array(F.sum(t), F.sum(t * t), *[F.sum(a * t) for a in centre]).alias(f"z{k}") for k, t in enumerate(z)]).first()
+        g = np.array(row["g"]).reshape(p, p)
+        out = {}
+        for k, v in enumerate(values):
+            s, ss, *cross = row[f"z{k}"]
+            sse = ss - s * s / row["n"] - np.array(cross) @ np.linalg.lstsq(g, np.array(cross), rcond=None)[0]
+            out[v] = -row["n"] / 2 * math.log(max(sse / row["n"], 1e-300))  # the Jacobian is in the scaling
+        return out
+
+    values = [round(float(v), 12) for v in grid]
+    step = values[1] - values[0]
+    found = scores(values)
+    best = max(found, key=found.get)
+    for _ in range(2):
+        step /= 5
+        found = scores([round(best + step * k, 12) for k in range(-5, 6)])
+        best = max(found, key=found.get)
+    lo, hi = found.get(round(best - step, 12)), found.get(round(best + step, 12))
+    if lo is not None and hi is not None and lo + hi < 2 * found[best]:
+        best += 0.5 * step * (lo - hi) / (lo + hi - 2 * found[best])
     m = fit_one(df.withColumn("__z", box_cox(F.col(y), best)), xs, "__z")
     back = box_cox_inverse(mean_column(m, xs), best)
     return {"lambda": best, "coef": m["coef"], "smearing": df.agg(F.avg(F.col(y) / back)).first()[0]}
@@ -244,14 +262,20 @@ def local_kriging(points: DataFrame, queries: DataFrame, axes: Sequence[str], y:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for _, r in b.iterrows():
-                x = np.array([[p[a] for a in axes] for p in r["n"]], float)
-                m = kriging_fit(x, np.array([p["v"] for p in r["n"]], float), kernel, scale, nugget)
-                c = KERNELS[kernel](np.sqrt(((x - [r[f"q_{a}"] for a in axes]) ** 2).sum(1)) / scale)
-                one = m["inv"].sum(0)
-                out.append((r["qid"], m["mean"] + c @ m["alpha"], m["sigma2"] * max(1 - c @ m["inv"] @ c + (1 - c @ one) ** 2 / one.sum(), 0)))
-            yield pd.DataFrame(out, columns=["qid", "mean", "variance"])
+            for size, part in b.groupby(b["n"].map(len)):  # all solves of a size at once
+                x = np.array([[[p[a] for a in axes] for p in n] for n in part["n"]], float).reshape(len(part), size, len(axes))
+                v = np.array([[p["v"] for p in n] for n in part["n"]], float)
+                at = part[[f"q_{a}" for a in axes]].to_numpy(float)
+                dist = lambda p, q: np.sqrt(np.maximum(((p - q) ** 2).sum(-1), 0)) / scale
+                inv = np.linalg.inv(KERNELS[kernel](dist(x[:, :, None], x[:, None])) + nugget * np.eye(size))
+                c = KERNELS[kernel](dist(x, at[:, None]))
+                one = inv.sum(1)
+                total = one.sum(1)
+                mean = (one * v).sum(1) / total
+                alpha = np.einsum("nij,nj->ni", inv, v - mean[:, None])
+                sigma2 = ((v - mean[:, None]) * alpha).sum(1) / max(size - 1, 1)
+                spread = 1 - np.einsum("ni,nij,nj->n", c, inv, c) + (1 - (c * one).sum(1)) ** 2 / total
+                yield pd.DataFrame({"qid": part["qid"].to_numpy(), "mean": mean + (c * alpha).sum(1), "variance": sigma2 * np.maximum(spread, 0)})
 
     return rows.mapInPandas(run, "qid long, mean double, variance double")
 

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from gramlake.session import table
 
-#: Reference points up to which a neighbour search broadcasts them as one matrix; beyond, the grid join is used.
-BROADCAST_POINTS = 50_000
+#: Reference points, and bytes of them, up to which a neighbour search broadcasts them as one matrix; beyond, the grid join is used.
+BROADCAST_POINTS, BROADCAST_BYTES = 50_000, 32 << 20
+#: Values of an axis of a rectilinear grid, which come to the driver.
+MAX_AXIS = 10_000
 
 
 def squared_distance(a: Sequence[str], b: Sequence[str]) -> Column:
@@ -27,7 +29,7 @@ def nearest(queries: DataFrame, points: DataFrame, axes: Sequence[str], k: int,
     bucketed on a grid whose cell holds about k of them, and searched in growing rings.
     """
     n = points.count()
-    if n <= BROADCAST_POINTS:
+    if n <= BROADCAST_POINTS and 8 * n * (len(axes) + 1) <= BROADCAST_BYTES:
         rows = points.select(point_id, *axes).toPandas().sort_values(point_id)
         held = points.sparkSession.sparkContext.broadcast((rows[point_id].to_numpy(), rows[list(axes)].to_numpy(float)))
 
@@ -134,8 +136,9 @@ def as_of(series: DataFrame, queries: DataFrame, by: Sequence[str], t: str, valu
     """
     both = series.select(*by, t, F.col(value).alias("v"), F.lit(None).cast("long").alias(query_id)).unionByName(queries.select(*by, t, F.lit(None).cast("double").alias("v"), F.col(query_id).cast("long").alias(query_id)))
     sample = F.when(F.col(query_id).isNull(), F.struct(F.col(t).alias("t"), F.col("v").alias("v")))
-    w = Window.partitionBy(*by).orderBy(t)
-    both = both.withColumn("a", F.last(sample, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first(sample, ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)))
+    # both windows grow from their start: a frame that shrinks would be computed anew for each row
+    w, back = Window.partitionBy(*by).orderBy(t), Window.partitionBy(*by).orderBy(F.col(t).desc())
+    both = both.withColumn("a", F.last(sample, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("b", F.last(sample, ignorenulls=True).over(back.rangeBetween(Window.unboundedPreceding, 0)))
     a, b = F.col("a"), F.col("b")
     share = F.try_divide(F.col(t) - a["t"], b["t"] - a["t"])
     inside = F.coalesce(a["v"] + share * (b["v"] - a["v"]), a["v"])
@@ -186,11 +189,13 @@ def grid_interpolate(queries: DataFrame, nodes: DataFrame, x: str, y: str, value
 
     The axes, which are small next to the grid, come to the driver; corners are found by an equi-join on (x, y).
     """
-    xs, ys = (sorted(float(r[0]) for r in nodes.select(c).distinct().collect()) for c in (x, y))
+    xs, ys = (sorted(float(r[0]) for r in nodes.select(c).distinct().limit(MAX_AXIS + 1).collect()) for c in (x, y))
+    if max(len(xs), len(ys)) > MAX_AXIS:
+        raise ValueError(f"an axis has over {MAX_AXIS} values")
 
     def bracket(c: str, at: list[float]) -> tuple[Column, Column]:
-        k = F.greatest(F.lit(0), F.least(F.lit(len(at) - 2), sum((F.when(F.col(c) >= F.lit(v), 1).otherwise(0) for v in at), F.lit(0)) - 1))
-        arr = F.array(*[F.lit(v) for v in at])
+        arr = F.from_json(F.lit(str(at)), "array<double>")  # one literal, folded to an array
+        k = F.greatest(F.lit(0), F.least(F.lit(len(at) - 2), F.size(F.filter(arr, lambda v: v <= F.col(c))) - 1))
         return F.get(arr, k), F.get(arr, k + 1)
 
     (x0, x1), (y0, y1) = bracket(x, xs), bracket(y, ys)
@@ -210,7 +215,7 @@ def _points(s, d):
 
 
 def _ask(s, d):
-    return _points(s, d).where("pid % 10 = 3").select(F.col("pid").alias("qid"), (F.col("x") + 0.01).alias("x"), F.col("y"))
+    return _points(s, d).select(F.col("pid").alias("qid"), (F.col("x") + 0.01).alias("x"), F.col("y"))
 
 
 def _q_knn(s, d):
@@ -234,7 +239,7 @@ def _q_loess(s, d):
 
 def _boxes(s, d, name):
     if name == "a":
-        return table(s, d, "part").where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x_lo"), (F.col("p_size") + 2.0).alias("x_hi"), F.col("p_retailprice").alias("y_lo"), (F.col("p_retailprice") + 25).alias("y_hi"))
+        return table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x_lo"), (F.col("p_size") + 2.0).alias("x_hi"), F.col("p_retailprice").alias("y_lo"), (F.col("p_retailprice") + 25).alias("y_hi"))
     return table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 50).cast("double").alias("x_lo"), (F.col("s_suppkey") % 50 + 1.0).alias("x_hi"), (1000 + F.col("s_acctbal") / 20).alias("y_lo"), (1040 + F.col("s_acctbal") / 20).alias("y_hi"))
 
 
@@ -286,14 +291,14 @@ QUERIES = {
     "variogram_cloud": lambda s, d: pairs_within(_points(s, d), ["x", "y"], "v", 0.02).select("i", "j", F.round("distance", 7).alias("distance"), "half_square"),
     "grid_interp": _q_grid, "sparse_product": _q_product,
 }
-_PT = "p AS (SELECT vec_id AS pid, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, label::DOUBLE AS v FROM embeddings WHERE embedding[1] IS NOT NULL AND embedding[2] IS NOT NULL AND label IS NOT NULL), q AS (SELECT pid AS qid, x + 0.01 AS x, y FROM p WHERE pid % 10 = 3)"
+_PT = "p AS (SELECT vec_id AS pid, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, label::DOUBLE AS v FROM embeddings WHERE embedding[1] IS NOT NULL AND embedding[2] IS NOT NULL AND label IS NOT NULL), q AS (SELECT pid AS qid, x + 0.01 AS x, y FROM p)"
 _NN = f"WITH {_PT}, n AS (SELECT qid, pid, sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)) AS d FROM q, p), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, pid) AS k FROM n) SELECT qid, pid, round(d, 7) AS distance, k::INTEGER AS rank FROM r WHERE k <= 5"
 _VG = f"WITH {_PT}, c AS (SELECT sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, abs(a.v - b.v) AS g, b.x - a.x AS dx, b.y - a.y AS dy FROM p a JOIN p b ON a.pid < b.pid), w AS (SELECT *, (d > 0)::INT + (d > 0.02)::INT + (d > 0.04)::INT + (d > 0.06)::INT + (d > 0.08)::INT - 1 AS bin FROM c WHERE d <= 0.1 AND d > 0)"
 SQL = {
     "knn_topk": _NN, "knn_grid": _NN,
     "idw_predict": f"WITH {_PT}, s AS (SELECT stddev_pop(x) AS sx, stddev_pop(y) AS sy FROM p), n AS (SELECT qid, pid, v, sqrt(pow((q.x - p.x) / sx, 2) + pow((q.y - p.y) / sy, 2)) AS d FROM q, p, s), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, pid) AS k FROM n) SELECT qid, round(coalesce(avg(v) FILTER (d <= 1e-14), sum(v * pow(d, -2.5)) FILTER (d > 1e-14) / sum(pow(d, -2.5)) FILTER (d > 1e-14)), 6) AS estimate FROM r WHERE k <= 8 GROUP BY 1",
     "loess_points": "WITH q AS (SELECT i AS qid, 900 + i * 50.37::DOUBLE AS qx FROM range(1, 21) t(i)), n AS (SELECT qid, p_partkey AS pid, p_retailprice - qx AS u, abs(p_retailprice - qx) AS d, p_size::DOUBLE AS v FROM q, part), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, pid) AS k FROM n), t AS (SELECT *, max(d) OVER (PARTITION BY qid) * (1 + 1e-10) AS h FROM r WHERE k <= 60), w AS (SELECT qid, u, v, pow(1 - pow(d / h, 3), 3) AS w FROM t), s AS (SELECT qid, sum(w) AS s0, sum(w * u) AS s1, sum(w * u * u) AS s2, sum(w * v) AS t0, sum(w * u * v) AS t1 FROM w GROUP BY 1), g AS (SELECT *, 1e-10 * (s0 + s2) AS r FROM s) SELECT qid, round(((s2 + r) * t0 - s1 * t1) / ((s0 + r) * (s2 + r) - s1 * s1), 5) AS estimate FROM g",
-    "box_overlap": "WITH a AS (SELECT p_partkey AS id, p_size::DOUBLE AS x0, p_size + 2.0 AS x1, p_retailprice AS y0, p_retailprice + 25 AS y1 FROM part WHERE p_partkey % 4 = 0), b AS (SELECT s_suppkey AS id, (s_suppkey % 50)::DOUBLE AS x0, s_suppkey % 50 + 1.0 AS x1, 1000 + s_acctbal / 20 AS y0, 1040 + s_acctbal / 20 AS y1 FROM supplier) SELECT a.id AS ida, b.id AS idb FROM a JOIN b ON a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1",
+    "box_overlap": "WITH a AS (SELECT p_partkey AS id, p_size::DOUBLE AS x0, p_size + 2.0 AS x1, p_retailprice AS y0, p_retailprice + 25 AS y1 FROM part), b AS (SELECT s_suppkey AS id, (s_suppkey % 50)::DOUBLE AS x0, s_suppkey % 50 + 1.0 AS x1, 1000 + s_acctbal / 20 AS y0, 1040 + s_acctbal / 20 AS y1 FROM supplier) SELECT a.id AS ida, b.id AS idb FROM a JOIN b ON a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1",
     "asof_interp": "WITH e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, value FROM events), s AS (SELECT user_id, t, max(value) AS v FROM e WHERE event_id % 3 <> 0 GROUP BY 1, 2), q AS (SELECT event_id AS qid, user_id, t FROM e WHERE event_id % 3 = 0), j AS (SELECT qid, q.t, arg_max(s.t, s.t) FILTER (s.t <= q.t) AS t0, arg_max(s.v, s.t) FILTER (s.t <= q.t) AS v0, arg_min(s.t, s.t) FILTER (s.t >= q.t) AS t1, arg_min(s.v, s.t) FILTER (s.t >= q.t) AS v1 FROM q LEFT JOIN s USING (user_id) GROUP BY 1, 2) SELECT qid, round(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t1 = t0 THEN v0 ELSE v0 + (t - t0) / (t1 - t0) * (v1 - v0) END, 5) AS estimate FROM j",
     "interval_overlap": "SELECT l_orderkey AS o_orderkey, l_linenumber, s AS seconds FROM (SELECT l_orderkey, l_linenumber, greatest(0, epoch(least(l_shipdate, TIMESTAMP '1996-06-30'))::BIGINT - epoch(greatest(o_orderdate, TIMESTAMP '1996-06-01'))::BIGINT + 1) AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey) WHERE s > 0",
     "variogram_classical": f"{_VG} SELECT bin, count(*) AS pairs, round(avg(d), 7) AS distance, round(avg(0.5 * g * g), 6) AS gamma FROM w GROUP BY 1",

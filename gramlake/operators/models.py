@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gramlake.functions.special import box_cox, normal_ppf
 from gramlake.operators.linear import fit_one, mean_column
+from gramlake.operators.tables import percentiles
 from gramlake.session import table
 
 #: Rows that one dense fit (a covariance matrix) takes; a larger group is an error, not a sample.
@@ -126,8 +127,8 @@ def robust(df: DataFrame, xs: Sequence[str], y: str, kind: str = "huber", rounds
         for name in (["huber", kind] if kind == "bisquare" else [kind]):
             for _ in range(rounds):
                 r = F.col(y) - mean_column({"coef": list(map(float, beta))}, xs)
-                centre = data.select(F.percentile(r, 0.5)).first()[0]
-                scale = 1.4826 * data.select(F.percentile(F.abs(r - F.lit(centre)), 0.5)).first()[0]
+                (centre,) = percentiles(data, r, [0.5])
+                scale = 1.4826 * percentiles(data, F.abs(r - F.lit(centre)), [0.5])[0]
                 gram, v, _ = _weighted_gram(data, xs, F.greatest(robust_weight(name, r / F.lit(max(scale, 1e-300))), F.lit(1e-12)), F.col(y), [])
                 new = np.linalg.solve(gram, v)
                 done = np.abs(new - beta).max() <= tolerance * np.abs(new).max()

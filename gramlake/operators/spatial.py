@@ -178,7 +178,8 @@ def trend(x: np.ndarray, kind: str | Callable) -> np.ndarray:
 def _state(x: np.ndarray, y: np.ndarray, kernel: Kernel, nugget: float, basis: np.ndarray, noise: np.ndarray | None = None) -> dict:
     cov = kernel(x, x) + np.diag(nugget + (np.zeros(len(x)) if noise is None else noise))
     low, _ = cholesky_jitter(cov)
-    inv = cho_solve(low, np.eye(len(x)))
+    half = np.linalg.inv(low)
+    inv = half.T @ half
     a = basis.T @ inv @ basis
     beta = np.linalg.solve(a, basis.T @ inv @ y) if basis.shape[1] else np.zeros(0)
     alpha = inv @ (y - basis @ beta)

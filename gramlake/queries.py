@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from gramlake.functions import casts, numerics, records, scalars
-from gramlake.operators import additive, advanced, diagnostics, edits, elements, joins, linear, mesh, models, sampling, spatial, tables
-from gramlake.plans import modelling, service
+from gramlake.operators import additive, advanced, constraints, diagnostics, edits, elements, joins, linear, mesh, models, sampling, spatial, tables
+from gramlake.plans import modelling, service, tools
 from gramlake.sources import workbooks
 
-MODULES = (tables, linear, diagnostics, joins, scalars, sampling, models, advanced, mesh, service, casts, edits, numerics, records, workbooks, spatial, additive, elements, modelling)
+MODULES = (tables, linear, diagnostics, joins, scalars, sampling, models, advanced, mesh, service, casts, edits, numerics, records, workbooks, spatial, additive, elements, modelling, constraints, tools)
 
 
 def queries():
