@@ -252,7 +252,10 @@ def _q_dates(s, d):
 
 def _q_back(s, d):
     e = table(s, d, "events")
-    return e.select("event_id", from_unix_seconds(unix_seconds(F.col("ts"))).cast("timestamp_ntz").alias("ts"), F.date_trunc("second", from_julian_date(julian_date(F.col("ts")) + 1e-9)).cast("timestamp_ntz").alias("sec"))
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    # a Julian date in double precision holds some 40 microseconds
+    near = F.abs(micros(from_julian_date(julian_date(F.col("ts")))) - micros(F.col("ts"))) < 100
+    return e.select("event_id", from_unix_seconds(unix_seconds(F.col("ts"))).cast("timestamp_ntz").alias("ts"), near.alias("near"))
 
 
 def _names(s, d):
@@ -329,6 +332,8 @@ QUERIES = {
     "json_path": _q_json, "json_extract": _q_extract, "flatten_struct": _q_flatten, "args_text": _q_args, "key_value_parse": _q_kv, "safe_formula": _q_formula, "xpath_text": _q_xpath,
 }
 SQL = {
+    "date_round_trip": "SELECT event_id, ts, true AS near FROM events",
+
     "date_functions": "SELECT event_id, round(epoch_us(ts) / 86400e6 + 2440587.5, 9) AS julian, ts + INTERVAL 9 HOUR AS jst, round(epoch_us(ts) / 1e6, 6) AS unix, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS iso FROM events",
     "directory_dates": "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN date_trunc('day', o_orderdate) WHEN 1 THEN date_trunc('day', o_orderdate) + INTERVAL '7 hours 30 minutes 15 seconds' END::TIMESTAMP AS t, CASE o_orderkey % 3 WHEN 0 THEN 'YMD' WHEN 1 THEN 'YMDHMS' ELSE 'None' END AS kind FROM orders",
     "path_parts": r"WITH p AS (SELECT page_id, coalesce(url, '') AS u FROM pages), n AS (SELECT *, regexp_extract(u, '([^/]*)$', 1) AS name FROM p) SELECT page_id, lower(regexp_extract(u, '\.([^./]*)$', 1)) AS ext, name, regexp_replace(name, '\.[^.]*$', '') AS base, regexp_full_match(u, '[A-Za-z][A-Za-z0-9+.-]*://[^\s/?#]+[^\s]*') AS is_url FROM n",

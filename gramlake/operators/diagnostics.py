@@ -104,6 +104,8 @@ def _q_bp(s, d):
 QUERIES = {"shape_jarque_bera": _q_shape, "normal_test": _q_normal, "durbin_watson": _q_dw, "runs_test": _q_runs, "breusch_pagan": _q_bp}
 _R = "e AS (SELECT event_id, user_id, event_type, value, hour(ts)::DOUBLE AS h FROM events), m AS (SELECT regr_slope(value, h) AS b, regr_intercept(value, h) AS a FROM e), r AS (SELECT e.*, value - a - b * h AS r FROM e, m)"
 SQL = {
+    "normal_test": "WITH m AS (SELECT count(*)::DOUBLE AS n, avg(c_acctbal) AS m FROM customer), c AS (SELECT any_value(n) AS n, avg(pow(c_acctbal - m, 3)) / pow(avg(pow(c_acctbal - m, 2)), 1.5) AS g, avg(pow(c_acctbal - m, 4)) / pow(avg(pow(c_acctbal - m, 2)), 2) AS k FROM customer, m), s AS (SELECT *, g * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS b, (k - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x, 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS r FROM c), w AS (SELECT *, sqrt(2 * (b - 1)) - 1 AS w2, 6 + 8 / r * (2 / r + sqrt(1 + 4 / (r * r))) AS a FROM s), z AS (SELECT asinh(y / sqrt(2 / (w2 - 1))) / sqrt(ln(sqrt(w2))) AS zs, ((1 - 2 / (9 * a)) - cbrt((1 - 2 / a) / (1 + x * sqrt(2 / (a - 4))))) / sqrt(2 / (9 * a)) AS zk FROM w) SELECT name, round(CASE name WHEN 'z_skew' THEN zs WHEN 'z_kurt' THEN zk WHEN 'k2' THEN zs * zs + zk * zk ELSE exp(-(zs * zs + zk * zk) / 2) END, 6) AS value FROM z, (VALUES ('z_skew'), ('z_kurt'), ('k2'), ('p')) v(name)",
+
     "shape_jarque_bera": "WITH m AS (SELECT event_type AS k, avg(value) AS mu FROM events GROUP BY 1), s AS (SELECT event_type, count(*) AS n, avg(pow(value - mu, 2)) AS m2, avg(pow(value - mu, 3)) AS m3, avg(pow(value - mu, 4)) AS m4 FROM events JOIN m ON event_type = k GROUP BY 1), z AS (SELECT event_type, n, m3 / pow(m2, 1.5) AS skew, m4 / m2 / m2 AS kurt FROM s), j AS (SELECT *, n / 6.0 * (skew * skew + (kurt - 3) * (kurt - 3) / 4) AS jb FROM z) SELECT event_type, n, round(skew, 6) AS skew, round(kurt, 6) AS kurt, round(jb, 6) AS jb, round(exp(-jb / 2), 6) AS jb_p FROM j",
     "durbin_watson": f"WITH {_R}, w AS (SELECT user_id, r, r - lag(r) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM r) SELECT user_id, round(sum(s * s) / sum(r * r), 6) AS dw FROM w GROUP BY 1",
     "runs_test": f"WITH {_R}, w AS (SELECT user_id, r > 0 AS up, lag(r > 0) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM r WHERE r <> 0), c AS (SELECT user_id, count(*) FILTER (up) AS n_pos, count(*) FILTER (NOT up) AS n_neg, sum((b IS NULL OR b <> up)::INT)::BIGINT AS runs FROM w GROUP BY 1), k AS (SELECT *, n_pos::DOUBLE * n_neg * 2 AS p, (n_pos + n_neg)::DOUBLE AS n FROM c) SELECT user_id, n_pos, n_neg, runs, round((runs - p / n - 1) / nullif(sqrt(CASE WHEN n > 1 THEN p * (p - n) / (n * n * (n - 1)) END), 0), 6) AS z FROM k",

@@ -355,6 +355,8 @@ QUERIES = {
 _P = "p AS (SELECT p_partkey, p_size::DOUBLE AS x, p_retailprice AS y FROM part), m AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy FROM p), e AS (SELECT p.*, m.*, y - a - b * x AS r, 1.0 / n + (x - mx) * (x - mx) / sxx AS h FROM p, m), s AS (SELECT sum(r * r) / (count(*) - 2) AS s2 FROM e)"
 
 SQL = {
+    "predict_interval": "WITH p AS (SELECT p_partkey, p_size::DOUBLE AS x, p_retailprice AS y FROM part), m AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, regr_slope(y, x) AS b, var_pop(x) * count(*) AS sxx, (var_pop(y) - covar_pop(x, y) * covar_pop(x, y) / var_pop(x)) * count(*) / (count(*) - 2) AS s2 FROM p), t AS (SELECT *, 1.959963984540054 AS z, n - 2 AS v FROM m), q AS (SELECT *, z + (pow(z, 3) + z) / (4 * v) + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * v * v) + (3 * pow(z, 7) + 19 * pow(z, 5) + 17 * pow(z, 3) - 15 * z) / (384 * pow(v, 3)) AS t FROM t), h AS (SELECT p_partkey, my + b * (x - mx) AS mean, t * sqrt(s2 * (1 + 1.0 / n + (x - mx) * (x - mx) / sxx)) AS half FROM p, q) SELECT p_partkey, round(mean, 4) AS mean, round(mean - half, 4) AS lower, round(mean + half, 4) AS upper FROM h",
+
     "ols_grouped": """WITH m AS (SELECT l_returnflag, count(*) AS n, avg(l_quantity) AS mq, avg(l_discount) AS md, avg(l_extendedprice) AS my, var_pop(l_quantity) AS qq, var_pop(l_discount) AS dd, covar_pop(l_quantity, l_discount) AS qd,
       covar_pop(l_quantity, l_extendedprice) AS qy, covar_pop(l_discount, l_extendedprice) AS dy, var_pop(l_extendedprice) AS yy FROM lineitem GROUP BY 1),
       b AS (SELECT *, (qy * dd - dy * qd) / (qq * dd - qd * qd) AS b1, (dy * qq - qy * qd) / (qq * dd - qd * qd) AS b2 FROM m)
