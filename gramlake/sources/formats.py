@@ -61,13 +61,32 @@ def write_sheets(sheets: dict[str, DataFrame], folder: str) -> None:
         df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
 
 
-def to_csv(df: DataFrame, float_format: str | None = None, separator: str = ",") -> str:
-    """Small tables as text; large ones are for df.write."""
-    return df.toPandas().to_csv(index=False, float_format=float_format, sep=separator)
+#: Rows that a text form on the driver takes; larger tables are written by executors.
+TEXT_ROWS = 100_000
 
 
-def to_json(df: DataFrame, orient: str = "records") -> str:
-    return df.toPandas().to_json(orient=orient)
+def _few(df: DataFrame) -> DataFrame:
+    if df.limit(TEXT_ROWS + 1).count() > TEXT_ROWS:
+        raise ValueError(f"over {TEXT_ROWS} rows: give a path, which executors write to")
+    return df
+
+
+def to_csv(df: DataFrame, float_format: str | None = None, separator: str = ",", path: str | None = None) -> str:
+    """Small tables as text; with a path a folder of delimited files of any size, written where the rows are."""
+    if path is None:
+        return _few(df).toPandas().to_csv(index=False, float_format=float_format, sep=separator)
+    floats = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")} if float_format else set()
+    out = df.select(*[F.format_string(float_format, c).alias(c) if c in floats else F.col(c) for c in df.columns])
+    out.write.mode("overwrite").option("header", True).option("sep", separator).csv(path)
+    return path
+
+
+def to_json(df: DataFrame, orient: str = "records", path: str | None = None) -> str:
+    """Small tables as text in any orientation; with a path a folder of one record a line, of any size."""
+    if path is None:
+        return _few(df).toPandas().to_json(orient=orient)
+    df.write.mode("overwrite").json(path)
+    return path
 
 
 def from_base64(spark: SparkSession, content: str) -> DataFrame:
@@ -168,9 +187,9 @@ def write_config(value: dict, path: str) -> None:
 
 
 def input_files(template: dict, table: DataFrame, folder: str) -> list[str]:
-    """One TOML file a table row, columns `group.name` overwriting the template's values."""
+    """One TOML file a table row, columns `group.name` overwriting the template's values. Tables of up to TEXT_ROWS rows."""
     paths = []
-    for k, row in enumerate(table.collect()):
+    for k, row in enumerate(_few(table).toLocalIterator()):
         value = json.loads(json.dumps(template))
         for c, v in row.asDict().items():
             *groups, name = c.split(".")
