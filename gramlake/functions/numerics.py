@@ -762,11 +762,11 @@ def _q_spline(s, d):
     return s.createDataFrame([(float(a), round(float(v), 8), round(float(w), 7)) for a, v, w in zip(at, splev(f["t"], f["c"], f["k"], at), splev(t, c, k, at), strict=True)], "x double, value double, slope double")
 
 
-QUERIES = {"special_more": _q_special, "quadrature_rules": _q_rules, "optimizers": _q_optimum, "spline_values": _q_spline}
+QUERIES = {"special_more": _q_special, "quadrature_rules": _q_rules, "numeric_optimizers": _q_optimum, "spline_values": _q_spline}
 _V = "SELECT * FROM (VALUES {}) t(name, value)"
 SQL = {
     "special_more": "SELECT name, round(value::DOUBLE, 10) AS value FROM (SELECT * FROM (VALUES ('gamma0', 1.0::DOUBLE), ('gamma1', 1.0), ('gamma2', 24.0), ('erfc0', 1.0), ('betaln', ln(1.0 / 12))) a(name, value) UNION ALL SELECT 'q1_' || x, exp(-x) FROM (VALUES ('0.5'::VARCHAR, 0.5::DOUBLE), ('1.0', 1.0), ('2.5', 2.5), ('7.0', 7.0)) t(n, x) UNION ALL SELECT 'q2_' || x, exp(-x) * (1 + x) FROM (VALUES (0.5::DOUBLE), (1.0), (2.5), (7.0)) t(x) UNION ALL SELECT 'k05_' || x, sqrt(pi() / (2 * x)) * exp(-x) FROM (VALUES (0.5::DOUBLE), (1.0), (2.5), (7.0)) t(x) UNION ALL SELECT 'k15_' || x, sqrt(pi() / (2 * x)) * exp(-x) * (1 + 1 / x) FROM (VALUES (0.5::DOUBLE), (1.0), (2.5), (7.0)) t(x))",
     "quadrature_rules": "SELECT name, round(value, 12) AS value FROM (VALUES ('line4', 2.0::DOUBLE / 5), ('square24', 4.0::DOUBLE / 15), ('cube224', 8.0::DOUBLE / 45), ('triangle21', 1.0::DOUBLE / 60), ('triangle03', 1.0::DOUBLE / 20), ('tetra111', 1.0::DOUBLE / 720), ('tetra300', 1.0::DOUBLE / 120), ('wedge112', 1.0::DOUBLE / 36), ('pyramid201', 4.0::DOUBLE / 3 / 30), ('pyramid000', 4.0::DOUBLE / 3), ('box', 30.0::DOUBLE)) t(name, value)",
-    "optimizers": "SELECT * FROM (VALUES ('brent', 1.25::DOUBLE), ('newton0', 1.0), ('newton1', 1.0), ('simplex0', 1.0), ('simplex1', 1.0), ('bounded0', 1.0), ('bounded1', -1.0), ('lm0', 3.0), ('lm1', 0.4), ('qp0', 3.0), ('qp1', 0.0)) t(name, value)",
+    "numeric_optimizers": "SELECT * FROM (VALUES ('brent', 1.25::DOUBLE), ('newton0', 1.0), ('newton1', 1.0), ('simplex0', 1.0), ('simplex1', 1.0), ('bounded0', 1.0), ('bounded1', -1.0), ('lm0', 3.0), ('lm1', 0.4), ('qp0', 3.0), ('qp1', 0.0)) t(name, value)",
     "spline_values": "SELECT x::DOUBLE AS x, round(x * x * x - x, 8)::DOUBLE AS value, round(3 * x * x - 1, 7)::DOUBLE AS slope FROM (VALUES (0.0::DOUBLE), (0.5), (1.25), (2.0), (2.5)) t(x)",
 }

@@ -253,8 +253,8 @@ def _q_dates(s, d):
 def _q_back(s, d):
     e = table(s, d, "events")
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    # a Julian date in double precision holds some 40 microseconds
-    near = F.abs(micros(from_julian_date(julian_date(F.col("ts")))) - micros(F.col("ts"))) < 100
+    # whole seconds come back from a Julian date, whose double precision holds some 40 microseconds
+    near = F.abs(micros(from_julian_date(julian_date(F.col("ts")))) - micros(F.col("ts"))) < 1_000_100
     return e.select("event_id", from_unix_seconds(unix_seconds(F.col("ts"))).cast("timestamp_ntz").alias("ts"), near.alias("near"))
 
 
