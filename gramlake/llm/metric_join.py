@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramlake.llm.runtime import components, map_groups, spread_join, stage
+from gramlake.llm.runtime import Scope, components, map_groups, spread_join, stage
 
 #: Vectors on either side of a task of the join, and of one that deals vectors to pivots.
 BLOCK, DEAL = 1024, 4096
@@ -173,6 +173,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     vec_id link with nothing: n_links 0, component_id their own vec_id, kept true. Vectors of different length never
     link. Rows that repeat a vec_id are separate vectors that share a name. An empty table gives an empty result.
     """
+    with Scope() as own:
+        return _near(vectors, threshold, own)
+
+
+def _near(vectors: DataFrame, threshold: float, own: Scope) -> DataFrame:
     value = lambda x: x.cast("double")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(value(x)) == float("inf"))
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").alias("vec"))
@@ -203,4 +208,4 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     linked = spread_join(rows.where("vec IS NOT NULL").select("k1", "k2", "label", "dim", "vec_id"), done, ["k1", "k2", "label", "dim"], "n", done.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     alone = rows.where("vec IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.select("vec_id", "n_links", "component_id").unionByName(alone)
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return own.keep(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), done)

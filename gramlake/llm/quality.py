@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramlake.llm.runtime import stage
+from gramlake.llm.runtime import Scope, lean, stage
 from gramlake.llm.text import hashed, text_pieces, windows
 
 #: The bytes counted as symbols.
@@ -64,7 +64,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
     keep = docs.columns[1:]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.mapInArrow(run, f"{kinds}, {MEASURES}")
+    return docs.mapInArrow(lean(run), f"{kinds}, {MEASURES}")
 
 
 def _bucket(value: Column) -> Column:
@@ -162,6 +162,12 @@ def fences(rows: DataFrame) -> tuple[DataFrame, tuple[list, list]]:
     FAR from its language's, the language's stand in for its own: a group that is mostly junk does not set its
     own standard.
     """
+    with Scope() as own_scope:
+        out, other = _fences(rows)
+        return own_scope.keep(out, out), other
+
+
+def _fences(rows: DataFrame) -> tuple[DataFrame, tuple[list, list]]:
     middle, _, every = _groups(rows.select("lang", "source", _rates().alias("values")), [0.5])
     middle = stage(middle, "middle")
     with_middle = rows.join(middle, ["lang", "source"])

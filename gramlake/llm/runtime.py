@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +14,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows that a Python worker gets at once.
+BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on Python workers of the session get BATCH rows at once at most: its default of 10,000 long texts fills them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
+def _give_back() -> None:
+    """Return freed memory to the system, where the C library can: a worker's next task may be another operator's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving memory back after each batch."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b
+                del b
+                _give_back()
+
+        yield from run(each())
+        _give_back()
+
+    return wrapped
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session, or one set here for a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -27,15 +65,68 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, survives lost executors, gives plans real sizes."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/stage-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path  # for release()
+    if _SCOPES:
+        _SCOPES[-1].append(out)
     return out
 
 
+_SCOPES: list[list[DataFrame]] = []
+
+
+class Scope:
+    """Owns the tables staged inside: on leaving, all but the kept are deleted, and these become the outer scope's.
+
+        with Scope() as own:
+            ...
+            return own.keep(result, the staged tables that result still reads)
+    """
+
+    def __enter__(self) -> Scope:
+        self.kept: list[DataFrame] = []
+        _SCOPES.append([])
+        return self
+
+    def keep(self, result: DataFrame, *tables: DataFrame) -> DataFrame:
+        self.kept += tables
+        return result
+
+    def __exit__(self, kind: type | None, *_: object) -> None:
+        staged = _SCOPES.pop()
+        paths = {t._staged_at for t in self.kept}
+        for t in staged:
+            if t._staged_at not in paths:
+                release(t)
+            elif _SCOPES:
+                _SCOPES[-1].append(t)
+
+
+_EARLIER: list[DataFrame] = []
+
+
+def between_stages(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A pipeline's stage, whose result is written before the next begins: what one stage still held goes when the next starts."""
+
+    @functools.wraps(step)
+    def run(*args: object) -> DataFrame:
+        for t in _EARLIER:
+            release(t)
+        _EARLIER.clear()
+        _SCOPES.append([])
+        try:
+            return step(*args)
+        finally:
+            _EARLIER.extend(_SCOPES.pop())
+
+    return run
+
+
 def release(df: DataFrame) -> None:
-    """Delete a staged table that no later plan reads."""
+    """Delete a staged table that no later plan reads. One that is gone already is passed over."""
     jvm = df.sparkSession._jvm
     at = jvm.org.apache.hadoop.fs.Path(df._staged_at)
     at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
@@ -71,7 +162,7 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table
                 yield from out.to_batches()
 
     dealt = df.repartitionById(parts, F.col(keys[0])) if parts else df.repartition(*keys)
-    return dealt.sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return dealt.sortWithinPartitions(*keys).mapInArrow(lean(run), schema)
 
 
 #: A key with over one in HOT of the rows is joined by broadcast: there are fewer than HOT such keys, of a few numbers each.

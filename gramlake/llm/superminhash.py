@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramlake.llm.runtime import HOT, components, free, map_groups, spread_join, stage
+from gramlake.llm.runtime import HOT, Scope, components, free, lean, map_groups, spread_join, stage
 from gramlake.llm.text import mix, shingle_sets, text_pieces
 
 #: Slots of a signature, a prime; the first BANDS * BAND_ROWS are banded. A pair at 0.8 shares no band with probability 7e-6.
@@ -100,7 +100,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
                     names=["doc_id", "n_shingles", "d1", "d2", "bands", "marks"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, marks binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, marks binary")
 
 
 def linked(sets: list[np.ndarray], marks: np.ndarray, label: np.ndarray, home: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
@@ -187,6 +187,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     nothing, have a null component_id and are kept. Rows that share a doc_id are one document, linked as any of its texts.
     An empty table gives an empty result. Other columns, whatever their names, are not read.
     """
+    with Scope() as own:
+        return _grouped(docs, width, percent, own)
+
+
+def _grouped(docs: DataFrame, width: int, percent: int, own: Scope) -> DataFrame:
     sig = stage(signed(docs.select(F.col("doc_id").cast("long"), "text"), width), "signatures")
     some = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
     one = stage(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "sets")
@@ -234,7 +239,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     final = stage(one.join(named, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"), "copies"), "components")
     out = spread_join(some.select("doc_id", "n_shingles", "d1", "d2"), final, ["d1", "d2"], "copies", total).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     rest = sig.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return own.keep(out, sig, final)
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -244,8 +250,10 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     Other columns may have any names.
     """
     (key,) = free(docs, "kept_id")
-    ids = near_duplicates(docs, width, percent).where("kept AND doc_id IS NOT NULL")
-    ids = stage(ids.groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("n")), "kept")
+    with Scope() as scope:
+        ids = near_duplicates(docs, width, percent).where("kept AND doc_id IS NOT NULL")
+        ids = stage(ids.groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("n")), "kept")
+        scope.keep(ids, ids)
     total = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     own = docs["doc_id"].cast("long")
     # ids with over one in HOT of the rows, fewer than HOT: their rows are found by broadcast

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramlake.llm.runtime import release, stage
+from gramlake.llm.runtime import lean, release, stage
 
 #: Labelled documents of either class that the fit takes, the first by a hash of doc_id.
 SAMPLE = 4_000
@@ -235,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, identities: dict[str, tuple] = IDE
                 columns += [pa.array([e[k].view(np.int64) for e in each], pa.list_(pa.int64())) for k in (1, 2)]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "toxic", "kind", "come", "go"])
 
-    made = stage(found.mapInArrow(run, "id long, toxic int, kind int, come array<long>, go array<long>"), "features")
+    made = stage(found.mapInArrow(lean(run), "id long, toxic int, kind int, come array<long>, go array<long>"), "features")
     n = {r["toxic"]: r["count"] for r in made.where("kind = 0").groupBy("toxic").count().collect()}
     if len(n) < 2:
         release(made)
@@ -261,7 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, identities: dict[str, tuple] = IDE
                 out.append(pa.array([_packed(np.sort(a[known[a] == x]), len(known)) for a, x in zip(at, each, strict=True)], pa.binary()))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("id", "toxic", "kind")), *out], names=["id", "toxic", "kind", "come", "go"])
 
-    got = made.mapInArrow(placed, "id long, toxic int, kind int, come binary, go binary").toArrow().sort_by([("id", "ascending"), ("kind", "ascending"), ("come", "ascending"), ("go", "ascending")])
+    got = made.mapInArrow(lean(placed), "id long, toxic int, kind int, come binary, go binary").toArrow().sort_by([("id", "ascending"), ("kind", "ascending"), ("come", "ascending"), ("go", "ascending")])
     release(made)
     kind, toxic, ids = (got[c].to_numpy() for c in ("kind", "toxic", "id"))
     come = [_unpacked(x, len(names)) for x in got["come"].to_pylist()]
@@ -296,7 +296,7 @@ def judged(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, identitie
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([score(t) for t in batch.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
-    scores = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    scores = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, score double")
     return scores.select("doc_id", excluded(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -310,4 +310,4 @@ def passed(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, identitie
             keep = [score(t) < threshold for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -155,6 +155,7 @@ def judged(pages: DataFrame, rules: tuple = RULES, blocked: tuple | DataFrame |
             hits = F.filter("keys", one.contains)
             fits = F.concat(fits, F.transform(hits, lambda k: F.struct(F.length(k).alias("len"), F.instr(k, "/").alias("hlen"), k.alias("key"), F.lit(v).alias("verdict"))))  # noqa: B023
     listed = Cascade(hosts.select(F.concat("host", F.lit("/")).alias("key")), universe)
+    release(universe)
     out = roots.withColumn("best", F.array_max(fits))
     if listed.levels is not None:
         out = out.withColumn("on_list", F.exists("roots", listed.contains))

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2
 
+from gramlake.llm.runtime import lean, small_batches
+
 SPACE = "▁"
 #: Units whose counts a worker remembers; when full, it starts again.
 MEMORY = 400_000
@@ -94,6 +96,7 @@ def counted(docs: DataFrame, model: str) -> DataFrame:
     empty result. Other columns, whatever their names, are not read.
     """
 
+    small_batches(docs.sparkSession)
     with open(model, "rb") as f:
         held = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -103,4 +106,4 @@ def counted(docs: DataFrame, model: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([tool.count(t) for t in batch.column(1).to_pylist()], pa.int64())], names=["doc_id", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, n_tokens long")

@@ -238,7 +238,7 @@ def test_pieces_equal_the_library(spark, docs):
         assert [(s[1], s[2]) for s in spans if s[0] not in tool.byte] == [(p.begin, p.end) for p in ref if p.id not in tool.byte]
         assert all(0 <= a <= b <= len(raw) for _, a, b in spans)
     # all at once, and again from memory, and after it was full
-    for memory in (200_000, 200_000, 3):
+    for memory in (100_000, 100_000, 3):
         pieces.MEMORY = memory
         ids, bounds, spans, decoded = tool.batch([x.encode() for x in odd])
         for k, text in enumerate(odd):
@@ -247,7 +247,7 @@ def test_pieces_equal_the_library(spark, docs):
             assert decoded[k].decode() == tool.model.decode(ids[own].tolist())
             assert [tuple(x) for x in spans[own].tolist()[1:-1]] == [x[1:] for x in tool.spans(text)]
             assert spans[own][0].tolist() == [0, 0] and spans[own][-1].tolist() == [len(text.encode())] * 2
-    pieces.MEMORY = 200_000
+    pieces.MEMORY = 100_000
     assert tool.batch([])[0].tolist() == [] and tool.batch([b""])[0].tolist() == [tool.begin, tool.end]
     got = collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in pieces.encoded(docs, tokenizer()).collect())
     want = collections.Counter()
