@@ -19,9 +19,6 @@ from gramlake.operators.linear import fit_one, full_moments, mean_column
 from gramlake.operators.models import DENSE_ROWS, KERNELS, glm
 from gramlake.session import table
 
-#: Stations of layered profiles, which are broadcast.
-MAX_STATIONS = 1_000
-
 # from moments: m = {n, mean, cov} of inputs and output, centred sums
 
 
@@ -282,26 +279,23 @@ def local_kriging(points: DataFrame, queries: DataFrame, axes: Sequence[str], y:
 
 def layered(points: DataFrame, profiles: DataFrame, t: float, k: int = 3, power: float = 2.0) -> DataFrame:
     """(pid, temperature): station profiles (name, x, y, t, depth, temperature) at time t and each point's depth, blended over
-    the k nearest stations. Profiles are linear in time and depth and clamped at their ends; stations are few."""
+    the k nearest stations. Profiles are linear in time and depth and clamped at their ends."""
     w = Window.partitionBy("name", "depth").orderBy("t")
     p = profiles.withColumn("t1", F.lead("t").over(w)).withColumn("v1", F.lead("temperature").over(w)).withColumn("first", F.row_number().over(w) == 1)
     inside = (F.col("t") <= t) & (F.col("t1") > t)
     p = p.where(inside | (F.col("t1").isNull() & (F.col("t") <= t)) | (F.col("first") & (F.col("t") > t)))
     value = F.when(inside, F.col("temperature") + (F.lit(t) - F.col("t")) / (F.col("t1") - F.col("t")) * (F.col("v1") - F.col("temperature"))).otherwise(F.col("temperature"))
     now = p.select("name", "x", "y", "depth", value.alias("v"))
-    st = now.groupBy("name", "x", "y").agg(F.array_sort(F.collect_list(F.struct("depth", "v"))).alias("at"))
-    if st.count() > MAX_STATIONS:
-        raise ValueError(f"over {MAX_STATIONS} stations: map each region with its own")
-    pairs = points.select("pid", F.col("x").alias("px"), F.col("y").alias("py"), F.col("depth").alias("z")).join(F.broadcast(st), F.lit(True))
+    st = now.groupBy("name", "x", "y").agg(F.array_sort(F.collect_list(F.struct("depth", "v"))).alias("at")).withColumn("sid", F.xxhash64("name", "x", "y"))
+    near = nearest(points.select(F.col("pid").alias("qid"), "x", "y"), st.select("sid", "x", "y"), ["x", "y"], k, point_id="sid")
+    pairs = near.join(st.select("sid", "at"), "sid").join(points.select(F.col("pid").alias("qid"), F.col("depth").alias("z")), "qid")
     lower = F.filter("at", lambda a: a["depth"] <= F.col("z"))
     upper = F.filter("at", lambda a: a["depth"] >= F.col("z"))
     a, b = F.element_at(lower, -1), F.get(upper, F.lit(0))
     a, b = F.when(F.size(lower) > 0, a), F.when(F.size(upper) > 0, b)
     v = F.coalesce(F.when(b["depth"] > a["depth"], a["v"] + (F.col("z") - a["depth"]) / (b["depth"] - a["depth"]) * (b["v"] - a["v"])), a["v"], b["v"])
-    d = F.sqrt((F.col("px") - F.col("x")) ** 2 + (F.col("py") - F.col("y")) ** 2)
-    near = pairs.select("pid", v.alias("v"), d.alias("d"), F.row_number().over(Window.partitionBy("pid").orderBy(d, "name")).alias("r")).where(F.col("r") <= k)
-    weight = 1 / F.pow(F.greatest("d", F.lit(1e-12)), F.lit(power))
-    return near.groupBy("pid").agg((F.sum(weight * F.col("v")) / F.sum(weight)).alias("temperature"))
+    weight = 1 / F.pow(F.greatest("distance", F.lit(1e-12)), F.lit(power))
+    return pairs.withColumn("v", v).groupBy(F.col("qid").alias("pid")).agg((F.sum(weight * F.col("v")) / F.sum(weight)).alias("temperature"))
 
 
 def closest_on_triangles(queries: DataFrame, triangles: DataFrame) -> DataFrame:

@@ -66,15 +66,15 @@ def change_unit(df: DataFrame, column: str, unit: str) -> DataFrame:
 
 
 def row_numbers(df: DataFrame, time: str, order: Sequence[str], name: str = "row") -> DataFrame:
-    """df with the row's number from 0 in the order (time, order): the rows before its hour, and its place in the hour.
+    """df with the row's number from 0 in the order (time, order): the rows before its minute, and its place in the minute.
 
-    Only counts of hours are ordered in one task; the rows are ordered within their hours.
+    Only counts of minutes are ordered in one task (some 500,000 a year); the rows are ordered within their minutes.
     """
-    rows = df.withColumn("_hour", F.date_trunc("hour", F.col(time)))
+    rows = df.withColumn("_hour", F.date_trunc("minute", F.col(time)))
     hours = rows.groupBy("_hour").agg(F.count("*").alias("_n"))
     before = hours.select("_hour", (F.sum("_n").over(Window.orderBy("_hour")) - F.col("_n")).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_hour").orderBy(time, *order)) - 1
-    # rows without a time have an hour of null, which is the first
+    # rows without a time have a minute of null, which is the first
     joined = rows.withColumn("_place", place).join(before.withColumnRenamed("_hour", "_key"), F.col("_hour").eqNullSafe(F.col("_key")))
     return joined.withColumn(name, F.col("_before") + F.col("_place")).drop("_hour", "_key", "_place", "_before")
 

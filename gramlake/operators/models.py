@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -175,12 +176,36 @@ def pava(values: Sequence[float], weights: Sequence[float]) -> np.ndarray:
 
 
 def isotonic(df: DataFrame, x: str, y: str, levels: int = 1_000_000) -> DataFrame:
-    """(x, fitted): ties pooled by one aggregate, then the pooled levels, whose number is checked, on the driver."""
-    pooled = df.groupBy(F.col(x).cast("double").alias("x")).agg(F.avg(y).alias("y"), F.count("*").alias("w")).limit(levels + 1).toPandas().sort_values("x")
-    if len(pooled) > levels:
-        raise ValueError(f"more than {levels} levels: bin {x} first")
-    pooled["fitted"] = pava(pooled["y"], pooled["w"])
-    return df.sparkSession.createDataFrame(pooled[["x", "fitted"]], "x double, fitted double")
+    """(x, fitted): ties pooled by one aggregate; each range of x pools its falling blocks where it lies. A block stays as it is
+    unless a range before reaches above it or a range after below; only the others, whose number is checked, come to the
+    driver to be pooled again."""
+    pooled = df.groupBy(F.col(x).cast("double").alias("x")).agg(F.avg(y).alias("y"), F.count("*").alias("w"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if parts and sum(map(len, parts)):
+            rows = pd.concat(parts)
+            fitted = pava(rows["y"], rows["w"])
+            start = np.concatenate([[True], fitted[1:] != fitted[:-1]])
+            lo = rows["x"].to_numpy()[start][np.cumsum(start) - 1]
+            yield pd.DataFrame({"part": TaskContext.get().partitionId(), "x": rows["x"], "lo": lo, "mean": fitted, "w": rows["w"]})
+
+    spark = df.sparkSession
+    held = pooled.repartitionByRange("x").sortWithinPartitions("x").mapInPandas(run, "part int, x double, lo double, mean double, w long")
+    # ranges are sampled: written, so that every later read sees the same (kept in memory where no folder is set)
+    held = held.checkpoint() if spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) else held.cache()
+    ends = held.groupBy("part").agg(F.min("lo").alias("lo"), F.min("mean").alias("first"), F.max("mean").alias("last")).toPandas().sort_values("lo")  # a row a partition
+    if not len(ends):
+        return held.select("x", F.col("mean").alias("fitted"))
+    before = np.concatenate([[-np.inf], np.maximum.accumulate(ends["last"].to_numpy())[:-1]])
+    after = np.concatenate([np.minimum.accumulate(ends["first"].to_numpy()[::-1])[::-1][1:], [np.inf]])
+    limits = spark.createDataFrame([(int(p), float(a), float(b)) for p, a, b in zip(ends["part"], before, after, strict=True)], "part int, before double, after double")
+    blocks = held.groupBy("part", "lo").agg(F.first("mean").alias("mean"), F.sum("w").alias("w"))
+    loose = blocks.join(F.broadcast(limits), "part").where("before > mean OR mean > after").select("lo", "mean", "w").limit(levels + 1).toPandas().sort_values("lo")
+    if len(loose) > levels:
+        raise ValueError(f"more than {levels} blocks cross ranges: bin {x} first")
+    again = spark.createDataFrame([(float(a), float(b)) for a, b in zip(loose["lo"], pava(loose["mean"], loose["w"]), strict=True)], "lo double, again double")
+    return held.join(again, "lo", "left").select("x", F.coalesce("again", "mean").alias("fitted"))
 
 
 def box_cox_profile(df: DataFrame, y: str, grid: Sequence[float]) -> DataFrame:

@@ -164,3 +164,13 @@ def test_sensitivity_and_centres(spark):
 def test_catalogue_names_every_command(spark):
     names = [r["name"] for r in Service(spark).catalogue().collect()]
     assert len(names) == len(set(names)) and {"setData", "fitModel", "predict", "compareModels"} <= set(names)
+
+
+def test_isotonic_pools_across_ranges(spark):
+    r = np.random.default_rng(9)
+    for y in (np.sort(r.normal(size=300)) + 0.3 * r.normal(size=300), -np.arange(300.0), np.arange(300.0), np.sin(np.arange(300) / 20) + np.arange(300) / 200):
+        x = r.permutation(300)
+        df = spark.createDataFrame([(float(k), float(y[k])) for k in x], "x double, y double")
+        got = [row["fitted"] for row in models.isotonic(df, "x", "y").orderBy("x").collect()]
+        assert np.allclose(got, models.pava(y, np.ones(300)))
+    assert models.isotonic(df.where("false"), "x", "y").count() == 0
