@@ -483,11 +483,27 @@ def triangle_rule(n: int) -> tuple[np.ndarray, np.ndarray]:
 # column mapping
 
 
-def map_columns(df: DataFrame, rules: dict[str, dict]) -> tuple[DataFrame, list[tuple[str, str, str]]]:
+def rules_text(rules: dict[str, dict]) -> str:
+    """Mapping rules as JSON; `rules_of` reads them back."""
+    import json
+
+    return json.dumps(rules, sort_keys=True)
+
+
+def rules_of(text: str) -> dict[str, dict]:
+    import json
+
+    return {k: v | ({"unit": tuple(v["unit"])} if v.get("unit") else {}) for k, v in json.loads(text).items()}
+
+
+def map_columns(df: DataFrame, rules: dict[str, dict], fuzzy: float = 0.0) -> tuple[DataFrame, list[tuple[str, str, str]]]:
     """Columns of df under the rules' names, cast and converted; and how each was found: (target, source, tier).
 
-    A rule: {"aliases": [...], "type": ..., "unit": (source, target), "required": bool}. Tiers: exact, case, normalised.
+    A rule: {"aliases": [...], "type": ..., "unit": (source, target), "required": bool}. Tiers: exact, case, normalised,
+    and, where fuzzy is over 0, the column whose normalised name is most alike, by at least so many per cent of matching
+    characters.
     """
+    import difflib
     import re
 
     from gramlake.functions.scalars import convert
@@ -498,6 +514,10 @@ def map_columns(df: DataFrame, rules: dict[str, dict]) -> tuple[DataFrame, list[
         names = [target, *rule.get("aliases", [])]
         tiers = (("exact", lambda s: s), ("case", str.lower), ("normalised", plain))
         hit = next(((c, tier) for tier, f in tiers for n in names for c in sorted(df.columns, key=lambda c: (len(c), c)) if f(c) == f(n)), None)
+        if hit is None and fuzzy > 0:
+            alike = [(100 * difflib.SequenceMatcher(None, plain(c), plain(n)).ratio(), -len(c), c) for n in names for c in df.columns]
+            best = max(alike, default=(0.0, 0, ""))
+            hit = (best[2], "fuzzy") if best[0] >= fuzzy else None
         if hit is None:
             if rule.get("required", True):
                 raise KeyError(f"no column for {target} among {df.columns}")
@@ -507,7 +527,7 @@ def map_columns(df: DataFrame, rules: dict[str, dict]) -> tuple[DataFrame, list[
         col = F.col(f"`{hit[0]}`")
         if "type" in rule:
             col = col.try_cast(rule["type"])
-        if "unit" in rule:
+        if rule.get("unit"):
             col = convert(col.cast("double"), *rule["unit"])
         out.append(col.alias(target))
         report.append((target, hit[0], hit[1]))

@@ -174,3 +174,12 @@ def test_isotonic_pools_across_ranges(spark):
         got = [row["fitted"] for row in models.isotonic(df, "x", "y").orderBy("x").collect()]
         assert np.allclose(got, models.pava(y, np.ones(300)))
     assert models.isotonic(df.where("false"), "x", "y").count() == 0
+
+
+def test_columns_map_by_likeness(spark):
+    df = spark.createDataFrame([(1.0, "2")], "inlet_temprature double, Flow string")
+    rules = {"inlet_temperature": {"type": "double", "unit": None, "required": False}, "flow": {"type": "double"}}
+    assert advanced.rules_of(advanced.rules_text(rules)) == rules
+    out, report = advanced.map_columns(df, rules, fuzzy=85)
+    assert {(r[0], r[1], r[2]) for r in report} == {("inlet_temperature", "inlet_temprature", "fuzzy"), ("flow", "Flow", "case")} and out.first()["flow"] == 2.0
+    assert "inlet_temprature" not in [r[1] for r in advanced.map_columns(df, rules)[1]]
