@@ -113,13 +113,17 @@ def bootstrap_means(df: DataFrame, key: str, value: str, replicates: int, seed:
 #: inputs' ranges of the named problems.
 PROBLEMS = {
     "branin": [(-5.0, 10.0), (0.0, 15.0)], "rosenbrock": [(-2.0, 2.0)] * 2, "sphere": [(-5.12, 5.12)] * 2, "ackley": [(-32.768, 32.768)] * 2,
-    "hartmann3": [(0.0, 1.0)] * 3, "ishigami": [(-math.pi, math.pi)] * 3, "friedman": [(0.0, 1.0)] * 5,
+    "hartmann3": [(0.0, 1.0)] * 3, "hartmann6": [(0.0, 1.0)] * 6, "ishigami": [(-math.pi, math.pi)] * 3, "friedman": [(0.0, 1.0)] * 5,
 }
 #: Fixed values of the Hartmann function in three inputs.
 _H3_ALPHA = (1.0, 1.2, 3.0, 3.2)
 _H3_A = ((3.0, 10.0, 30.0), (0.1, 10.0, 35.0), (3.0, 10.0, 30.0), (0.1, 10.0, 35.0))
 _H3_P = ((0.3689, 0.1170, 0.2673), (0.4699, 0.4387, 0.7470), (0.1091, 0.8732, 0.5547), (0.0381, 0.5743, 0.8828))
 
+#: Fixed values of the one in six inputs.
+_H6_A = ((10.0, 3.0, 17.0, 3.5, 1.7, 8.0), (0.05, 10.0, 17.0, 0.1, 8.0, 14.0), (3.0, 3.5, 1.7, 10.0, 17.0, 8.0), (17.0, 8.0, 0.05, 10.0, 0.1, 14.0))
+_H6_P = ((0.1312, 0.1696, 0.5569, 0.0124, 0.8283, 0.5886), (0.2329, 0.4135, 0.8307, 0.3736, 0.1004, 0.9991), (0.2348, 0.1451, 0.3522, 0.2883, 0.3047, 0.6650), (0.4047, 0.8828, 0.8732, 0.5743, 0.1091, 0.0381))
+
 
 def problem(name: str, *x: Column) -> Column:
     """A named problem as an expression of its inputs."""
@@ -132,8 +136,9 @@ def problem(name: str, *x: Column) -> Column:
     if name == "ackley":
         n = len(x)
         return -20 * F.exp(-0.2 * F.sqrt(sum((a**2 for a in x), F.lit(0.0)) / n)) - F.exp(sum((F.cos(2 * math.pi * a) for a in x), F.lit(0.0)) / n) + 20 + math.e
-    if name == "hartmann3":
-        return -sum((c * F.exp(-sum((a * (v - p) ** 2 for a, p, v in zip(row, at, x, strict=True)), F.lit(0.0))) for c, row, at in zip(_H3_ALPHA, _H3_A, _H3_P, strict=True)), F.lit(0.0))
+    if name in ("hartmann3", "hartmann6"):
+        slopes, centres = (_H3_A, _H3_P) if name == "hartmann3" else (_H6_A, _H6_P)
+        return -sum((c * F.exp(-sum((a * (v - p) ** 2 for a, p, v in zip(row, at, x, strict=True)), F.lit(0.0))) for c, row, at in zip(_H3_ALPHA, slopes, centres, strict=True)), F.lit(0.0))
     if name == "ishigami":
         return F.sin(x[0]) + 7 * F.sin(x[1]) ** 2 + 0.1 * x[2] ** 4 * F.sin(x[0])
     if name == "friedman":
@@ -195,12 +200,12 @@ def _prob_sql():
     x = lambda name, j, n: _ax("i", n, PROBLEMS[name][j][0], PROBLEMS[name][j][1], n ** (len(PROBLEMS[name]) - 1 - j))
     rng = lambda k: f"FROM range({k}) t(i)"
     cols = lambda name, n: ", ".join(f"{x(name, j, n)} AS x{j}" for j in range(len(PROBLEMS[name])))
-    h3 = " + ".join(f"{c} * exp(-({' + '.join(f'{a} * (x{j} - {p}) * (x{j} - {p})' for j, (a, p) in enumerate(zip(row, at, strict=True)))}))" for c, row, at in zip(_H3_ALPHA, _H3_A, _H3_P, strict=True))
+    h = lambda slopes, centres: " + ".join(f"{c} * exp(-({' + '.join(f'{a} * (x{j} - {p}) * (x{j} - {p})' for j, (a, p) in enumerate(zip(row, at, strict=True)))}))" for c, row, at in zip(_H3_ALPHA, slopes, centres, strict=True))
     body = {
         "branin": "pow(x1 - 5.1 / (4 * pi() * pi()) * x0 * x0 + 5 / pi() * x0 - 6, 2) + 10 * (1 - 1 / (8 * pi())) * cos(x0) + 10",
         "rosenbrock": "100 * pow(x1 - x0 * x0, 2) + pow(1 - x0, 2)", "sphere": "x0 * x0 + x1 * x1",
         "ackley": "-20 * exp(-0.2 * sqrt((x0 * x0 + x1 * x1) / 2)) - exp((cos(2 * pi() * x0) + cos(2 * pi() * x1)) / 2) + 20 + exp(1)",
-        "hartmann3": f"-({h3})", "ishigami": "sin(x0) + 7 * pow(sin(x1), 2) + 0.1 * pow(x2, 4) * sin(x0)",
+        "hartmann3": f"-({h(_H3_A, _H3_P)})", "hartmann6": f"-({h(_H6_A, _H6_P)})", "ishigami": "sin(x0) + 7 * pow(sin(x1), 2) + 0.1 * pow(x2, 4) * sin(x0)",
         "friedman": "10 * sin(pi() * x0 * x1) + 20 * pow(x2 - 0.5, 2) + 10 * x3 + 5 * x4",
     }
     return " UNION ALL ".join(f"SELECT '{k}' AS name, i, round({e}, 7) AS y FROM (SELECT i, {cols(k, 9 if len(PROBLEMS[k]) < 4 else 4)} {rng((9 if len(PROBLEMS[k]) < 4 else 4) ** len(PROBLEMS[k]))})" for k, e in body.items())

@@ -183,3 +183,8 @@ def test_columns_map_by_likeness(spark):
     out, report = advanced.map_columns(df, rules, fuzzy=85)
     assert {(r[0], r[1], r[2]) for r in report} == {("inlet_temperature", "inlet_temprature", "fuzzy"), ("flow", "Flow", "case")} and out.first()["flow"] == 2.0
     assert "inlet_temprature" not in [r[1] for r in advanced.map_columns(df, rules)[1]]
+
+
+def test_hartmann_optimum(spark):
+    best = [0.20169, 0.150011, 0.476874, 0.275332, 0.311652, 0.6573]
+    assert spark.range(1).select(sampling.problem("hartmann6", *map(F.lit, best)).alias("v")).first()["v"] == pytest.approx(-3.32237, abs=1e-4)
