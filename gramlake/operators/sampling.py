@@ -94,8 +94,9 @@ def latin_hypercube(spark: SparkSession, n: int, limits: Limits, seed: int = 0,
 
 
 def fold_of(key: Column, folds: int, seed: int = 0) -> Column:
-    """Fold of a row by a hash of its key: no permutation is materialised, and a row keeps its fold."""
-    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(folds)).cast("int")
+    """A row's fold, from the MD5 of its key and the seed: no shuffle, stable under reordering, the same in any engine."""
+    text = F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("")), F.lit(str(seed)))
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") % folds).cast("int")
 
 
 def bootstrap_means(df: DataFrame, key: str, value: str, replicates: int, seed: int = 0) -> DataFrame:
@@ -216,6 +217,8 @@ def _halton_sql(base):
 
 
 SQL = {
+    "kfold_assign": "SELECT o_orderkey, (('0x' || substr(md5(o_orderkey || ':0'), 1, 13))::BIGINT % 5)::INTEGER AS fold FROM orders",
+
     "full_factorial": "SELECT i, (i // 5) / 2.0::DOUBLE AS x0, -2 + (i % 5) / 4.0::DOUBLE * 4 AS x1, 6.0::DOUBLE AS x2 FROM range(15) t(i)",
     "halton": f"SELECT i, round(({_halton_sql(2)}) % 1, 12) AS x0, round(({_halton_sql(3)}) % 1 * 10, 12) AS x1 FROM range(200) t(i)",
     "latin_hypercube": "SELECT i AS stratum FROM range(1000) t(i)", "latin_hypercube_axis2": "SELECT i AS stratum FROM range(1000) t(i)",
