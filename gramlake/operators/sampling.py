@@ -99,14 +99,22 @@ def fold_of(key: Column, folds: int, seed: int = 0) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") % folds).cast("int")
 
 
-def bootstrap_means(df: DataFrame, key: str, value: str, replicates: int, seed: int = 0) -> DataFrame:
-    """(replicate, mean) of pairs bootstraps: each row enters each replicate a Poisson(1) number of times, in one pass."""
-    u = uniform(seed, F.col(key), F.col("replicate"))
-    cdf, p, count = 0.0, math.exp(-1), F.lit(0)
+def _poisson_steps() -> list[float]:
+    """The cumulative Poisson(1) distribution from 0 to 11."""
+    cdf, p, out = 0.0, math.exp(-1), []
     for k in range(12):
         cdf += p
-        count = count + F.when(u >= cdf, 1).otherwise(0)
+        out.append(cdf)
         p /= k + 1
+    return out
+
+
+def bootstrap_means(df: DataFrame, key: str, value: str, replicates: int, seed: int = 0) -> DataFrame:
+    """(replicate, mean) of pairs bootstraps: each row enters each replicate a Poisson(1) number of times, the quantile of a number
+    hashed (MD5) from its key, the replicate and the seed; one pass."""
+    text = F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("replicate").cast("string"), F.lit(str(seed)))
+    u = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    count = sum((F.when(u >= F.lit(c), 1).otherwise(0) for c in _poisson_steps()), F.lit(0))
     rows = df.select(key, value, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).withColumn("n", count)
     return rows.groupBy("replicate").agg((F.sum(F.col("n") * F.col(value)) / F.sum("n")).alias("mean"))
 
@@ -188,7 +196,7 @@ QUERIES = {
     "latin_hypercube_axis2": lambda s, d: latin_hypercube(s, 1000, [(0, 1), (0, 1)], 5).select((F.floor(F.col("x1") * 1000)).cast("long").alias("stratum")),
     "random_points": lambda s, d: random_points(s, 2000, [(0, 2)], 3).agg(F.count("*").alias("n"), F.count_if((F.col("x0") >= 0) & (F.col("x0") < 2)).alias("inside")),
     "kfold_assign": lambda s, d: table(s, d, "orders").select("o_orderkey", fold_of(F.col("o_orderkey"), 5).alias("fold")),
-    "bootstrap_means": lambda s, d: bootstrap_means(table(s, d, "orders"), "o_orderkey", "o_totalprice", 50),
+    "bootstrap_means": lambda s, d: bootstrap_means(table(s, d, "orders"), "o_orderkey", "o_totalprice", 50).select("replicate", F.round("mean", 4).alias("mean")),
     "benchmark_problems": _q_problems, "sobol_monte_carlo": lambda s, d: sobol_indices(s, "ishigami", 20000),
 }
 
@@ -217,6 +225,8 @@ def _halton_sql(base):
 
 
 SQL = {
+    "bootstrap_means": "WITH u AS (SELECT rep, o_totalprice AS v, ('0x' || substr(md5(o_orderkey || ':' || rep || ':0'), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u FROM orders, range(50) t(rep)), n AS (SELECT rep, v, " + " + ".join(f"(u >= {c!r}::DOUBLE)::INTEGER" for c in _poisson_steps()) + " AS n FROM u) SELECT rep::INTEGER AS replicate, round(sum(n * v) / sum(n), 4) AS mean FROM n GROUP BY 1",
+
     "kfold_assign": "SELECT o_orderkey, (('0x' || substr(md5(o_orderkey || ':0'), 1, 13))::BIGINT % 5)::INTEGER AS fold FROM orders",
 
     "full_factorial": "SELECT i, (i // 5) / 2.0::DOUBLE AS x0, -2 + (i % 5) / 4.0::DOUBLE * 4 AS x1, 6.0::DOUBLE AS x2 FROM range(15) t(i)",
