@@ -6,7 +6,6 @@ from __future__ import annotations
 import itertools
 import json
 import math
-import os
 import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
@@ -24,7 +23,8 @@ from gramlake.operators.models import DENSE_ROWS
 from gramlake.plans.registry import Engine, command
 from gramlake.plans.service import Fitted, Service, exponents, fit, terms
 from gramlake.session import table
-from gramlake.sources.formats import format_vtu, parse_vtu
+from gramlake.sources.formats import format_vtu, parse_vtu, read_bytes, write_bytes
+from gramlake.sources.workbooks import _folder
 
 #: Model types by name, with the options that a spec of theirs takes.
 TYPES = {
@@ -461,8 +461,7 @@ class Modelling(Service):
     @command("loadMesh", "mesh", effect={"mesh": True})
     def load_mesh(self, path: str, mesh_name: str) -> list[str]:
         """Load a mesh file."""
-        with open(path, "rb") as f:
-            parsed = parse_vtu(f.read())
+        parsed = parse_vtu(read_bytes(self.spark, path))
         points = self.spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(parsed["points"])], "pid long, x double, y double, z double")
         cells = self.spark.createDataFrame([(k, int(t), list(map(int, n))) for k, (t, n) in enumerate(zip(parsed["types"], np.split(parsed["connectivity"], parsed["offsets"][:-1]), strict=True))], "cid long, type int, nodes array<long>")
         return self.add_mesh(mesh_name, points, cells)
@@ -496,10 +495,7 @@ class Modelling(Service):
         place = {r["pid"]: k for k, r in enumerate(p)}
         nodes = [[place[n] for n in r["nodes"]] for r in c]
         mesh = {"points": np.array([[r["x"], r["y"], r["z"]] for r in p]), "connectivity": [n for row in nodes for n in row], "offsets": np.cumsum([len(row) for row in nodes]), "types": [r["type"] for r in c]}
-        data = format_vtu(mesh | {"point": {}, "cell": {}})
-        with open(path, "wb") as f:
-            f.write(data if isinstance(data, bytes) else data.encode())
-        return path
+        return write_bytes(self.spark, path, format_vtu(mesh))
 
     @command("extractSurface", "mesh", requires={"mesh": True})
     def extract_surface(self, mesh_name: str, surface_name: str, kind: str = "boundary", layer: str | None = None) -> list[str]:
@@ -638,8 +634,7 @@ def _q_mapping(s, d):
     e = Modelling(s)
     e.invoke("addMesh", meshName="box", points=box_mesh(s, (3, 3, 3))[0], cells=box_mesh(s, (3, 3, 3))[1])
     e.invoke("extractSurface", meshName="box", surfaceName="skin")
-    folder = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir() or "/tmp"
-    path = os.path.join(folder.removeprefix("file://").removeprefix("file:"), f"mesh-{os.getpid()}.vtu")
+    path = f"{_folder(s)}/mesh.vtu"
     e.invoke("writeMesh", meshName="box", path=path)
     e.invoke("loadMesh", path=path, meshName="again")
     e.invoke("addMesh", meshName="fine", points=plane_mesh(s, 6, 6)[0], cells=plane_mesh(s, 6, 6)[1])

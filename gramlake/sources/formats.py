@@ -61,6 +61,21 @@ def write_sheets(sheets: dict[str, DataFrame], folder: str) -> None:
         df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> str:
+    """Bytes as a file, through Spark's file systems: the path may be in any store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(at, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    return path
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    return bytes(spark.read.format("binaryFile").load(path).first()["content"])
+
+
 #: Rows that a text form on the driver takes; larger tables are written by executors.
 TEXT_ROWS = 100_000
 

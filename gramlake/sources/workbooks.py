@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlake.sources.formats import read_delimited
 from gramlake.functions.scalars import formula
+from gramlake.sources.formats import read_bytes, read_delimited, write_bytes
 
 #: Namespaces and part names of the format.
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -159,8 +159,7 @@ def sheet_names(spark: SparkSession, path: str) -> list[str]:
     """Names of a workbook's sheets in order; a delimited file has the one sheet Sheet1."""
     if path.lower().endswith((".csv", ".txt")):
         return ["Sheet1"]
-    content = spark.read.format("binaryFile").load(path).first()["content"]
-    return list(parse_workbook(bytes(content)))
+    return list(parse_workbook(read_bytes(spark, path)))
 
 
 def read_workbook(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -191,9 +190,7 @@ def write_workbook(sheets: dict[str, DataFrame], path: str, plots: dict[str, tup
     for name, df in sheets.items():
         rows = [tuple(r) for r in df.limit(MAX_ROWS).collect()]
         held[name] = (df.columns, rows)
-    with open(path, "wb") as f:
-        f.write(workbook_bytes(held, plots))
-    return path
+    return write_bytes(next(iter(sheets.values())).sparkSession, path, workbook_bytes(held, plots))
 
 
 def delimited_to_workbook(spark: SparkSession, paths: Sequence[str], path: str, names: Sequence[str] | None = None) -> str:
@@ -216,15 +213,13 @@ def merge_workbooks(spark: SparkSession, paths: Sequence[str], path: str) -> str
 
 def read_item_config(spark: SparkSession, path: str) -> list[dict]:
     """[{name, unit, formula}] of a sheet whose rows are names, units and formulas; an empty or `nan` formula is raw."""
-    rows = next(iter(parse_workbook(bytes(spark.read.format("binaryFile").load(path).first()["content"])).values()))
+    rows = next(iter(parse_workbook(read_bytes(spark, path)).values()))
     names, units, formulas = (r + [None] * (len(rows[0]) - len(r)) for r in (rows + [[], []])[:3])
     return [{"name": n, "unit": u or "", "formula": None if f in (None, "", "nan") else f} for n, u, f in zip(names, units, formulas, strict=True)]
 
 
-def write_item_config(items: Sequence[dict], path: str) -> str:
-    with open(path, "wb") as f:
-        f.write(workbook_bytes({"config": ([i["name"] for i in items], [[i.get("unit") or "" for i in items], [i.get("formula") or "nan" for i in items]])}))
-    return path
+def write_item_config(spark: SparkSession, items: Sequence[dict], path: str) -> str:
+    return write_bytes(spark, path, workbook_bytes({"config": ([i["name"] for i in items], [[i.get("unit") or "" for i in items], [i.get("formula") or "nan" for i in items]])}))
 
 
 def apply_items(df: DataFrame, items: Sequence[dict]) -> DataFrame:
@@ -241,13 +236,14 @@ def apply_items(df: DataFrame, items: Sequence[dict]) -> DataFrame:
 
 
 def _folder(s) -> str:
+    """A new place in the folder that all executors share, or of a local master's own."""
     import tempfile
     import uuid
 
-    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir() or tempfile.gettempdir()
-    path = base.removeprefix("file://").removeprefix("file:") + f"/books-{uuid.uuid4().hex}"
-    os.makedirs(path)
-    return path
+    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()
+    if base is None and not s.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base or tempfile.mkdtemp()}/books-{uuid.uuid4().hex}"
 
 
 def _q_roundtrip(s, d):
@@ -261,7 +257,7 @@ def _q_roundtrip(s, d):
 def _q_items(s, d):
     from gramlake.session import table
 
-    path = write_item_config([{"name": "p_size", "unit": "cm", "formula": "V * 2.54"}, {"name": "p_retailprice", "unit": "", "formula": None}], _folder(s) + "/c.xlsx")
+    path = write_item_config(s, [{"name": "p_size", "unit": "cm", "formula": "V * 2.54"}, {"name": "p_retailprice", "unit": "", "formula": None}], _folder(s) + "/c.xlsx")
     out = apply_items(table(s, d, "part"), read_item_config(s, path))
     return out.select(F.round("`p_size[cm]`", 9).alias("size_cm"), "p_retailprice").groupBy("size_cm").agg(F.count("*").alias("n"), F.max("p_retailprice").alias("top"))
 
