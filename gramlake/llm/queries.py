@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gramlake.llm import bloom_lm, maglev, metric_join, mixing, pieces, quality, superminhash, toxicity, url_cascade, viterbi_count
+from gramlake.llm import bloom_lm, imatch, maglev, metric_join, mixing, pieces, quality, ranked, superminhash, toxicity, url_cascade, vafile, viterbi_count
 
 #: Shards of op9.
 SHARDS = tuple(f"shard-{k:03d}" for k in range(64))
@@ -66,10 +66,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi_count.counted(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprinted(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.coded(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    every = (op1_embedding_near_dedup, op2_lm_scoring, op3_sentencepiece, op4_toxicity, op5_mixing, op6_quality_rules, op7_url_filter, op8_minhash_near_dedup, op9_sharding, op10_token_counts)
+    every = (op1_embedding_near_dedup, op2_lm_scoring, op3_sentencepiece, op4_toxicity, op5_mixing, op6_quality_rules, op7_url_filter, op8_minhash_near_dedup, op9_sharding, op10_token_counts, op11_ranked_search, op12_fingerprints, op13_vector_codes)
     return {f.__name__: f for f in every} | {"pipeline": corpus_pipeline.run}
 
 
@@ -141,4 +153,4 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, c AS component_id, coalesce(doc_id
 
 def oracle_sql() -> dict[str, str]:
     """op2 (its filter's score), op3, op4, op6 (its sketches), op9, op10 and the pipeline are tested in tests/llm instead."""
-    return {"op1_embedding_near_dedup": _OP1, "op5_mixing": _OP5, "op7_url_filter": _OP7, "op8_minhash_near_dedup": _OP8}
+    return {"op1_embedding_near_dedup": _OP1, "op5_mixing": _OP5, "op7_url_filter": _OP7, "op8_minhash_near_dedup": _OP8, "op11_ranked_search": ranked.SQL, "op12_fingerprints": imatch.SQL, "op13_vector_codes": vafile.SQL}
