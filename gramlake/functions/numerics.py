@@ -56,7 +56,7 @@ def gammaincc(a: float, x: np.ndarray) -> np.ndarray:
     return np.vectorize(one, otypes=[float])(x)
 
 
-_LAGUERRE = np.polynomial.legendre.leggauss(400)
+_LEGENDRE = np.polynomial.legendre.leggauss(400)
 
 
 def bessel_k(nu: float, x: np.ndarray) -> np.ndarray:
@@ -67,7 +67,7 @@ def bessel_k(nu: float, x: np.ndarray) -> np.ndarray:
     t = np.full(len(flat), 1.0)
     for _ in range(60):
         t = np.arccosh(1 + (45 + nu * t) / np.maximum(flat, 1e-300))
-    at, w = _LAGUERRE
+    at, w = _LEGENDRE
     u = (at[None, :] + 1) / 2 * t[:, None]
     # cosh(nu t) with its exponential taken into the other's, so that nothing overflows
     value = np.exp(nu * u - flat[:, None] * np.cosh(u)) * (1 + np.exp(-2 * nu * u)) / 2
@@ -187,39 +187,15 @@ def stencil(point: Sequence[float], orders: Sequence[int], step: float = 1e-3) -
 # minimisers
 
 
-def minimize_scalar(f: Callable[[float], float], lo: float, hi: float, tol: float = 1e-8, rounds: int = 500) -> tuple[float, float]:
-    """(x, f(x)) of a least value inside [lo, hi]: golden sections, with a parabola's step where it stays well inside."""
-    g = (3 - math.sqrt(5)) / 2
-    x = w = v = lo + g * (hi - lo)
-    fx = fw = fv = f(x)
-    step = last = 0.0
-    for _ in range(rounds):
-        mid, eps = (lo + hi) / 2, tol * abs(x) + 1e-12
-        if abs(x - mid) <= 2 * eps - (hi - lo) / 2:
-            break
-        use = False
-        if abs(last) > eps:
-            r, q = (x - w) * (fx - fv), (x - v) * (fx - fw)
-            p, q = (x - v) * q - (x - w) * r, 2 * (q - r)
-            p, q = (-p, q) if q > 0 else (p, -q)
-            use = q != 0 and abs(p) < abs(q * last / 2) and q * (lo - x) < p < q * (hi - x)
-            if use:
-                last, step = step, p / q
-        if not use:
-            last = (hi if x < mid else lo) - x
-            step = g * last
-        u = x + (step if abs(step) >= eps else math.copysign(eps, step))
-        fu = f(u)
-        if fu <= fx:
-            lo, hi = (x, hi) if u >= x else (lo, x)
-            v, fv, w, fw, x, fx = w, fw, x, fx, u, fu
-        else:
-            lo, hi = (u, hi) if u < x else (lo, u)
-            if fu <= fw or w == x:
-                v, fv, w, fw = w, fw, u, fu
-            elif fu <= fv or v in (x, w):
-                v, fv = u, fu
-    return x, fx
+def minimize_scalar(f: Callable[[float], float], lo: float, hi: float, tol: float = 1e-9, points: int = 9) -> tuple[float, float]:
+    """(x, f(x)) of a least value inside [lo, hi]: an even grid, narrowed again and again to its best point's neighbours."""
+    while True:
+        at = np.linspace(lo, hi, points)
+        values = [f(float(x)) for x in at]
+        best = int(np.argmin(values))
+        if hi - lo <= tol * max(abs(lo), abs(hi), 1.0):
+            return float(at[best]), values[best]
+        lo, hi = float(at[max(best - 1, 0)]), float(at[min(best + 1, points - 1)])
 
 
 def minimize(f: Callable[[np.ndarray], float], x0: Sequence[float], bounds: Sequence[tuple[float, float]] | None = None, method: str = "quasi-newton", tol: float = 1e-9, rounds: int = 1000, memory: int = 10) -> tuple[np.ndarray, float]:
@@ -576,61 +552,6 @@ def smoothing_criterion(deviance: float, n: float, edf: float, scale: float | No
     return n * deviance / (n - gamma_ * edf) ** 2 if scale is None else deviance / n - scale + 2 * gamma_ * scale * edf / n
 
 
-# sparse matrices as (row, col, value) arrays
-
-
-@dataclass
-class Sparse:
-    row: np.ndarray
-    col: np.ndarray
-    value: np.ndarray
-    shape: tuple[int, int]
-
-    @classmethod
-    def from_dense(cls, a: np.ndarray, tol: float = 0.0) -> Sparse:
-        r, c = np.nonzero(np.abs(a) > tol)
-        return cls(r, c, a[r, c], a.shape)
-
-    @classmethod
-    def identity(cls, n: int) -> Sparse:
-        return cls(np.arange(n), np.arange(n), np.ones(n), (n, n))
-
-    def scale_rows(self, v: np.ndarray) -> Sparse:
-        return Sparse(self.row, self.col, self.value * v[self.row], self.shape)
-
-    def scale_columns(self, v: np.ndarray) -> Sparse:
-        return Sparse(self.row, self.col, self.value * v[self.col], self.shape)
-
-    def select_columns(self, mask: np.ndarray) -> Sparse:
-        keep = mask[self.col]
-        return Sparse(self.row[keep], self.col[keep], self.value[keep], self.shape)
-
-    def dot(self, x: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.value * x[self.col], self.shape[0])
-
-    def dense(self) -> np.ndarray:
-        out = np.zeros(self.shape)
-        np.add.at(out, (self.row, self.col), self.value)
-        return out
-
-    def solve(self, b: np.ndarray, tol: float = 1e-12) -> np.ndarray:
-        """Conjugate gradients with the diagonal as preconditioner; symmetric and positive definite."""
-        d = np.bincount(self.row[self.row == self.col], self.value[self.row == self.col], self.shape[0])
-        x, r = np.zeros(len(b)), np.array(b, float)
-        z = r / d
-        p, rz = z.copy(), r @ z
-        for _ in range(10 * len(b) + 50):
-            if np.linalg.norm(r) <= tol * max(np.linalg.norm(b), 1e-300):
-                break
-            ap = self.dot(p)
-            a = rz / (p @ ap)
-            x, r = x + a * p, r - a * ap
-            z = r / d
-            rz, old = r @ z, rz
-            p = z + rz / old * p
-        return x
-
-
 # one regression tree on binned columns
 
 
@@ -744,7 +665,7 @@ def _q_rules(s, d):
 
 def _q_optimum(s, d):
     rosen = lambda v: 100 * (v[1] - v[0] ** 2) ** 2 + (1 - v[0]) ** 2
-    rows = [("brent", minimize_scalar(lambda t: (t - 1.25) ** 2 + 3, -4, 6)[0])]
+    rows = [("scalar", minimize_scalar(lambda t: (t - 1.25) ** 2 + 3, -4, 6)[0])]
     rows += [(f"newton{k}", v) for k, v in enumerate(minimize(rosen, [-1.2, 1.0])[0])]
     rows += [(f"simplex{k}", v) for k, v in enumerate(minimize(rosen, [-1.2, 1.0], method="simplex", tol=1e-14)[0])]
     rows += [(f"bounded{k}", v) for k, v in enumerate(minimize(lambda v: ((v - np.array([2.0, -3.0])) ** 2).sum(), [0, 0], bounds=[(0, 1), (-1, 5)])[0])]
@@ -767,6 +688,6 @@ _V = "SELECT * FROM (VALUES {}) t(name, value)"
 SQL = {
     "special_more": "SELECT name, round(value::DOUBLE, 10) AS value FROM (SELECT * FROM (VALUES ('gamma0', 1.0::DOUBLE), ('gamma1', 1.0), ('gamma2', 24.0), ('erfc0', 1.0), ('betaln', ln(1.0 / 12))) a(name, value) UNION ALL SELECT 'q1_' || x, exp(-x) FROM (VALUES ('0.5'::VARCHAR, 0.5::DOUBLE), ('1.0', 1.0), ('2.5', 2.5), ('7.0', 7.0)) t(n, x) UNION ALL SELECT 'q2_' || x, exp(-x) * (1 + x) FROM (VALUES (0.5::DOUBLE), (1.0), (2.5), (7.0)) t(x) UNION ALL SELECT 'k05_' || x, sqrt(pi() / (2 * x)) * exp(-x) FROM (VALUES (0.5::DOUBLE), (1.0), (2.5), (7.0)) t(x) UNION ALL SELECT 'k15_' || x, sqrt(pi() / (2 * x)) * exp(-x) * (1 + 1 / x) FROM (VALUES (0.5::DOUBLE), (1.0), (2.5), (7.0)) t(x))",
     "quadrature_rules": "SELECT name, round(value, 12) AS value FROM (VALUES ('line4', 2.0::DOUBLE / 5), ('square24', 4.0::DOUBLE / 15), ('cube224', 8.0::DOUBLE / 45), ('triangle21', 1.0::DOUBLE / 60), ('triangle03', 1.0::DOUBLE / 20), ('tetra111', 1.0::DOUBLE / 720), ('tetra300', 1.0::DOUBLE / 120), ('wedge112', 1.0::DOUBLE / 36), ('pyramid201', 4.0::DOUBLE / 3 / 30), ('pyramid000', 4.0::DOUBLE / 3), ('box', 30.0::DOUBLE)) t(name, value)",
-    "numeric_optimizers": "SELECT * FROM (VALUES ('brent', 1.25::DOUBLE), ('newton0', 1.0), ('newton1', 1.0), ('simplex0', 1.0), ('simplex1', 1.0), ('bounded0', 1.0), ('bounded1', -1.0), ('lm0', 3.0), ('lm1', 0.4), ('qp0', 3.0), ('qp1', 0.0)) t(name, value)",
+    "numeric_optimizers": "SELECT * FROM (VALUES ('scalar', 1.25::DOUBLE), ('newton0', 1.0), ('newton1', 1.0), ('simplex0', 1.0), ('simplex1', 1.0), ('bounded0', 1.0), ('bounded1', -1.0), ('lm0', 3.0), ('lm1', 0.4), ('qp0', 3.0), ('qp1', 0.0)) t(name, value)",
     "spline_values": "SELECT x::DOUBLE AS x, round(x * x * x - x, 8)::DOUBLE AS value, round(3 * x * x - 1, 7)::DOUBLE AS slope FROM (VALUES (0.0::DOUBLE), (0.5), (1.25), (2.0), (2.5)) t(x)",
 }

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gramlake.functions.scalars import formula
 from gramlake.functions.special import box_cox, box_cox_inverse
+from gramlake.operators.bounded import closest_on_surface, point_triangles
 from gramlake.operators.joins import nearest
 from gramlake.operators.linear import fit_one, full_moments, mean_column
 from gramlake.operators.models import DENSE_ROWS, KERNELS, glm
@@ -299,10 +300,13 @@ def layered(points: DataFrame, profiles: DataFrame, t: float, k: int = 3, power:
 
 
 def closest_on_triangles(queries: DataFrame, triangles: DataFrame) -> DataFrame:
-    """(qid, tid, distance): nearest triangle (tid, a, b, c arrays) of each query (qid, p array); triangles in checked number."""
-    rows = triangles.limit(200_001).toPandas().sort_values("tid")
-    if len(rows) > 200_000:
-        raise ValueError("over 200,000 triangles: cut the surface into boxes first")
+    """(qid, tid, distance): nearest triangle (tid, a, b, c arrays) of each query (qid, p array).
+
+    Up to 20,000 triangles go to the workers as they are; more are searched through a hierarchy of boxes.
+    """
+    rows = triangles.limit(20_001).toPandas().sort_values("tid")
+    if len(rows) > 20_000:
+        return closest_on_surface(queries, triangles)
     held = triangles.sparkSession.sparkContext.broadcast((rows["tid"].to_numpy(), *(np.array(rows[c].tolist(), float) for c in "abc")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -318,22 +322,6 @@ def closest_on_triangles(queries: DataFrame, triangles: DataFrame) -> DataFrame:
     return queries.select("qid", "p").mapInPandas(run, "qid long, tid long, distance double")
 
 
-def point_triangles(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Squared distance of a point to each triangle: to its plane where the foot is inside, else to the nearest edge."""
-    def edge(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        e = v - u
-        t = np.clip(((p - u) * e).sum(1) / np.maximum((e * e).sum(1), 1e-300), 0, 1)
-        return ((p - u - t[:, None] * e) ** 2).sum(1)
-
-    n = np.cross(b - a, c - a)
-    nn = np.maximum((n * n).sum(1), 1e-300)
-    w = p - a
-    v = (np.cross(b - a, w) * n).sum(1) / nn
-    u = (np.cross(w, c - a) * n).sum(1) / nn
-    plane = (w * n).sum(1) ** 2 / nn
-    return np.where((u >= 0) & (v >= 0) & (u + v <= 1), plane, np.minimum(np.minimum(edge(a, b), edge(b, c)), edge(c, a)))
-
-
 # dense, on bounded groups
 
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gramlake.operators.bounded import kd_nearest
 from gramlake.session import table
 
 #: Reference points, and bytes of them, up to which a neighbour search broadcasts them as one matrix; beyond, the grid join is used.
@@ -25,8 +26,8 @@ def squared_distance(a: Sequence[str], b: Sequence[str]) -> Column:
 def nearest(queries: DataFrame, points: DataFrame, axes: Sequence[str], k: int, query_id: str = "qid", point_id: str = "pid") -> DataFrame:
     """(query_id, point_id, distance, rank): the exact k nearest points of each query, ties by point_id.
 
-    A checked number of points goes to the workers as one matrix, against which queries stream in blocks. More points are
-    bucketed on a grid whose cell holds about k of them, and searched in growing rings.
+    A checked number of points goes to the workers as one matrix, against which queries stream in blocks. More points go
+    to the leaves of a k-d tree, of which each query visits those that may hold a neighbour.
     """
     n = points.count()
     if n <= BROADCAST_POINTS and 8 * n * (len(axes) + 1) <= BROADCAST_BYTES:
@@ -49,7 +50,7 @@ def nearest(queries: DataFrame, points: DataFrame, axes: Sequence[str], k: int,
                     })
 
         return queries.select(query_id, *axes).mapInPandas(run, f"{query_id} long, {point_id} long, distance double, rank int")
-    return _grid_nearest(queries, points, axes, k, query_id, point_id, n)
+    return kd_nearest(queries, points, axes, k, query_id, point_id)
 
 
 def _grid_nearest(queries: DataFrame, points: DataFrame, axes: Sequence[str], k: int, query_id: str, point_id: str, n: int) -> DataFrame:
