@@ -89,3 +89,9 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     # keys are uniform in [0, 1): equal ranges are even without a sampling pass over the texts; their number follows the input
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(max(scale, 1.0) * (plan_bytes(docs) or 0) / PART_BYTES))
     return rows.repartitionById(parts, F.floor(F.col("mix_key") * parts).cast("int")).sortWithinPartitions("mix_key")
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """The rows of mixed(docs) with the columns of docs alone: those named like a column of its own keep their values."""
+    own = {c: new for c, new in zip(docs.columns, free(docs, *[f"own_{k}" for k in range(len(docs.columns))]), strict=True) if c.lower() in ("mix_rate", "mix_copy", "mix_key")}
+    return mixed(docs.withColumnsRenamed(own)).select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])

@@ -84,6 +84,10 @@ class Pieces:
         self.sizes = np.array([1 if i in self.byte else len(n.encode()) for i, n in enumerate(self.names)], np.int64)
         self.is_byte = np.array([p.type == p.BYTE for p in kinds])
         self.returns = np.array([p.type in (p.NORMAL, p.BYTE) for p in kinds])
+        # what each id stands for in a decoded text, in a row; control and unknown pieces for nothing
+        means = [bytes([int(p.piece[1:-1], 16)]) if p.type == p.BYTE else p.piece.replace(SPACE, " ").encode() if p.type in (p.NORMAL, p.USER_DEFINED) else b"" for p in kinds]
+        self.stands = np.frombuffer(b"".join(means), np.uint8)
+        self.stands_at = np.concatenate([[0], np.cumsum([len(m) for m in means], dtype=np.int64)])
         #: With an empty map and no trimming a text's characters stand for themselves: whole batches are aligned at once.
         self.plain = self.by_unit and not (self.map.units or self.trim or self.suffix)
         self.forget()
@@ -268,11 +272,21 @@ class Pieces:
             spans[inner, k] = source[base + flat[k + 1]]
         spans[bounds[:-1]], spans[bounds[1:] - 1] = 0, size[:, None]
         odd = np.unique(owner[np.frombuffer(self.whole, np.int8)[number] == 0]) if len(number) else []
-        decoded = [t.replace(mark, b" ") for t in texts]
+        decoded = self.joined(ids, bounds)
         for k in odd:
             decoded[k] = self.decode(ids[bounds[k] : bounds[k + 1]].tolist()).encode()
         return ids, bounds, spans, decoded
 
+    def joined(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """The decoded text of each run of ids, from what each id stands for, without the space that the prefix added. Ids of
+        unknown pieces, and bytes that make no character, are not for it: `decode` knows what they become."""
+        per = self.stands_at[ids + 1] - self.stands_at[ids]
+        till = np.concatenate([[0], np.cumsum(per)])
+        data = self.stands[np.repeat(self.stands_at[ids] - till[:-1], per) + np.arange(till[-1])].tobytes()
+        cuts = till[bounds].tolist()
+        skip = 1 if self.prefix else 0
+        return [data[a + skip if data[a : a + 1] == b" " else a : b] if b > a else b"" for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def ids(self, texts: list[str]) -> list[list[int]]:
         """Ids of whole texts, with the begin and end ids."""
         return [x[0] for x in self.aligned(texts)]

@@ -793,3 +793,16 @@ def test_ties_go_to_the_path_whose_last_piece_starts_first():
     tool = viterbi_count.Counter([("a", -1.0), ("b", -1.0), ("ab", -2.0), ("abc", -3.0), ("c", -1.0), ("bc", -2.0), ("▁", -1.0)])
     assert tool.unit("abc") == 1 and tool.unit("ab") == 1 and tool.unit("abcab") == 2
     assert tool.unit("aéa") == 4
+
+
+def test_joined_gives_back_what_ids_stand_for():
+    """Decoding goes by the ids: others give other texts."""
+    from gramlake.llm.queries import tokenizer
+
+    with open(tokenizer(), "rb") as f:
+        tool = pieces.load(f.read())
+    texts = ["", " ", "  a b", "\u2581x", "na\u00efve \U0001f600\u200b\n", "one two"]
+    ids, bounds, _, decoded = tool.batch([t.encode() for t in texts])
+    assert [d.decode() for d in decoded] == [tool.decode(ids[a:b].tolist()) for a, b in zip(bounds, bounds[1:], strict=False)]
+    ids[bounds[5] + 1] = ids[bounds[5] + 2]
+    assert tool.joined(ids, bounds)[5].decode() == tool.decode(ids[bounds[5] :].tolist()) != texts[5]

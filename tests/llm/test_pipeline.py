@@ -37,4 +37,17 @@ def test_each_stage_decides_as_its_operator(spark, tmp_path):
 
 
 def test_every_operator_has_its_query():
-    assert {f"op{k}" for k in range(1, 11)} | {"pipeline"} == {n.split("_")[0] for n in queries()}
+    assert {f"op{k}" for k in range(1, 14)} | {"pipeline"} == {n.split("_")[0] for n in queries()}
+
+
+def test_stages_of_empty_tables_and_clashing_columns(spark, tmp_path):
+    docs = spark.createDataFrame(rows(), DOCS).selectExpr("*", "'mine' AS mix_key", "'mine' AS kept", "'mine' AS component", "'mine' AS score")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(100)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, step in corpus_pipeline.STAGES:
+        none = step(spark, docs.limit(0), str(tmp_path))
+        assert none.count() == 0
+        if name != "encoding":
+            out = step(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns == none.columns
+            assert {r.mix_key for r in out.collect()} == {"mine"} == {r.kept for r in out.collect()}
