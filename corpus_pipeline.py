@@ -1,4 +1,9 @@
-"""From documents to token ids: quality rules, toxicity, near-duplicates, mixing, SentencePiece. One table between stages."""
+"""From documents to token ids: quality rules, toxicity, near-duplicates, mixing, SentencePiece. One table between stages.
+
+Every stage takes null ids, texts, languages and sources, and repeated rows, as rows of their own; an empty table gives an
+empty one. All but the last return the columns of their documents with their values, also those named like columns that an
+operator adds. A stage's result is to be written before the next stage is called: staged tables that it reads go then.
+"""
 
 from __future__ import annotations
 
@@ -11,26 +16,27 @@ from gramlake.llm.runtime import between_stages, release, stage
 
 @between_stages
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null and empty texts have no words and go; ties at a threshold stay."""
     return quality.passed(docs)
 
 
 @between_stages
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the toxicity threshold. Labels are learned from where the documents reach this stage."""
+    """Documents that score below the toxicity threshold. Labels are learned from where the documents reach this stage; without any, every document stays."""
     return toxicity.passed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 @between_stages
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, similarity of 0.8 or more): that of the smallest id."""
+    """One document of each group of near-duplicates (five words, similarity of 0.8 or more): that of the smallest id. Documents without words,
+    and those without an id, stay."""
     return superminhash.deduplicated(docs, 5, 80)
 
 
 @between_stages
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the target weights of their sources, in a global random order."""
-    return mixing.mixed(docs).select(docs.columns)
+    return mixing.repeated(docs)
 
 
 @between_stages
