@@ -16,6 +16,7 @@ from gramlake.functions.scalars import formula
 from gramlake.functions.special import box_cox, box_cox_inverse
 from gramlake.operators.bounded import closest_on_surface, point_triangles
 from gramlake.operators.joins import nearest
+from gramlake.operators.layers import stations_at
 from gramlake.operators.linear import fit_one, full_moments, mean_column
 from gramlake.operators.models import DENSE_ROWS, KERNELS, glm
 from gramlake.session import table
@@ -281,13 +282,7 @@ def local_kriging(points: DataFrame, queries: DataFrame, axes: Sequence[str], y:
 def layered(points: DataFrame, profiles: DataFrame, t: float, k: int = 3, power: float = 2.0) -> DataFrame:
     """(pid, temperature): station profiles (name, x, y, t, depth, temperature) at time t and each point's depth, blended over
     the k nearest stations. Profiles are linear in time and depth and clamped at their ends."""
-    w = Window.partitionBy("name", "depth").orderBy("t")
-    p = profiles.withColumn("t1", F.lead("t").over(w)).withColumn("v1", F.lead("temperature").over(w)).withColumn("first", F.row_number().over(w) == 1)
-    inside = (F.col("t") <= t) & (F.col("t1") > t)
-    p = p.where(inside | (F.col("t1").isNull() & (F.col("t") <= t)) | (F.col("first") & (F.col("t") > t)))
-    value = F.when(inside, F.col("temperature") + (F.lit(t) - F.col("t")) / (F.col("t1") - F.col("t")) * (F.col("v1") - F.col("temperature"))).otherwise(F.col("temperature"))
-    now = p.select("name", "x", "y", "depth", value.alias("v"))
-    st = now.groupBy("name", "x", "y").agg(F.array_sort(F.collect_list(F.struct("depth", "v"))).alias("at")).withColumn("sid", F.xxhash64("name", "x", "y"))
+    st = stations_at(profiles, t).withColumn("sid", F.xxhash64("name", "x", "y"))
     near = nearest(points.select(F.col("pid").alias("qid"), "x", "y"), st.select("sid", "x", "y"), ["x", "y"], k, point_id="sid")
     pairs = near.join(st.select("sid", "at"), "sid").join(points.select(F.col("pid").alias("qid"), F.col("depth").alias("z")), "qid")
     lower = F.filter("at", lambda a: a["depth"] <= F.col("z"))

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gramlake.session import table
+
 #: Local node numbers of the faces of VTK cells, outward: tetrahedron 10, hexahedron 12, wedge 13, pyramid 14.
 FACES = {
     10: ((0, 1, 3), (1, 2, 3), (2, 0, 3), (0, 2, 1)),
@@ -209,61 +211,107 @@ def relax(state: DataFrame, proposed: str, current: str, factor: float) -> Colum
 # queries
 
 
+#: Columns and rows of the lattices on which queries lay the rows of a table.
+COLUMNS, ROWS = 20, 10
+
+
+def _graded(k: Column) -> tuple[Column, Column, Column]:
+    """Coordinates of a lattice node by its number: steps that grow along x and y, even ones along z."""
+    nx, ny = COLUMNS + 1, ROWS + 1
+    i, j, h = k % nx, F.floor(k / nx) % ny, F.floor(k / (nx * ny))
+    return (i * (i + 20) * 0.05).alias("x"), (j * (j + 10) * 0.1).alias("y"), (h * 0.25).alias("z")
+
+
+def _part_boxes(s, d):
+    """Hexahedra where parts of some size lie on a lattice, so that the mesh has holes as the table has them."""
+    part = table(s, d, "part").where("p_size > 8").select(F.col("p_partkey").alias("cid"), (F.col("p_size") % 3).alias("label"))
+    nx, ny = COLUMNS + 1, ROWS + 1
+    i, j, h = F.col("cid") % COLUMNS, F.floor(F.col("cid") / COLUMNS) % ROWS, F.floor(F.col("cid") / (COLUMNS * ROWS))
+    at = lambda a, b, c: ((i + a) + nx * ((j + b) + ny * (h + c))).cast("long")
+    nodes = F.array(at(0, 0, 0), at(1, 0, 0), at(1, 1, 0), at(0, 1, 0), at(0, 0, 1), at(1, 0, 1), at(1, 1, 1), at(0, 1, 1))
+    cells = part.select("cid", F.lit(12).alias("type"), nodes.alias("nodes"), "label")
+    points = cells.select(F.explode("nodes").alias("pid")).distinct().select("pid", *_graded(F.col("pid")))
+    return points, cells
+
+
+def _part_plates(s, d):
+    """Quadrilaterals of a plane on the same lattice, without holes' parts, and the price as their density."""
+    part = table(s, d, "part").where("p_size > 8").select(F.col("p_partkey").alias("cid"), F.col("p_retailprice").alias("q"))
+    nx = COLUMNS + 1
+    a = (F.col("cid") % COLUMNS + nx * F.floor(F.col("cid") / COLUMNS)).cast("long")
+    cells = part.select("cid", F.lit(9).alias("type"), F.array(a, a + 1, a + nx + 1, a + nx).alias("nodes"), "q")
+    i, j = F.col("pid") % nx, F.floor(F.col("pid") / nx)
+    points = cells.select(F.explode("nodes").alias("pid")).distinct().select("pid", (i * (i + 20) * 0.05).alias("x"), (j * 0.5).alias("y"), F.lit(0.0).alias("z"))
+    return points, cells
+
+
+def _rectangles(df: DataFrame, x0: Column, x1: Column, y0: Column, y1: Column, *more: Column) -> DataFrame:
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"), F.lit(0.0).alias("z"))
+    return df.select("cid", F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1)).alias("at"), *more)
+
+
 def _q_boundary(s, d):
-    _, c = box_mesh(s, (6, 5, 4))
+    _, c = _part_boxes(s, d)
     return boundary(c).select("cid", "face", F.array_join(F.array_sort("nodes"), ",").alias("key"))
 
 
 def _q_interface(s, d):
-    _, c = box_mesh(s, (6, 5, 4))
-    return interface(c, "layer").select("cid", "face", "other")
+    _, c = _part_boxes(s, d)
+    return interface(c, "label").select("cid", "face", "other")
 
 
 def _q_volume(s, d):
-    p, c = box_mesh(s, (6, 5, 4), (3.0, 2.0, 1.0))
-    return volumes(c, p).select("cid", F.round("volume", 9).alias("volume"))
+    p, c = _part_boxes(s, d)
+    return volumes(c, p).select("cid", F.round("volume", 8).alias("volume"))
 
 
 def _q_centroid(s, d):
-    p, c = box_mesh(s, (6, 5, 4), (3.0, 2.0, 1.0))
-    return centroids(c, p).select("cid", *[F.round(a, 9).alias(a) for a in ("x", "y", "z")])
+    p, c = _part_boxes(s, d)
+    return centroids(c, p).select("cid", *[F.round(a, 8).alias(a) for a in ("x", "y", "z")])
 
 
 def _q_area(s, d):
-    p, c = plane_mesh(s, 7, 5, (2.0, 1.0))
-    return areas(c, p).select("cid", F.round("area", 9).alias("area"))
+    p, c = _part_plates(s, d)
+    return areas(c, p).select("cid", F.round("area", 8).alias("area"))
 
 
 def _q_load(s, d):
-    p, c = plane_mesh(s, 4, 4)
-    return load_vector(c.withColumn("q", (F.col("cid") % 3).cast("double")), p, "q").agg(F.count("*").alias("n"), F.round(F.sum("load"), 9).alias("total"))
+    p, c = _part_plates(s, d)
+    return load_vector(c, p, "q").select("pid", F.round("load", 6).alias("load"))
 
 
 def _q_flux(s, d):
-    p, c = plane_mesh(s, 9, 7, triangles=False)
-    q, t = plane_mesh(s, 4, 5, triangles=False)
-    src = with_corners(c, p).withColumn("q", (F.col("cid") % 5 - 2).cast("double"))
-    out = transfer(src, with_corners(t, q), 0.3)
-    return out.select("target", F.round("plus", 9).alias("plus"), F.round("minus", 9).alias("minus"), F.round("area", 9).alias("area"), "missed")
+    part = table(s, d, "part").where("p_size > 8").select(F.col("p_partkey").alias("cid"), (F.col("p_retailprice") - 1400).alias("q"))
+    i, j = (F.col("cid") % 40).cast("double"), F.floor(F.col("cid") / 40).cast("double")
+    plates = table(s, d, "supplier").select(F.col("s_suppkey").alias("cid"))
+    u, v = F.col("cid") % 10 * 4.1, F.floor(F.col("cid") / 10) * 5.3
+    out = transfer(_rectangles(part, i, i + 1, j, j + 1, F.col("q")), _rectangles(plates, u + 1.5, u + 5.6, v, v + 5.3), 4.0)
+    return out.select("target", F.round("plus", 5).alias("plus"), F.round("minus", 5).alias("minus"), F.round("area", 7).alias("area"), "missed")
 
 
 _CP = [(300.0, 1000.0), (800.0, 1500.0), (2000.0, 1800.0)]
 
 
 def _q_energy(s, d):
-    df = s.range(60).select("id", (F.col("id") * 50.0 - 100).alias("t"))
-    return df.select("id", F.round(heat_capacity(F.col("t"), _CP), 6).alias("cp"), F.round(heat_energy(F.col("t"), _CP), 3).alias("e"))
+    t = F.col("p_size") * 45.0 + F.col("p_retailprice") % 100 - 100
+    return table(s, d, "part").select(F.col("p_partkey").alias("id"), F.round(heat_capacity(t, _CP), 6).alias("cp"), F.round(heat_energy(t, _CP), 6).alias("e"))
 
 
 QUERIES = {"boundary_faces": _q_boundary, "interface_faces": _q_interface, "mesh_volume": _q_volume, "mesh_centroids": _q_centroid, "mesh_area": _q_area, "mesh_load_vector": _q_load, "flux_conserve": _q_flux, "material_energy": _q_energy}
-_C = "c AS (SELECT i AS cid, i % 6 AS a, i // 6 % 5 AS b, i // 30 AS l FROM range(120) t(i)), o AS (SELECT * FROM (VALUES (0,0,0),(1,0,0),(1,1,0),(0,1,0),(0,0,1),(1,0,1),(1,1,1),(0,1,1)) v(dx, dy, dz)), f AS (SELECT * FROM (VALUES (0, 0, 0), (1, 0, 1), (2, 1, 0), (3, 1, 1), (4, 2, 0), (5, 2, 1)) v(face, axis, side)), n AS (SELECT cid, face, axis, side, a, b, l, array_to_string(list_sort(list(a + dx + 7 * (b + dy + 6 * (l + dz)))), ',') AS key FROM c, f, o WHERE CASE axis WHEN 0 THEN dx WHEN 1 THEN dy ELSE dz END = side GROUP BY ALL)"
+_X, _Y = "({0} * ({0} + 20) * 0.05::DOUBLE)", "({0} * ({0} + 10) * 0.1::DOUBLE)"
+_C = f"c AS (SELECT p_partkey AS cid, p_partkey % {COLUMNS} AS a, p_partkey // {COLUMNS} % {ROWS} AS b, p_partkey // {COLUMNS * ROWS} AS h, p_size % 3 AS label FROM part WHERE p_size > 8)"
+_N = f"{_C}, f AS (SELECT * FROM (VALUES (0, -1, 0, 0), (1, 1, 0, 0), (2, 0, -1, 0), (3, 0, 1, 0), (4, 0, 0, -1), (5, 0, 0, 1)) v(face, u, v, w))"
+_G = "(a + {0} + 21 * ((b + {1}) + 11 * (h + {2})))"
+_KEY = "CASE " + " ".join(f"WHEN face = {k} THEN list_sort([{', '.join(_G.format(*c) for c in corners)}])" for k, corners in enumerate((((0, 0, 0), (0, 1, 0), (0, 0, 1), (0, 1, 1)), ((1, 0, 0), (1, 1, 0), (1, 0, 1), (1, 1, 1)), ((0, 0, 0), (1, 0, 0), (0, 0, 1), (1, 0, 1)), ((0, 1, 0), (1, 1, 0), (0, 1, 1), (1, 1, 1)), ((0, 0, 0), (1, 0, 0), (0, 1, 0), (1, 1, 0)), ((0, 0, 1), (1, 0, 1), (0, 1, 1), (1, 1, 1))))) + " END"
+_W = f"w AS (SELECT p_partkey AS cid, p_partkey % {COLUMNS} AS a, p_partkey // {COLUMNS} AS b, p_retailprice AS q FROM part WHERE p_size > 8)"
+_AREA = f"({_X.format('(a + 1)')} - {_X.format('a')}) * 0.5"
 SQL = {
-    "boundary_faces": f"WITH {_C} SELECT any_value(cid) AS cid, any_value(face)::INTEGER AS face, key FROM n GROUP BY key HAVING count(*) = 1",
-    "interface_faces": f"WITH {_C} SELECT x.cid, x.face::INTEGER AS face, y.cid AS other FROM n x JOIN n y ON x.key = y.key AND x.l < y.l",
-    "mesh_volume": "SELECT i AS cid, round(6.0 / 120, 9)::DOUBLE AS volume FROM range(120) t(i)",
-    "mesh_centroids": "SELECT i AS cid, round((i % 6 + 0.5) * 0.5, 9)::DOUBLE AS x, round((i // 6 % 5 + 0.5) * 0.4, 9)::DOUBLE AS y, round((i // 30 + 0.5) * 0.25, 9)::DOUBLE AS z FROM range(120) t(i)",
-    "mesh_area": "SELECT i AS cid, round(2.0::DOUBLE / 70, 9) AS area FROM range(70) t(i)",
-    "mesh_load_vector": "SELECT 25::BIGINT AS n, round(sum(i % 3) / 32.0::DOUBLE, 9) AS total FROM range(32) t(i)",
-    "flux_conserve": "WITH s AS (SELECT i % 9 / 9.0::DOUBLE AS x0, (i % 9 + 1) / 9.0::DOUBLE AS x1, i // 9 / 7.0::DOUBLE AS y0, (i // 9 + 1) / 7.0::DOUBLE AS y1, i % 5 - 2 AS q FROM range(63) t(i)), g AS (SELECT i AS target, i % 4 / 4.0::DOUBLE AS u0, (i % 4 + 1) / 4.0::DOUBLE AS u1, i // 4 / 5.0::DOUBLE AS v0, (i // 4 + 1) / 5.0::DOUBLE AS v1 FROM range(20) t(i)), o AS (SELECT target, q, greatest(least(x1, u1) - greatest(x0, u0), 0) * greatest(least(y1, v1) - greatest(y0, v0), 0) AS a FROM s, g) SELECT target, round(sum(a * greatest(q, 0)), 9) AS plus, round(sum(a * least(q, 0)), 9) AS minus, round(sum(a), 9) AS area, 0::BIGINT AS missed FROM o GROUP BY 1",
-    "material_energy": "WITH t AS (SELECT i AS id, i * 50.0::DOUBLE - 100 AS t FROM range(60) r(i)) SELECT id, round(CASE WHEN t <= 300 THEN 1000 WHEN t <= 800 THEN 1000 + (t - 300) WHEN t <= 2000 THEN 1500 + (t - 800) * 0.25 ELSE 1800 END, 6)::DOUBLE AS cp, round(CASE WHEN t <= 300 THEN (t - 300) * 1000 WHEN t <= 800 THEN (t - 300) * 1000 + (t - 300) * (t - 300) / 2 WHEN t <= 2000 THEN 625000 + (t - 800) * 1500 + (t - 800) * (t - 800) * 0.125 ELSE 2605000 + (t - 2000) * 1800 END, 3)::DOUBLE AS e FROM t",
-}
+    "boundary_faces": f"WITH {_N} SELECT c.cid, face::INTEGER AS face, array_to_string({_KEY.replace('(a +', '(c.a +').replace('((b +', '((c.b +').replace('(h +', '(c.h +')}, ',') AS key FROM c CROSS JOIN f LEFT JOIN c o ON o.a = c.a + u AND o.b = c.b + v AND o.h = c.h + w WHERE o.cid IS NULL",
+    "interface_faces": f"WITH {_N} SELECT c.cid, face::INTEGER AS face, o.cid AS other FROM c CROSS JOIN f JOIN c o ON o.a = c.a + u AND o.b = c.b + v AND o.h = c.h + w WHERE c.label < o.label",
+    "mesh_volume": f"WITH {_C} SELECT cid, round(({_X.format('(a + 1)')} - {_X.format('a')}) * ({_Y.format('(b + 1)')} - {_Y.format('b')}) * 0.25, 8) AS volume FROM c",
+    "mesh_centroids": f"WITH {_C} SELECT cid, round(({_X.format('(a + 1)')} + {_X.format('a')}) / 2, 8) AS x, round(({_Y.format('(b + 1)')} + {_Y.format('b')}) / 2, 8) AS y, round((h + 0.5::DOUBLE) * 0.25, 8) AS z FROM c",
+    "mesh_area": f"WITH {_W} SELECT cid, round({_AREA}, 8) AS area FROM w",
+    "mesh_load_vector": f"WITH {_W} SELECT a + da + 21 * (b + db) AS pid, round(sum(q * {_AREA} / 4), 6) AS load FROM w, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) t(da, db) GROUP BY 1",
+    "flux_conserve": "WITH s AS (SELECT p_partkey AS id, (p_partkey % 40)::DOUBLE AS x, (p_partkey // 40)::DOUBLE AS y, p_retailprice - 1400 AS q FROM part WHERE p_size > 8), g AS (SELECT s_suppkey AS target, s_suppkey % 10 * 4.1::DOUBLE + 1.5 AS u, s_suppkey // 10 * 5.3::DOUBLE AS v FROM supplier), o AS (SELECT id, target, (least(x + 1, u + 4.1) - greatest(x, u)) * (least(y + 1, v + 5.3) - greatest(y, v)) AS o FROM s JOIN g ON x < u + 4.1 AND u < x + 1 AND y < v + 5.3 AND v < y + 1), k AS (SELECT *, sum(o) OVER (PARTITION BY id) AS t FROM o WHERE o > 1e-9), r AS (SELECT target, q, coalesce(o / t, 1) AS part, o FROM s LEFT JOIN k USING (id)) SELECT target, round(sum(part * greatest(q, 0)), 5) AS plus, round(sum(part * least(q, 0)), 5) AS minus, round(sum(o), 7) AS area, count(*) FILTER (o IS NULL) AS missed FROM r GROUP BY target",
+    "material_energy": "WITH t AS (SELECT p_partkey AS id, p_size * 45.0::DOUBLE + p_retailprice % 100 - 100 AS t FROM part) SELECT id, round(CASE WHEN t <= 300 THEN 1000 WHEN t <= 800 THEN 1000 + (t - 300) WHEN t <= 2000 THEN 1500 + (t - 800) * 0.25 ELSE 1800 END, 6)::DOUBLE AS cp, round(CASE WHEN t <= 300 THEN (t - 300) * 1000 WHEN t <= 800 THEN (t - 300) * (2000 + (t - 300)) / 2 WHEN t <= 2000 THEN 625000 + (t - 800) * (3000 + (t - 800) * 0.25) / 2 ELSE 2605000 + (t - 2000) * 1800 END, 6)::DOUBLE AS e FROM t",
+}

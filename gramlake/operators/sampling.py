@@ -175,40 +175,60 @@ def sobol_indices(spark: SparkSession, name: str, n: int, seed: int = 0) -> Data
     return df.agg(F.array(*cells).alias("all")).select(F.inline("all"))
 
 
-def _grid(s, name, n=9):
-    lim = PROBLEMS[name]
-    df = full_factorial(s, lim, [n if len(lim) < 4 else 4] * len(lim))
-    return df.select("i", F.round(problem(name, *[F.col(f"x{j}") for j in range(len(lim))]), 7).alias("y"))
+#: Multipliers that spread part keys over the axes of a problem.
+SPREAD = (7919, 104729, 1299709, 15485863, 32452843, 49979687)
 
 
 def _q_problems(s, d):
-    out = None
-    for name in PROBLEMS:
-        one = _grid(s, name).select(F.lit(name).alias("name"), "i", "y")
+    """Every problem at inputs that the part keys give, one an axis."""
+    part, out = table(s, d, "part"), None
+    for name, limits in PROBLEMS.items():
+        x = [F.lit(float(lo)) + F.col("p_partkey") * m % 1009 / 1009 * (hi - lo) for m, (lo, hi) in zip(SPREAD, limits, strict=False)]
+        one = part.select(F.lit(name).alias("name"), F.col("p_partkey").alias("i"), F.round(problem(name, *x), 6).alias("y"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def _limits(s, d):
+    """Size and price between their ends in part, and the number of suppliers."""
+    box = table(s, d, "part").agg(F.min("p_size").cast("double"), F.max("p_size").cast("double"), F.min("p_retailprice"), F.max("p_retailprice")).first()
+    return [(box[0], box[1]), (box[2], box[3])], table(s, d, "supplier").count()
+
+
+def _q_factorial(s, d):
+    limits, _ = _limits(s, d)
+    levels = [table(s, d, "region").count(), table(s, d, "nation").count()]
+    return full_factorial(s, [*limits, (5, 7)], [*levels, 1]).select("i", *[F.round(f"x{j}", 8).alias(f"x{j}") for j in range(3)])
+
+
+def _q_halton(s, d):
+    limits, n = _limits(s, d)
+    return halton(s, n, limits).select("i", *[F.round(f"x{j}", 8).alias(f"x{j}") for j in range(2)])
+
+
+def _q_hypercube(s, d, axis):
+    limits, n = _limits(s, d)
+    lo, hi = limits[axis]
+    x = F.floor((F.col(f"x{axis}") - lo) / (hi - lo) * n + 1e-9).cast("long")
+    return latin_hypercube(s, n, limits, 5).groupBy(x.alias("stratum")).agg(F.count("*").alias("points"))
+
+
+def _q_random(s, d):
+    limits, n = _limits(s, d)
+    lo, hi = limits[1]
+    return random_points(s, n, limits, 3).agg(F.count("*").alias("n"), F.count_if((F.col("x1") >= lo) & (F.col("x1") < hi)).alias("inside"), F.lit(hi).alias("upper"))
+
+
 QUERIES = {
-    "full_factorial": lambda s, d: full_factorial(s, [(0, 1), (-2, 2), (5, 7)], [3, 5, 1]),
-    "halton": lambda s, d: halton(s, 200, [(0, 1), (0, 10)]).select("i", F.round("x0", 12).alias("x0"), F.round("x1", 12).alias("x1")),
-    "latin_hypercube": lambda s, d: latin_hypercube(s, 1000, [(0, 1), (0, 1)], 5).select((F.floor(F.col("x0") * 1000)).cast("long").alias("stratum")),
-    "latin_hypercube_axis2": lambda s, d: latin_hypercube(s, 1000, [(0, 1), (0, 1)], 5).select((F.floor(F.col("x1") * 1000)).cast("long").alias("stratum")),
-    "random_points": lambda s, d: random_points(s, 2000, [(0, 2)], 3).agg(F.count("*").alias("n"), F.count_if((F.col("x0") >= 0) & (F.col("x0") < 2)).alias("inside")),
+    "full_factorial": _q_factorial, "halton": _q_halton, "latin_hypercube": lambda s, d: _q_hypercube(s, d, 0), "latin_hypercube_axis2": lambda s, d: _q_hypercube(s, d, 1), "random_points": _q_random,
     "kfold_assign": lambda s, d: table(s, d, "orders").select("o_orderkey", fold_of(F.col("o_orderkey"), 5).alias("fold")),
     "bootstrap_means": lambda s, d: bootstrap_means(table(s, d, "orders"), "o_orderkey", "o_totalprice", 50).select("replicate", F.round("mean", 4).alias("mean")),
     "benchmark_problems": _q_problems, "sobol_monte_carlo": lambda s, d: sobol_indices(s, "ishigami", 20000),
 }
 
 
-def _ax(i, n, lo, hi, step):
-    return f"({lo} + (({i} // {step}) % {n})::DOUBLE / {n - 1} * ({hi - lo}))"
-
-
 def _prob_sql():
-    x = lambda name, j, n: _ax("i", n, PROBLEMS[name][j][0], PROBLEMS[name][j][1], n ** (len(PROBLEMS[name]) - 1 - j))
-    rng = lambda k: f"FROM range({k}) t(i)"
-    cols = lambda name, n: ", ".join(f"{x(name, j, n)} AS x{j}" for j in range(len(PROBLEMS[name])))
+    cols = lambda name: ", ".join(f"{float(lo)!r}::DOUBLE + p_partkey * {m} % 1009 / 1009 * {hi - lo!r}::DOUBLE AS x{j}" for j, (m, (lo, hi)) in enumerate(zip(SPREAD, PROBLEMS[name], strict=False)))
     h = lambda slopes, centres: " + ".join(f"{c} * exp(-({' + '.join(f'{a} * (x{j} - {p}) * (x{j} - {p})' for j, (a, p) in enumerate(zip(row, at, strict=True)))}))" for c, row, at in zip(_H3_ALPHA, slopes, centres, strict=True))
     body = {
         "branin": "pow(x1 - 5.1 / (4 * pi() * pi()) * x0 * x0 + 5 / pi() * x0 - 6, 2) + 10 * (1 - 1 / (8 * pi())) * cos(x0) + 10",
@@ -217,20 +237,21 @@ def _prob_sql():
         "hartmann3": f"-({h(_H3_A, _H3_P)})", "hartmann6": f"-({h(_H6_A, _H6_P)})", "ishigami": "sin(x0) + 7 * pow(sin(x1), 2) + 0.1 * pow(x2, 4) * sin(x0)",
         "friedman": "10 * sin(pi() * x0 * x1) + 20 * pow(x2 - 0.5, 2) + 10 * x3 + 5 * x4",
     }
-    return " UNION ALL ".join(f"SELECT '{k}' AS name, i, round({e}, 7) AS y FROM (SELECT i, {cols(k, 9 if len(PROBLEMS[k]) < 4 else 4)} {rng((9 if len(PROBLEMS[k]) < 4 else 4) ** len(PROBLEMS[k]))})" for k, e in body.items())
+    return " UNION ALL ".join(f"SELECT '{k}' AS name, i, round({e}, 6) AS y FROM (SELECT p_partkey AS i, {cols(k)} FROM part)" for k, e in body.items())
 
 
 def _halton_sql(base):
-    return " + ".join(f"((i + 1) // {base**k}) % {base} / {base ** (k + 1)}.0::DOUBLE" for k in range(9 if base == 2 else 7))
+    return " + ".join(f"((i + 1) // {base**k}) % {base} / {base ** (k + 1)}.0::DOUBLE" for k in range(24 if base == 2 else 15))
 
 
+_BOX = "b AS (SELECT min(p_size)::DOUBLE AS s0, max(p_size)::DOUBLE AS s1, min(p_retailprice) AS p0, max(p_retailprice) AS p1 FROM part), n AS (SELECT count(*) AS n FROM supplier)"
 SQL = {
     "bootstrap_means": "WITH u AS (SELECT rep, o_totalprice AS v, ('0x' || substr(md5(o_orderkey || ':' || rep || ':0'), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u FROM orders, range(50) t(rep)), n AS (SELECT rep, v, " + " + ".join(f"(u >= {c!r}::DOUBLE)::INTEGER" for c in _poisson_steps()) + " AS n FROM u) SELECT rep::INTEGER AS replicate, round(sum(n * v) / sum(n), 4) AS mean FROM n GROUP BY 1",
 
     "kfold_assign": "SELECT o_orderkey, (('0x' || substr(md5(o_orderkey || ':0'), 1, 13))::BIGINT % 5)::INTEGER AS fold FROM orders",
 
-    "full_factorial": "SELECT i, (i // 5) / 2.0::DOUBLE AS x0, -2 + (i % 5) / 4.0::DOUBLE * 4 AS x1, 6.0::DOUBLE AS x2 FROM range(15) t(i)",
-    "halton": f"SELECT i, round(({_halton_sql(2)}) % 1, 12) AS x0, round(({_halton_sql(3)}) % 1 * 10, 12) AS x1 FROM range(200) t(i)",
-    "latin_hypercube": "SELECT i AS stratum FROM range(1000) t(i)", "latin_hypercube_axis2": "SELECT i AS stratum FROM range(1000) t(i)",
-    "random_points": "SELECT 2000::BIGINT AS n, 2000::BIGINT AS inside", "benchmark_problems": _prob_sql(),
+    "full_factorial": f"WITH {_BOX}, l AS (SELECT (SELECT count(*) FROM region) AS r, (SELECT count(*) FROM nation) AS k) SELECT i, round(s0 + (i // k) / (r - 1)::DOUBLE * (s1 - s0), 8) AS x0, round(p0 + (i % k) / (k - 1)::DOUBLE * (p1 - p0), 8) AS x1, 6.0::DOUBLE AS x2 FROM b, l, unnest(range(0, r * k)) AS u(i)",
+    "halton": f"WITH {_BOX} SELECT i, round(s0 + ({_halton_sql(2)}) % 1 * (s1 - s0), 8) AS x0, round(p0 + ({_halton_sql(3)}) % 1 * (p1 - p0), 8) AS x1 FROM b, n, unnest(range(0, n)) AS u(i)",
+    "latin_hypercube": "SELECT i AS stratum, 1::BIGINT AS points FROM range(0, (SELECT count(*) FROM supplier)) t(i)", "latin_hypercube_axis2": "SELECT row_number() OVER () - 1 AS stratum, 1::BIGINT AS points FROM supplier",
+    "random_points": "SELECT (SELECT count(*) FROM supplier) AS n, (SELECT count(*) FROM supplier) AS inside, max(p_retailprice) AS upper FROM part", "benchmark_problems": _prob_sql(),
 }
