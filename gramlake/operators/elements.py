@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gramlake.functions import numerics
 from gramlake.operators.mesh import DIMENSION, FACES, areas, box_mesh, clip, heat_capacity, heat_energy, moments, plane_mesh, polygon_vector, volumes, with_corners
-from gramlake.session import table
+from gramlake.session import saved, table
 
 #: VTK numbers of the element types, with their dimension, nodes and the rule of their reference shape.
 KINDS = {
@@ -405,33 +405,32 @@ def linear_reconstruction(cells: DataFrame, points: DataFrame, flux: str) -> Dat
     return at.join(shrink, "cid").select("cid", "pid", (F.col("_q") + F.col("_s") * F.col("_d")).alias("value"))
 
 
-def consistent_flux(cells: DataFrame, points: DataFrame, flux: str, rounds: int = 60, tolerance: float = 1e-12) -> DataFrame:
+def consistent_flux(cells: DataFrame, points: DataFrame, flux: str, rounds: int = 2000, tolerance: float = 1e-10) -> DataFrame:
     """(pid, value): the least-squares nodal field of a cell flux on triangles: the mass matrix's system by conjugate gradients
-    with its diagonal, every product a join and a sum over the entries. The field's integral is the flux's."""
+    with its diagonal, every product a join and a sum over the entries. The field's integral is the flux's. A residual that
+    is not below tolerance times the first one after all rounds raises."""
     tri = triangulated(cells.where(F.col("type").isin(5, 7, 9)))
     a = areas(tri, points)
     held = tri.join(a, "cid").join(cells.select(F.col("cid").alias("parent"), F.col(flux).alias("_q")), "parent")
     each = held.select("cid", "area", "_q", F.explode("nodes").alias("row"))
     other = held.select("cid", F.explode("nodes").alias("col"))
-    mass = each.join(other, "cid").groupBy("row", "col").agg(F.sum(F.col("area") / 12 * F.when(F.col("row") == F.col("col"), 2.0).otherwise(1.0)).alias("m")).cache()
+    mass = each.join(other, "cid").groupBy("row", "col").agg(F.sum(F.col("area") / 12 * F.when(F.col("row") == F.col("col"), 2.0).otherwise(1.0)).alias("m"))
+    mass = saved(mass)
     rhs = each.groupBy(F.col("row").alias("pid")).agg(F.sum(F.col("area") / 3 * F.col("_q")).alias("r"))
     diagonal = mass.where("row = col").select(F.col("row").alias("pid"), F.col("m").alias("d"))
     state = rhs.join(diagonal, "pid").select("pid", F.lit(0.0).alias("x"), "r", "d", (F.col("r") / F.col("d")).alias("p"))
-    try:
-        rz0 = rz = state.agg(F.sum(F.col("r") * F.col("r") / F.col("d"))).first()[0] or 0.0
-        for k in range(rounds):
-            if rz <= tolerance**2 * max(rz0, 1e-300):
-                break
-            ap = mass.join(state.select(F.col("pid").alias("col"), "p"), "col").groupBy(F.col("row").alias("pid")).agg(F.sum(F.col("m") * F.col("p")).alias("ap"))
-            now = state.join(ap, "pid").checkpoint()
-            step = rz / (now.agg(F.sum(F.col("p") * F.col("ap"))).first()[0] or 1.0)
-            now = now.select("pid", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("ap")).alias("r"), "d", "p")
-            new = now.agg(F.sum(F.col("r") * F.col("r") / F.col("d"))).first()[0] or 0.0
-            state = now.withColumn("p", F.col("r") / F.col("d") + (new / rz) * F.col("p"))
-            rz = new
-        return state.select("pid", F.col("x").alias("value"))
-    finally:
-        mass.unpersist()
+    rz0 = rz = state.agg(F.sum(F.col("r") * F.col("r") / F.col("d"))).first()[0] or 0.0
+    for _ in range(rounds):
+        if rz <= tolerance**2 * max(rz0, 1e-300):
+            return state.select("pid", F.col("x").alias("value"))
+        ap = mass.join(state.select(F.col("pid").alias("col"), "p"), "col").groupBy(F.col("row").alias("pid")).agg(F.sum(F.col("m") * F.col("p")).alias("ap"))
+        now = saved(state.join(ap, "pid"))
+        step = rz / (now.agg(F.sum(F.col("p") * F.col("ap"))).first()[0] or 1.0)
+        now = now.select("pid", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("ap")).alias("r"), "d", "p")
+        new = now.agg(F.sum(F.col("r") * F.col("r") / F.col("d"))).first()[0] or 0.0
+        state = now.withColumn("p", F.col("r") / F.col("d") + (new / rz) * F.col("p"))
+        rz = new
+    raise RuntimeError(f"no nodal field within {tolerance} after {rounds} rounds")
 
 
 # layered profiles: materials {label: {density, cp: number or table}}

@@ -18,7 +18,9 @@ FACES = {
     13: ((0, 1, 2), (3, 5, 4), (0, 3, 4, 1), (1, 4, 5, 2), (2, 5, 3, 0)),
     14: ((0, 3, 2, 1), (0, 1, 4), (1, 2, 4), (2, 3, 4), (3, 0, 4)),
 }
-DIMENSION = {3: 1, 5: 2, 7: 2, 9: 2, 10: 3, 12: 3, 13: 3, 14: 3}
+DIMENSION = {3: 1, 5: 2, 7: 2, 9: 2, 10: 3, 12: 3, 13: 3, 14: 3, 42: 3}
+#: A polyhedron's type. Its faces stand in the column stream, an array of node lists. A cell has fewer faces than FACES_MOST.
+POLYHEDRON, FACES_MOST = 42, 1024
 
 
 def box_mesh(spark: SparkSession, n: Sequence[int], size: Sequence[float] = (1.0, 1.0, 1.0)) -> tuple[DataFrame, DataFrame]:
@@ -48,11 +50,12 @@ def plane_mesh(spark: SparkSession, nx: int, ny: int, size: Sequence[float] = (1
 
 
 def faces(cells: DataFrame) -> DataFrame:
-    """(cid, face, nodes, key): faces of three-dimensional cells; key is the sorted nodes, equal for both sides."""
-    lists = F.lit(None).cast("array<array<long>>")
+    """(cid, face, nodes, key): faces of three-dimensional cells; key is the sorted nodes, equal for both sides. Polyhedra
+    have theirs in a column stream."""
+    lists = F.when(F.col("type") == POLYHEDRON, F.col("stream")) if "stream" in cells.columns else F.lit(None).cast("array<array<long>>")
     for kind, local in FACES.items():
         lists = F.when(F.col("type") == kind, F.array(*[F.array(*[F.get("nodes", F.lit(k)) for k in f]) for f in local])).otherwise(lists)
-    out = cells.select(*[c for c in cells.columns if c != "nodes"], F.posexplode(lists).alias("face", "nodes"))
+    out = cells.select(*[c for c in cells.columns if c not in ("nodes", "stream")], F.posexplode(lists).alias("face", "nodes"))
     return out.withColumn("key", F.array_sort("nodes"))
 
 
@@ -106,7 +109,7 @@ def areas(cells: DataFrame, points: DataFrame) -> DataFrame:
 
 def volumes(cells: DataFrame, points: DataFrame) -> DataFrame:
     """(cid, volume) by the divergence theorem: a third of each face's centre times its vector area."""
-    f = faces(cells).select((F.col("cid") * 8 + F.col("face")).alias("cid"), F.col("cid").alias("own"), "nodes")
+    f = faces(cells).select((F.col("cid") * FACES_MOST + F.col("face")).alias("cid"), F.col("cid").alias("own"), "nodes")
     f = with_corners(f, points)
     vec = polygon_vector(F.col("at"))
     n = F.size("at")
@@ -115,6 +118,48 @@ def volumes(cells: DataFrame, points: DataFrame) -> DataFrame:
     return f.groupBy(F.col("own").alias("cid")).agg(F.sum(part).alias("volume"))
 
 
+def as_polyhedra(cells: DataFrame) -> DataFrame:
+    """Three-dimensional cells of any type as polyhedra: (cid, type, nodes, stream, further columns)."""
+    kept = [c for c in cells.columns if c not in ("cid", "type", "nodes", "stream")]
+    stream = F.transform(F.array_sort(F.collect_list(F.struct("face", "nodes"))), lambda f: f["nodes"]).alias("stream")  # a cell's faces
+    out = faces(cells).groupBy("cid").agg(stream).withColumns({"type": F.lit(POLYHEDRON), "nodes": F.array_sort(F.array_distinct(F.flatten("stream")))})
+    return out.join(cells.select("cid", *kept), "cid").select("cid", "type", "nodes", "stream", *kept)
+
+
+def tetrahedra(cells: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(points, cells): each three-dimensional cell cut into tetrahedra between its centre and the triangles of its faces.
+
+    A centre is the mean of a cell's nodes and has the id -1 - cid (ids of cells and points are not negative). The new
+    cells (cid, type, nodes, parent) are turned to a positive volume. A face is a fan from its first node; cells must be
+    seen whole from their centre.
+    """
+    f = faces(cells).select("cid", "face", "nodes")
+    nodes = f.select("cid", F.explode("nodes").alias("pid")).distinct().join(points, "pid")
+    centre = nodes.groupBy((-1 - F.col("cid")).alias("pid")).agg(*[F.avg(a).alias(a) for a in ("x", "y", "z")])
+    every = points.select("pid", "x", "y", "z").unionByName(centre)
+    fan = F.transform(F.sequence(F.lit(1), F.size("nodes") - 2), lambda k: F.array(F.get("nodes", F.lit(0)), F.get("nodes", k), F.get("nodes", k + 1), -1 - F.col("cid")))
+    tets = f.where("size(nodes) > 2").select("cid", "face", F.posexplode(fan).alias("k", "nodes"))
+    tets = tets.select(((F.col("cid") * FACES_MOST + F.col("face")) * FACES_MOST + F.col("k")).alias("cid"), F.lit(10).alias("type"), "nodes", F.col("cid").alias("parent"))
+    at = with_corners(tets, every)
+    turned = F.when(_tet(F.col("at")) < 0, F.array(*[F.get("nodes", F.lit(k)) for k in (1, 0, 2, 3)])).otherwise(F.col("nodes"))
+    return every, at.select("cid", "type", turned.alias("nodes"), "parent")
+
+
+def _tet(at: Column) -> Column:
+    """The signed volume of four corners."""
+    a, b, c, d = (F.get(at, F.lit(k)) for k in range(4))
+    n = _cross(_sub(b, a), _sub(c, a))
+    return sum((u * v for u, v in zip(n, _sub(d, a), strict=True)), F.lit(0.0)) / 6
+
+
+def split_volumes(cells: DataFrame, points: DataFrame) -> DataFrame:
+    """(cid, volume, x, y, z) of cells of any type, whichever way their faces turn: from the tetrahedra about their centre, with the centre of mass."""
+    every, tets = tetrahedra(cells, points)
+    at = with_corners(tets, every).withColumn("v", F.abs(_tet(F.col("at"))))
+    mid = lambda a: F.aggregate(F.col("at")[a], F.lit(0.0), lambda s, v: s + v) / 4
+    return at.groupBy(F.col("parent").alias("cid")).agg(F.sum("v").alias("volume"), *[(F.sum(F.col("v") * mid(a)) / F.sum("v")).alias(a) for a in ("x", "y", "z")])
+
+
 def centroids(cells: DataFrame, points: DataFrame) -> DataFrame:
     """(cid, x, y, z): mean of the nodes."""
     return cells.select("cid", F.explode("nodes").alias("pid")).join(points, "pid").groupBy("cid").agg(*[F.avg(a).alias(a) for a in ("x", "y", "z")])
@@ -297,7 +342,31 @@ def _q_energy(s, d):
     return table(s, d, "part").select(F.col("p_partkey").alias("id"), F.round(heat_capacity(t, _CP), 6).alias("cp"), F.round(heat_energy(t, _CP), 6).alias("e"))
 
 
-QUERIES = {"boundary_faces": _q_boundary, "interface_faces": _q_interface, "mesh_volume": _q_volume, "mesh_centroids": _q_centroid, "mesh_area": _q_area, "mesh_load_vector": _q_load, "flux_conserve": _q_flux, "material_energy": _q_energy}
+def _houses(s, d):
+    """A house a part: a box with a roof, of which faces turn one way or the other by the part's key; neighbours share no nodes."""
+    part = table(s, d, "part").select(F.col("p_partkey").alias("cid"), (F.col("p_size") / 5 + 1).alias("w"), (F.col("p_retailprice") / 500).alias("l"), (F.col("p_partkey") % 7 + 1.0).alias("h"), (F.col("p_partkey") % 3 / 2 + 0.5).alias("r"))
+    corners = [(x, y, z) for y in (0, 1) for x, z in ((0, 0), (1, 0), (1, 1), (0.5, 2), (0, 1))]  # x and y in shares, z: floor, eaves, ridge
+    height = {0: F.lit(0.0), 1: F.col("h"), 2: F.col("h") + F.col("r")}
+    points = part.select(F.inline(F.array(*[F.struct((F.col("cid") * 10 + k).alias("pid"), (F.lit(float(x)) * F.col("w") + F.col("cid") % 50 * 20).alias("x"), (F.lit(float(y)) * F.col("l")).alias("y"), height[z].alias("z")) for k, (x, y, z) in enumerate(corners)])))
+    sides = [(0, 1, 2, 3, 4), (5, 6, 7, 8, 9), *[(k, (k + 1) % 5, (k + 1) % 5 + 5, k + 5) for k in range(5)]]
+    stream = F.array(*[F.array(*[(F.col("cid") * 10 + k).cast("long") for k in side]) for side in sides])
+    turned = F.transform(stream, lambda f, k: F.when((F.col("cid") + k) % 3 == 0, F.reverse(f)).otherwise(f))
+    return points, part.select("cid", F.lit(POLYHEDRON).alias("type"), F.flatten(stream).alias("nodes"), turned.alias("stream"))
+
+
+def _q_polyhedra(s, d):
+    p, c = _houses(s, d)
+    return split_volumes(c, p).select("cid", F.round("volume", 6).alias("volume"), *[F.round(a, 6).alias(a) for a in ("x", "y", "z")])
+
+
+def _q_as_polyhedra(s, d):
+    p, c = _part_boxes(s, d)
+    c = as_polyhedra(c)
+    inner = interface(c, "label").groupBy("cid").agg(F.count("*").alias("faces"))
+    return split_volumes(c, p).select("cid", F.round("volume", 8).alias("volume")).join(inner, "cid", "left").select("cid", "volume", F.coalesce("faces", F.lit(0).cast("long")).alias("faces"))
+
+
+QUERIES = {"polyhedra_volume": _q_polyhedra, "polyhedra_of_boxes": _q_as_polyhedra, "boundary_faces": _q_boundary, "interface_faces": _q_interface, "mesh_volume": _q_volume, "mesh_centroids": _q_centroid, "mesh_area": _q_area, "mesh_load_vector": _q_load, "flux_conserve": _q_flux, "material_energy": _q_energy}
 _X, _Y = "({0} * ({0} + 20) * 0.05::DOUBLE)", "({0} * ({0} + 10) * 0.1::DOUBLE)"
 _C = f"c AS (SELECT p_partkey AS cid, p_partkey % {COLUMNS} AS a, p_partkey // {COLUMNS} % {ROWS} AS b, p_partkey // {COLUMNS * ROWS} AS h, p_size % 3 AS label FROM part WHERE p_size > 8)"
 _N = f"{_C}, f AS (SELECT * FROM (VALUES (0, -1, 0, 0), (1, 1, 0, 0), (2, 0, -1, 0), (3, 0, 1, 0), (4, 0, 0, -1), (5, 0, 0, 1)) v(face, u, v, w))"
@@ -306,6 +375,8 @@ _KEY = "CASE " + " ".join(f"WHEN face = {k} THEN list_sort([{', '.join(_G.format
 _W = f"w AS (SELECT p_partkey AS cid, p_partkey % {COLUMNS} AS a, p_partkey // {COLUMNS} AS b, p_retailprice AS q FROM part WHERE p_size > 8)"
 _AREA = f"({_X.format('(a + 1)')} - {_X.format('a')}) * 0.5"
 SQL = {
+    "polyhedra_volume": "WITH p AS (SELECT p_partkey AS cid, p_size / 5 + 1 AS w, p_retailprice / 500 AS l, p_partkey % 7 + 1.0::DOUBLE AS h, p_partkey % 3 / 2 + 0.5::DOUBLE AS r FROM part) SELECT cid, round((w * h + w * r / 2) * l, 6) AS volume, round(w / 2 + cid % 50 * 20, 6) AS x, round(l / 2, 6) AS y, round((w * h * h / 2 + w * r / 2 * (h + r / 3)) / (w * h + w * r / 2), 6) AS z FROM p",
+    "polyhedra_of_boxes": f"WITH {_N}, i AS (SELECT c.cid, count(*) AS faces FROM c CROSS JOIN f JOIN c o ON o.a = c.a + u AND o.b = c.b + v AND o.h = c.h + w WHERE c.label < o.label GROUP BY 1) SELECT c.cid, round(({_X.format('(a + 1)')} - {_X.format('a')}) * ({_Y.format('(b + 1)')} - {_Y.format('b')}) * 0.25, 8) AS volume, coalesce(faces, 0) AS faces FROM c LEFT JOIN i ON c.cid = i.cid",
     "boundary_faces": f"WITH {_N} SELECT c.cid, face::INTEGER AS face, array_to_string({_KEY.replace('(a +', '(c.a +').replace('((b +', '((c.b +').replace('(h +', '(c.h +')}, ',') AS key FROM c CROSS JOIN f LEFT JOIN c o ON o.a = c.a + u AND o.b = c.b + v AND o.h = c.h + w WHERE o.cid IS NULL",
     "interface_faces": f"WITH {_N} SELECT c.cid, face::INTEGER AS face, o.cid AS other FROM c CROSS JOIN f JOIN c o ON o.a = c.a + u AND o.b = c.b + v AND o.h = c.h + w WHERE c.label < o.label",
     "mesh_volume": f"WITH {_C} SELECT cid, round(({_X.format('(a + 1)')} - {_X.format('a')}) * ({_Y.format('(b + 1)')} - {_Y.format('b')}) * 0.25, 8) AS volume FROM c",
