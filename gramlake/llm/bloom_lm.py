@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramlake.llm.runtime import Scope, lean, map_groups, stage
+from gramlake.llm.runtime import Scope, lean, map_groups, spread_join, stage
 from gramlake.llm.text import hashed, mix, text_pieces
 
 #: Bits of the filter for each hash, and hashes of a probe of a level: an absent one is found at 1 to 2 %.
@@ -22,11 +22,7 @@ BITS, PROBES = 1.45, 6
 #: that what is found falsely after a history adds under 2^-SPARE words' mass, whatever the size of the corpus.
 PRESENCE, SPARE = 24, 5
 #: Filters up to this size are broadcast, larger ones are probed where their shards lie. Words whose exact counts are broadcast.
-MAX_BYTES, HEAD = 96 << 20, 1_000_000
-#: Bigrams need so many occurrences (a parameter of the model: the rest of a history's mass goes to the words' base).
-LEAST = 2
-#: A history needs so many for its bigrams to count (another parameter, the same at every size).
-FEW = 4
+MAX_BYTES, HEAD = 256 << 20, 1_000_000
 #: Counts up to 4 have a level each; above, each level is wider than the last by this ratio.
 RATIO, LEVELS = 1.4, 120
 #: Bigram tokens of one reducer; words of one part of the vocabulary. Distinct bigrams that a mapper holds.
@@ -60,10 +56,10 @@ class Shards:
     presence: int
 
     def levels(self, shard: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """The level of each key, by probes of its shard: 0, or LEAST and upwards while the next level is there too."""
+        """The level of each key, by probes of its shard: 0, or 1 and upwards while the next level is there too."""
         out = np.zeros(len(keys), np.int64)
-        alive = self._there(np.arange(len(keys)), shard, keys, LEAST, self.presence)
-        j = LEAST
+        alive = self._there(np.arange(len(keys)), shard, keys, 1, self.presence)
+        j = 1
         while len(alive):
             out[alive] = j
             j += 1
@@ -97,13 +93,13 @@ def positions(keys: np.ndarray, lvl: int, bits: np.ndarray | int, probes: range)
 
 
 def build(keys: np.ndarray, lvls: np.ndarray, presence: int) -> tuple[bytes, int]:
-    """One shard: the presence of every key, and each of its levels above LEAST."""
-    bits = max(64, int(BITS * (len(keys) * presence + int((lvls - LEAST).sum()) * PROBES)) + 7 & ~7)
+    """One shard: the presence of every key, and each of its levels above 1."""
+    bits = max(64, int(BITS * (len(keys) * presence + int((lvls - 1).sum()) * PROBES)) + 7 & ~7)
     if bits >= 1 << 32:
         raise ValueError("a shard has under 2^32 bits: lower PART")
     data = np.zeros(bits, np.uint8)
-    for j in range(LEAST, int(lvls.max(initial=0)) + 1):
-        for place in positions(keys[lvls >= j], j, bits, range(presence if j == LEAST else PROBES)):
+    for j in range(1, int(lvls.max(initial=0)) + 1):
+        for place in positions(keys[lvls >= j], j, bits, range(presence if j == 1 else PROBES)):
             data[place] = 1
     return np.packbits(data, bitorder="little").tobytes(), bits
 
@@ -207,9 +203,9 @@ def _summed(before: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> tuple[
 def _bigram_sums(docs: DataFrame, hot, parts: int, presence: int) -> DataFrame:
     """(part, singles, twos, before, mass, types, data, bits) of each range of places.
 
-    singles, twos: bigrams seen once and twice. data, bits: the filter's shard of those seen LEAST times. Of each history
-    that has any: their number (types), and the sum of their counts as the filter answers them (mass), false upper levels
-    included. Arrays are packed as bytes.
+    singles, twos: bigrams seen once and twice. data, bits: the filter's shard of all. Of each history: the number of its
+    bigrams (types), and the sum of their counts as the filter answers them (mass), false upper levels included. Arrays are
+    packed as bytes.
     """
 
     def packed(before: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -246,14 +242,13 @@ def _bigram_sums(docs: DataFrame, hot, parts: int, presence: int) -> DataFrame:
         before = np.repeat(join("before", np.uint64), join("run", np.uint32))
         grams = join("high", np.uint8).astype(np.uint64) << np.uint64(32) | join("low", np.uint32)
         before, grams, counts = _summed(before, grams, join("counts", np.uint32).astype(np.int64))
-        some = counts >= LEAST
-        kept, keys = before[some], mix(mix(before[some]) + grams[some])
-        data, bits = build(keys, level(counts[some]), presence)
+        keys = mix(mix(before) + grams)
+        data, bits = build(keys, level(counts), presence)
         own = Shards(np.frombuffer(data, np.uint8), np.zeros(1, np.int64), np.array([bits]), presence)
-        head = np.flatnonzero(np.concatenate([[True], kept[1:] != kept[:-1]])) if len(kept) else np.empty(0, np.int64)
+        head = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]])) if len(before) else np.empty(0, np.int64)
         mass = np.add.reduceat(value(own.levels(np.zeros(len(keys), np.int64), keys)), head) if len(head) else np.empty(0)
         sums = {"singles": (counts == 1).sum(), "twos": (counts == 2).sum(), "bits": bits}
-        arrays = {"before": kept[head].tobytes(), "mass": mass.tobytes(), "types": np.diff(np.append(head, len(kept))).tobytes(), "data": data}
+        arrays = {"before": before[head].tobytes(), "mass": mass.tobytes(), "types": np.diff(np.append(head, len(before))).tobytes(), "data": data}
         row = {"part": pa.array([t["part"][0].as_py()], pa.int32())} | {k: pa.array([int(x)], pa.int64()) for k, x in sums.items()} | {k: pa.array([x], pa.binary()) for k, x in arrays.items()}
         return pa.table({k: row[k] for k in ("part", "singles", "twos", "before", "mass", "types", "data", "bits")})
 
@@ -262,7 +257,7 @@ def _bigram_sums(docs: DataFrame, hot, parts: int, presence: int) -> DataFrame:
 
 
 def _histories(sums: DataFrame, discount: float) -> DataFrame:
-    """(h, s): of each history with kept bigrams the mass that they hold, less discounts. Hot ones come from several parts."""
+    """(h, s): of each history the mass that its bigrams hold, less discounts. Hot ones come from several parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,14 +269,14 @@ def _histories(sums: DataFrame, discount: float) -> DataFrame:
 
 
 def _collected(rows: DataFrame, parts: int, presence: int) -> Shards:
-    """rows (part, data, bits): the shards of a filter whose size was checked."""
-    t = rows.toArrow()
-    at, bits = t["part"].to_numpy(), np.full(parts, 64, np.int64)
-    bits[at] = t["bits"].to_numpy()
+    """rows (part, data, bits): the shards of a filter whose size was checked, a partition of rows at a time."""
+    t = rows.select("part", "bits").toArrow()
+    bits = np.full(parts, 64, np.int64)
+    bits[t["part"].to_numpy()] = t["bits"].to_numpy()
     start = np.concatenate([[0], np.cumsum(bits // 8)])
     data = np.zeros(start[-1], np.uint8)
-    for p, blob in zip(at.tolist(), t["data"], strict=True):
-        data[start[p] : start[p + 1]] = np.frombuffer(blob.as_buffer(), np.uint8)
+    for r in rows.select("part", "data").toLocalIterator():
+        data[start[r["part"]] : start[r["part"] + 1]] = np.frombuffer(r["data"], np.uint8)
     return Shards(data, start[:-1], bits, presence)
 
 
@@ -320,8 +315,8 @@ def scored(docs: DataFrame) -> DataFrame:
 
     Learns from the rows that are not held out. Every word count is exact (by a 64-bit hash of the word): counts of up to
     HEAD frequent words are broadcast, what they do not cover is joined. score is the model's log10 probability of the text:
-    bigrams seen LEAST times or more, at quantised counts in a log-frequency Bloom filter, absolutely discounted to the
-    words' base estimate, after histories seen FEW times or more; what a history's kept bigrams leave is known exactly, so that its probabilities sum to one (but for
+    every bigram of the training rows, at quantised counts in a log-frequency Bloom filter, absolutely discounted to the
+    words' base estimate; what a history's bigrams leave is known exactly, so that its probabilities sum to one (but for
     false probes, whose mass is under 2^-SPARE words). The filter grows with the corpus. Up to MAX_BYTES it is broadcast;
     beyond, its shards stay a written table, to which the texts' distinct bigrams go. The model, and so the scores, are the
     same either way.
@@ -357,10 +352,10 @@ def _scores(docs: DataFrame, own: Scope) -> DataFrame:
     size = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("singles", "twos", "bits")]).first()
     discount = size["singles"] / (size["singles"] + 2 * size["twos"]) if size["singles"] else 0.75
     histories = stage(_histories(sums, discount), "histories")
-    vocabulary = stage(counts.join(histories, "h", "left").select("h", "c", F.when(F.col("c") >= FEW, F.coalesce("s", F.lit(0.0))).otherwise(0.0).alias("s")), "vocabulary")
+    vocabulary = stage(counts.join(histories, "h", "left").select("h", "c", F.coalesce("s", F.lit(0.0)).alias("s")), "vocabulary")
     top = vocabulary.where(in_head).toArrow()
     begin = histories.where(F.col("h") == int(BEGIN.view(np.int64))).first()
-    s_begin = begin["s"] if begin and n_texts >= FEW else 0.0
+    s_begin = begin["s"] if begin else 0.0
     keys = np.append(top["h"].to_numpy().view(np.uint64), BEGIN)
     order = np.argsort(keys)
     head = spark.sparkContext.broadcast((keys[order], np.append(top["c"].to_numpy(), n_texts)[order], np.append(top["s"].to_numpy(), s_begin)[order]))
@@ -368,10 +363,10 @@ def _scores(docs: DataFrame, own: Scope) -> DataFrame:
     model = Model(n_tokens, n_words, discount, hot, parts)
     shards = sums.select("part", "data", "bits")
     if size["bits"] / 8 > MAX_BYTES:
-        return _scored_apart(docs, model, vocabulary, head, n_texts, s_begin, shards, presence, own)
+        return _scored_apart(docs, model, vocabulary.where(~in_head), head, shards, presence, own)
     model.filter = _collected(shards, parts, presence)
     shared = spark.sparkContext.broadcast(model)
-    whole, bare = cut <= 1, cut <= FEW  # no word is outside the head; no history outside it has bigrams that count
+    whole = cut <= 1  # no word is outside the head
     below = float(n_tokens + n_words + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,7 +387,7 @@ def _scores(docs: DataFrame, own: Scope) -> DataFrame:
                 lp = shared.value.smoothed(q, c, s, exact[after])
                 # a word outside the head without a bigram here: its base estimate comes by the join, the history's rest now
                 lp -= np.where(known[after], 0, np.log10(shared.value.base(exact[after])))
-                apart = ~known[after] & (q > 0) | ~known[before] & (not bare)
+                apart = ~known[after] & (q > 0) | ~known[before]
                 lp[apart] = 0
                 seen = exact[a] > 0
                 size = np.bincount(owner, minlength=n)
@@ -448,10 +443,7 @@ def _scores(docs: DataFrame, own: Scope) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(lp * batch.column("m").to_numpy())], names=["row", "score"])
 
     pairs = rows.where("m IS NOT NULL").select("row", "x", "y", "hx", "hy", "m").join(rest.select(F.col("h").alias("hy"), "c"), "hy", "left")
-    if not bare:
-        pairs = pairs.join(rest.select(F.col("h").alias("hx"), F.col("c").alias("c_before"), F.col("s").alias("s_before")), "hx", "left")
-    else:
-        pairs = pairs.withColumns({"c_before": F.lit(0), "s_before": F.lit(0.0)})
+    pairs = pairs.join(rest.select(F.col("h").alias("hx"), F.col("c").alias("c_before"), F.col("s").alias("s_before")), "hx", "left")
     pairs = pairs.select("row", "x", "y", "m", *[F.coalesce(k, F.lit(0)).cast("long").alias(k) for k in ("c", "c_before")], F.coalesce("s_before", F.lit(0.0)).alias("s_before"))
     pairs = pairs.mapInArrow(lean(rare), "row long, score double").select("row", *[F.lit(0).alias(k) for k in sums_of[:3]], "score")
     out = rows.where("n_tokens IS NOT NULL").select("row", "doc_id", *sums_of).unionByName(ones, allowMissingColumns=True).unionByName(pairs, allowMissingColumns=True)
@@ -462,24 +454,37 @@ def _named(out: DataFrame, n_tokens: int) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _scored_apart(docs: DataFrame, model: Model, vocabulary: DataFrame, head, n_texts: int, s_begin: float, shards: DataFrame, presence: int, own: Scope) -> DataFrame:
+def _scored_apart(docs: DataFrame, model: Model, rest: DataFrame, head, shards: DataFrame, presence: int, own: Scope) -> DataFrame:
     """The scores by joins: nothing that grows with the corpus is gathered. Each distinct bigram is probed once, where its
-    shard lies; histories without kept bigrams are not probed."""
+    shard lies. Words of the head bring their counts by broadcast; those outside it (rest) are too rare to make a join
+    hot, and a pair without such a word has a key of its own. Frequent bigrams meet their documents by broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    begin = int(BEGIN.view(np.int64))
 
     def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p, texts in text_pieces(batch.column(0)):
-                words, b, a, _ = bigrams(texts)
-                pair = np.unique(b * np.int64(len(words)) + a)
-                yield pa.RecordBatch.from_arrays([pa.array(words[pair // len(words)].view(np.int64)), pa.array(words[pair % len(words)].view(np.int64))], names=["before", "h"])
+                words, b, a, owner = bigrams(texts)
+                pair = _runs(owner, b * np.int64(len(words)) + a)[0][1]  # once a document
+                pair, n = np.unique(pair, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(words[x].view(np.int64)) for x in (pair // len(words), pair % len(words))] + [pa.array(n)], names=["before", "h", "docs"])
 
-    pairs = docs.select("text").mapInArrow(lean(pairs_of), "before long, h long").distinct()
-    history = vocabulary.select(F.col("h").alias("before"), F.col("c").alias("c_before"), F.col("s").alias("s_before"))
-    history = history.unionByName(docs.sparkSession.createDataFrame([(begin, int(n_texts), float(s_begin))], "before long, c_before long, s_before double"))
-    both = pairs.join(history, "before", "left").join(vocabulary.select("h", "c"), "h", "left")
-    both = both.select("before", "h", *[F.coalesce(k, F.lit(0)).alias(k) for k in ("c_before", "c")], F.coalesce("s_before", F.lit(0.0)).alias("s_before"))
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """With what the head knows; hx and hy are the words to be joined, or a key of the pair's own."""
+        for batch in batches:
+            before, after = (batch.column(k).to_numpy().view(np.uint64) for k in ("before", "h"))
+            c, s = find(head.value, before)
+            c_after = find(head.value, after)[0]
+            alone = mix(mix(before) + after)
+            hx, hy = np.where((c > 0) | (before == BEGIN), alone, before), np.where(c_after > 0, alone, after)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x.view(np.int64)) for x in (hx, hy)), pa.array(c), pa.array(s), pa.array(c_after)], names=[*batch.schema.names, "hx", "hy", "cx", "sx", "cy"])
+
+    pairs = docs.select("text").mapInArrow(lean(pairs_of), "before long, h long, docs long").groupBy("before", "h").agg(F.sum("docs").alias("docs"))
+    pairs = pairs.mapInArrow(lean(counted), "before long, h long, docs long, hx long, hy long, cx long, sx double, cy long")
+    both = pairs.join(rest.select(F.col("h").alias("hx"), F.col("c").alias("rx"), F.col("s").alias("rs")), "hx", "left")
+    both = both.join(rest.select(F.col("h").alias("hy"), F.col("c").alias("ry")), "hy", "left")
+    # a word is in the head or in the join, never in both; a pair's own key is no word but by a clash of 64 bits
+    one = lambda known, joined, zero: F.when(known != 0, known).otherwise(F.coalesce(joined, F.lit(zero)))
+    both = both.select("before", "h", "docs", one(F.col("cx"), "rx", 0).alias("c_before"), one(F.col("cy"), "ry", 0).alias("c"), one(F.col("sx"), "rs", 0.0).alias("s_before"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -491,7 +496,7 @@ def _scored_apart(docs: DataFrame, model: Model, vocabulary: DataFrame, head, n_
             part[idle] = (g[idle] % np.uint64(shared.value.parts)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32)), pa.array(mix(mix(before) + g).view(np.int64))], names=[*batch.schema.names, "part", "key"])
 
-    kinds = "before long, h long, c_before long, c long, s_before double"
+    kinds = "before long, h long, docs long, c_before long, c long, s_before double"
     probes = both.mapInArrow(lean(keyed), f"{kinds}, part int, key long").unionByName(shards, allowMissingColumns=True)
 
     def probe(t: pa.Table) -> pa.Table | None:
@@ -503,9 +508,10 @@ def _scored_apart(docs: DataFrame, model: Model, vocabulary: DataFrame, head, n_
             at = np.flatnonzero(s > 0)
             q[at] = value(one.levels(np.zeros(len(at), np.int64), t["key"].to_numpy().view(np.uint64)[at]))
         lp = shared.value.smoothed(q, t["c_before"].to_numpy(), s, t["c"].to_numpy())
-        return t.select(["before", "h", "c"]).append_column("lp", pa.array(lp))
+        return t.select(["before", "h", "docs", "c"]).append_column("lp", pa.array(lp))
 
-    grams = stage(map_groups(probes, ["part"], probe, "before long, h long, c long, lp double", model.parts), "scores")
+    grams = stage(map_groups(probes, ["part"], probe, "before long, h long, docs long, c long, lp double", model.parts), "scores")
+    total = grams.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
@@ -520,7 +526,7 @@ def _scored_apart(docs: DataFrame, model: Model, vocabulary: DataFrame, head, n_
                 )
                 row += p.stop - p.start
 
-    rows = docs.mapInArrow(lean(occurrences), "row long, doc_id long, before long, h long, n long").join(grams, ["before", "h"])
+    rows = spread_join(docs.mapInArrow(lean(occurrences), "row long, doc_id long, before long, h long, n long"), grams, ["before", "h"], "docs", total)
     below = F.lit(float(model.tokens + model.vocabulary + 1))
     out = rows.groupBy("row", "doc_id").agg(
         F.sum("n").alias("n_tokens"),

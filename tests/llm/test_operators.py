@@ -140,6 +140,21 @@ def test_lm_scores_do_not_depend_on_what_fits(spark, docs, monkeypatch):
     assert all(abs(a[-1] - b[-1]) < 0.01 * abs(a[-1]) for a, b in zip(whole, shards, strict=True))
 
 
+def test_lm_scores_of_texts_that_start_alike_are_the_same_in_both_forms(spark, monkeypatch):
+    # a third of the texts start with the same words, and a word that only held-out rows have precedes many others
+    data = [(k, ("once upon a time " if k % 3 == 0 else "") + ("zzz " if crc(k) % 7 == 2 else "") + prose(k % 40, 30), "en", "s", 1) for k in range(240)]
+    docs = spark.createDataFrame(data, DOCS)
+    score = lambda: {r.doc_id: round(r.score, 6) for r in bloom_lm.scored(docs).collect()}
+    want = score()
+    monkeypatch.setattr(runtime, "HOT", 8)
+    for bounds in ({}, {"HEAD": 20}):
+        with monkeypatch.context() as m:
+            m.setattr(bloom_lm, "MAX_BYTES", 1000)
+            for name, bound in bounds.items():
+                m.setattr(bloom_lm, name, bound)
+            assert score() == want
+
+
 def plain_bigrams(data):
     """Counts of words and bigrams (None begins and 0 ends a text) of the training rows."""
     one, two = collections.Counter(), collections.Counter()
@@ -156,12 +171,11 @@ def test_lm_score_is_the_formula(spark):
     n, v = sum(c for w, c in one.items() if w is not None), len(one) - 1
     singles, twos = (sum(c == k for c in two.values()) for k in (1, 2))
     d = singles / (singles + 2 * twos)
-    q = lambda c: 0 if c < 2 else c if c <= 4 else 4 * 1.4 ** math.floor(math.log(c / 4, 1.4) + 1e-9)
+    q = lambda c: c if c <= 4 else 4 * 1.4 ** math.floor(math.log(c / 4, 1.4) + 1e-9)
     mass = collections.Counter()
     for (b, _), c in two.items():
-        if c >= 2 and one[b] >= 4:
-            mass[b] += q(c) - d
-    p = lambda b, a: ((max(q(two[b, a]) - d, 0) if one[b] >= 4 else 0) + (one[b] - mass[b]) * (one[a] + 1) / (n + v + 1)) / one[b] if one[b] else (one[a] + 1) / (n + v + 1)
+        mass[b] += q(c) - d
+    p = lambda b, a: (max(q(two[b, a]) - d, 0) + (one[b] - mass[b]) * (one[a] + 1) / (n + v + 1)) / one[b] if one[b] else (one[a] + 1) / (n + v + 1)
     want = collections.defaultdict(list)
     for i, t, *_ in rows():
         stream = [None, *words(t), 0]
