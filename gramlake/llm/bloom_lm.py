@@ -29,6 +29,8 @@ RATIO, LEVELS = 1.4, 120
 PART, HELD = 1_500_000, 700_000
 #: A history with over a quarter of a reducer's tokens is dealt by its bigrams; there are at most so many such.
 HOT = 65_536
+#: Bytes of text that a task scores at once: some 25 arrays of a number a token lie beside the filter.
+SCORED = 512 << 10
 END, BEGIN = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -376,7 +378,7 @@ def _scores(docs: DataFrame, own: Scope) -> DataFrame:
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for batch in batches:
             ids = batch.column(1)
-            for p, texts in text_pieces(batch.column(0)):
+            for p, texts in text_pieces(batch.column(0), SCORED):
                 words, b, a, owner = bigrams(texts)
                 exact, mass = find(head.value, words)
                 n = p.stop - p.start

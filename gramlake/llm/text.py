@@ -28,10 +28,11 @@ def pieces(texts: list[bytes | None]) -> list[slice]:
     return _cuts([len(t or b"") for t in texts])
 
 
-def _cuts(sizes: list[int]) -> list[slice]:
+def _cuts(sizes: list[int], most: int | None = None) -> list[slice]:
     out, start, held = [], 0, 0
+    most = most or PIECE_BYTES
     for i, n in enumerate(sizes):
-        if held and held + n > PIECE_BYTES:
+        if held and held + n > most:
             out.append(slice(start, i))
             start, held = i, 0
         held += n
@@ -40,9 +41,10 @@ def _cuts(sizes: list[int]) -> list[slice]:
     return out
 
 
-def text_pieces(column: pa.Array) -> Iterator[tuple[slice, list[bytes | None]]]:
-    """The pieces of a column of texts, one after the other as bytes: no more than one is held beside the column."""
-    for p in _cuts(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+def text_pieces(column: pa.Array, most: int | None = None) -> Iterator[tuple[slice, list[bytes | None]]]:
+    """The pieces of a column of texts, one after the other as bytes: no more than one is held beside the column. most: about
+    so many bytes each, PIECE_BYTES where it is not given."""
+    for p in _cuts(pc.fill_null(pc.binary_length(column), 0).to_pylist(), most):
         yield p, as_bytes(column.slice(p.start, p.stop - p.start))
 
 
