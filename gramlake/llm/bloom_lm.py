@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramlake.llm.runtime import Scope, lean, map_groups, spread_join, stage
+from gramlake.llm.runtime import Scope, give_back, lean, map_groups, spread_join, stage
 from gramlake.llm.text import hashed, mix, text_pieces
 
 #: Bits of the filter for each hash, and hashes of a probe of a level: an absent one is found at 1 to 2 %.
@@ -361,13 +361,17 @@ def _scores(docs: DataFrame, own: Scope) -> DataFrame:
     keys = np.append(top["h"].to_numpy().view(np.uint64), BEGIN)
     order = np.argsort(keys)
     head = spark.sparkContext.broadcast((keys[order], np.append(top["c"].to_numpy(), n_texts)[order], np.append(top["s"].to_numpy(), s_begin)[order]))
-    del top, keys
+    del top, keys, order
+    give_back()
     model = Model(n_tokens, n_words, discount, hot, parts)
     shards = sums.select("part", "data", "bits")
     if size["bits"] / 8 > MAX_BYTES:
         return _scored_apart(docs, model, vocabulary.where(~in_head), head, shards, presence, own)
     model.filter = _collected(shards, parts, presence)
+    give_back()
     shared = spark.sparkContext.broadcast(model)
+    del model  # the broadcast has its own copy
+    give_back()
     whole = cut <= 1  # no word is outside the head
     below = float(n_tokens + n_words + 1)
 

@@ -25,7 +25,7 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH))
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return freed memory to the system, where the C library can: a worker's next task may be another operator's."""
     pa.default_memory_pool().release_unused()
     try:
@@ -42,10 +42,10 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
             for b in batches:
                 yield b
                 del b
-                _give_back()
+                give_back()
 
         yield from run(each())
-        _give_back()
+        give_back()
 
     return wrapped
 
