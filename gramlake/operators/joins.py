@@ -15,6 +15,8 @@ from gramlake.session import table
 
 #: Reference points, and bytes of them, up to which a neighbour search broadcasts them as one matrix; beyond, the grid join is used.
 BROADCAST_POINTS, BROADCAST_BYTES = 50_000, 32 << 20
+#: Boxes of one side that a task pairs with as many of the other in a cell of a box join.
+BLOCK_ROWS = 4_096
 #: Values of an axis of a rectilinear grid, which come to the driver.
 MAX_AXIS = 10_000
 
@@ -114,6 +116,7 @@ def box_pairs(a: DataFrame, b: DataFrame, axes: Sequence[str], sizes: Sequence[f
     """(ida, idb) of all overlapping closed boxes (id, <axis>_lo, <axis>_hi): an equi-join on grid cells of the given sizes.
 
     A pair is kept in the one cell that holds the lower corner of its overlap, so nothing is deduplicated after the join.
+    A cell with many boxes is cut into blocks of BLOCK_ROWS of either side, each pair of blocks a key of its own.
     """
     cell = lambda c, h: F.floor(F.col(c) / F.lit(float(h))).cast("long")
 
@@ -123,7 +126,14 @@ def box_pairs(a: DataFrame, b: DataFrame, axes: Sequence[str], sizes: Sequence[f
             out = out.select("*", F.explode(F.sequence(cell(f"{mark}_{x}_lo", h), cell(f"{mark}_{x}_hi", h))).alias(f"g{j}"))
         return out
 
-    pairs = dealt(a, "a").join(dealt(b, "b"), [f"g{j}" for j in range(len(axes))])
+    grid = [f"g{j}" for j in range(len(axes))]
+    counts = [dealt(df, m).groupBy(*grid).agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias(f"n{m}")) for df, m in ((a, "a"), (b, "b"))]
+    hot = F.broadcast(counts[0].join(counts[1].hint("merge"), grid).where("na > 1 OR nb > 1"))  # one row in BLOCK_ROWS at most
+    block = lambda m: F.pmod(F.xxhash64(f"{m}_id"), F.coalesce(f"n{m}", F.lit(1))).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.coalesce(f"n{m}", F.lit(1)) - 1))
+    left = dealt(a, "a").join(hot, grid, "left").select("*", block("a").alias("ka"), every("b").alias("kb")).drop("na", "nb")
+    right = dealt(b, "b").join(hot, grid, "left").select("*", block("b").alias("kb"), every("a").alias("ka")).drop("na", "nb")
+    pairs = left.join(right.hint("merge"), [*grid, "ka", "kb"])
     for j, (x, h) in enumerate(zip(axes, sizes, strict=True)):
         low = F.greatest(f"a_{x}_lo", f"b_{x}_lo")
         pairs = pairs.where((low <= F.least(f"a_{x}_hi", f"b_{x}_hi")) & (F.floor(low / F.lit(float(h))).cast("long") == F.col(f"g{j}")))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,8 +61,9 @@ def faces(cells: DataFrame) -> DataFrame:
 
 
 def boundary(cells: DataFrame) -> DataFrame:
-    """Faces that one cell has: the count rides on the aggregate that finds them, and nothing joins back."""
-    f = faces(cells)
+    """Faces that one cell has: the count rides on the aggregate that finds them, and nothing joins back. Faces are dealt by
+    their key first: an aggregate of what a task reads would sort all of its faces and save at most half of them."""
+    f = faces(cells).repartition("key")
     return f.groupBy("key").agg(F.count("*").alias("n"), F.first(F.struct("cid", "face", "nodes")).alias("f")).where("n = 1").select("f.cid", "f.face", "f.nodes")
 
 
@@ -73,12 +75,18 @@ def interface(cells: DataFrame, label: str) -> DataFrame:
     return g.select(F.col("s")[0]["cid"].alias("cid"), F.col("s")[0]["face"].alias("face"), F.col("s")[0]["nodes"].alias("nodes"), F.col("s")[1]["cid"].alias("other"))
 
 
+def joined(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """A join by shuffle and merge. Spark plans the size of exploded rows from that of the compressed file they come from and
+    would broadcast meshes of any size, through the driver."""
+    return left.join(right.hint("merge"), key, how)
+
+
 def with_corners(cells: DataFrame, points: DataFrame) -> DataFrame:
     """cells with `at`, the array of the nodes' coordinates in node order; one join on node ids."""
     keep = cells.columns
-    each = cells.select("cid", F.posexplode("nodes").alias("k", "pid")).join(points, "pid")
+    each = joined(cells.select("cid", F.posexplode("nodes").alias("k", "pid")), points, "pid")
     at = each.groupBy("cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x", "y", "z"))), lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"), v["z"].alias("z"))).alias("at"))
-    return cells.join(at, "cid").select(*keep, "at")
+    return joined(cells, at, "cid").select(*keep, "at")
 
 
 def _sub(a: Column, b: Column) -> tuple[Column, Column, Column]:
@@ -123,7 +131,7 @@ def as_polyhedra(cells: DataFrame) -> DataFrame:
     kept = [c for c in cells.columns if c not in ("cid", "type", "nodes", "stream")]
     stream = F.transform(F.array_sort(F.collect_list(F.struct("face", "nodes"))), lambda f: f["nodes"]).alias("stream")  # a cell's faces
     out = faces(cells).groupBy("cid").agg(stream).withColumns({"type": F.lit(POLYHEDRON), "nodes": F.array_sort(F.array_distinct(F.flatten("stream")))})
-    return out.join(cells.select("cid", *kept), "cid").select("cid", "type", "nodes", "stream", *kept)
+    return joined(out, cells.select("cid", *kept), "cid").select("cid", "type", "nodes", "stream", *kept)
 
 
 def tetrahedra(cells: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -134,7 +142,7 @@ def tetrahedra(cells: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFram
     seen whole from their centre.
     """
     f = faces(cells).select("cid", "face", "nodes")
-    nodes = f.select("cid", F.explode("nodes").alias("pid")).distinct().join(points, "pid")
+    nodes = joined(f.select("cid", F.explode("nodes").alias("pid")).distinct(), points, "pid")
     centre = nodes.groupBy((-1 - F.col("cid")).alias("pid")).agg(*[F.avg(a).alias(a) for a in ("x", "y", "z")])
     every = points.select("pid", "x", "y", "z").unionByName(centre)
     fan = F.transform(F.sequence(F.lit(1), F.size("nodes") - 2), lambda k: F.array(F.get("nodes", F.lit(0)), F.get("nodes", k), F.get("nodes", k + 1), -1 - F.col("cid")))
@@ -162,13 +170,13 @@ def split_volumes(cells: DataFrame, points: DataFrame) -> DataFrame:
 
 def centroids(cells: DataFrame, points: DataFrame) -> DataFrame:
     """(cid, x, y, z): mean of the nodes."""
-    return cells.select("cid", F.explode("nodes").alias("pid")).join(points, "pid").groupBy("cid").agg(*[F.avg(a).alias(a) for a in ("x", "y", "z")])
+    return joined(cells.select("cid", F.explode("nodes").alias("pid")), points, "pid").groupBy("cid").agg(*[F.avg(a).alias(a) for a in ("x", "y", "z")])
 
 
 def load_vector(cells: DataFrame, points: DataFrame, density: str) -> DataFrame:
     """(pid, load): a cell density integrated to the nodes, each corner of a simplex taking its share."""
     a = areas(cells, points)
-    share = cells.join(a, "cid").select(F.explode("nodes").alias("pid"), (F.col(density) * F.col("area") / F.size("nodes")).alias("v"))
+    share = joined(cells, a, "cid").select(F.explode("nodes").alias("pid"), (F.col(density) * F.col("area") / F.size("nodes")).alias("v"))
     return share.groupBy("pid").agg(F.sum("v").alias("load"))
 
 
@@ -202,6 +210,33 @@ def moments(poly: np.ndarray) -> tuple[float, np.ndarray]:
     return area, centre
 
 
+def padded(polygons: pd.Series) -> np.ndarray:
+    """Flat corner lists as one array (polygons, corners, 2); shorter ones repeat their first corner, which changes no area."""
+    size = max(map(len, polygons))
+    return np.array([[*p, *list(p[:2]) * ((size - len(p)) // 2)] for p in polygons], float).reshape(len(polygons), -1, 2)
+
+
+def overlap_areas(subject: np.ndarray, convex: np.ndarray) -> np.ndarray:
+    """Areas of the parts of polygons inside convex ones, pair by pair: `clip` and `moments` of a whole batch at once."""
+    rows = np.arange(len(subject))[:, None]
+    out, count = subject, np.full(len(subject), subject.shape[1])
+    for j in range(convex.shape[1]):
+        a, b = convex[:, j, None], convex[:, (j + 1) % convex.shape[1], None]
+        at = np.arange(out.shape[1])
+        after = np.where(at + 1 < count[:, None], at + 1, 0)
+        side = (b[..., 0] - a[..., 0]) * (out[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (out[..., 0] - a[..., 0])
+        held = at < count[:, None]
+        cross = held & (side * side[rows, after] < 0)
+        share = side / np.where(cross, side - side[rows, after], 1.0)
+        points = np.stack([out, out + share[..., None] * (out[rows, after] - out)], 2).reshape(len(out), -1, 2)
+        kept = np.stack([held & (side >= 0), cross], 2).reshape(len(out), -1)
+        count = kept.sum(1)
+        order = np.argsort(~kept, 1, kind="stable")[:, : max(int(count.max(initial=0)), 1)]
+        out = points[rows, order]
+    d = np.where((np.arange(out.shape[1]) < count[:, None])[..., None], out - out[:, :1], 0.0)
+    return np.abs((d[:, 1:-1, 0] * d[:, 2:, 1] - d[:, 1:-1, 1] * d[:, 2:, 0]).sum(1) / 2)
+
+
 def transfer(sources: DataFrame, targets: DataFrame, cell: float) -> DataFrame:
     """(target, plus, minus, area, missed): heat of planar source cells (cid, at, q) on target cells (cid, at), conserved.
 
@@ -214,18 +249,20 @@ def transfer(sources: DataFrame, targets: DataFrame, cell: float) -> DataFrame:
 
     pairs = box_pairs(box(sources), box(targets), ["x", "y"], [cell, cell])
     flat = lambda c: F.flatten(F.transform(c, lambda v: F.array(v["x"], v["y"])))
-    rows = pairs.join(sources.select(F.col("cid").alias("ida"), flat(F.col("at")).alias("a")), "ida").join(targets.select(F.col("cid").alias("idb"), flat(F.col("at")).alias("b")), "idb")
+    rows = joined(joined(pairs, sources.select(F.col("cid").alias("ida"), flat(F.col("at")).alias("a")), "ida"), targets.select(F.col("cid").alias("idb"), flat(F.col("at")).alias("b")), "idb")
 
     def overlap(batches):
         for p in batches:
-            p["overlap"] = [abs(moments(clip(np.reshape(a, (-1, 2)), np.reshape(b, (-1, 2))))[0]) for a, b in zip(p["a"], p["b"], strict=True)]
+            if not len(p):
+                continue
+            p["overlap"] = overlap_areas(padded(p["a"]), padded(p["b"]))
             yield p.loc[p["overlap"] > 0, ["ida", "idb", "overlap"]]
 
     pieces = rows.select("ida", "idb", "a", "b").mapInPandas(overlap, "ida long, idb long, overlap double")
     total = pieces.groupBy("ida").agg(F.sum("overlap").alias("total"))
     vec = polygon_vector(F.col("at"))[2]
     heat = sources.select(F.col("cid").alias("ida"), F.abs(vec).alias("size"), "q")
-    share = heat.join(total, "ida", "left").join(pieces, "ida", "left")
+    share = joined(joined(heat, total, "ida", "left"), pieces, "ida", "left")
     part = F.coalesce(F.col("overlap") / F.col("total"), F.lit(1.0)) * F.col("size")
     return share.groupBy(F.col("idb").alias("target")).agg(F.sum(part * F.greatest("q", F.lit(0.0))).alias("plus"), F.sum(part * F.least("q", F.lit(0.0))).alias("minus"), F.sum("overlap").alias("area"), F.count_if(F.col("overlap").isNull()).alias("missed"))
 
@@ -267,9 +304,14 @@ def _graded(k: Column) -> tuple[Column, Column, Column]:
     return (i * (i + 20) * 0.05).alias("x"), (j * (j + 10) * 0.1).alias("y"), (h * 0.25).alias("z")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows (cid, ..) dealt to all tasks before they become many: a small file is read by a few."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cid")
+
+
 def _part_boxes(s, d):
     """Hexahedra where parts of some size lie on a lattice, so that the mesh has holes as the table has them."""
-    part = table(s, d, "part").where("p_size > 8").select(F.col("p_partkey").alias("cid"), (F.col("p_size") % 3).alias("label"))
+    part = _dealt(table(s, d, "part").where("p_size > 8").select(F.col("p_partkey").alias("cid"), (F.col("p_size") % 3).alias("label")))
     nx, ny = COLUMNS + 1, ROWS + 1
     i, j, h = F.col("cid") % COLUMNS, F.floor(F.col("cid") / COLUMNS) % ROWS, F.floor(F.col("cid") / (COLUMNS * ROWS))
     at = lambda a, b, c: ((i + a) + nx * ((j + b) + ny * (h + c))).cast("long")
@@ -281,7 +323,7 @@ def _part_boxes(s, d):
 
 def _part_plates(s, d):
     """Quadrilaterals of a plane on the same lattice, without holes' parts, and the price as their density."""
-    part = table(s, d, "part").where("p_size > 8").select(F.col("p_partkey").alias("cid"), F.col("p_retailprice").alias("q"))
+    part = _dealt(table(s, d, "part").where("p_size > 8").select(F.col("p_partkey").alias("cid"), F.col("p_retailprice").alias("q")))
     nx = COLUMNS + 1
     a = (F.col("cid") % COLUMNS + nx * F.floor(F.col("cid") / COLUMNS)).cast("long")
     cells = part.select("cid", F.lit(9).alias("type"), F.array(a, a + 1, a + nx + 1, a + nx).alias("nodes"), "q")
@@ -344,7 +386,7 @@ def _q_energy(s, d):
 
 def _houses(s, d):
     """A house a part: a box with a roof, of which faces turn one way or the other by the part's key; neighbours share no nodes."""
-    part = table(s, d, "part").select(F.col("p_partkey").alias("cid"), (F.col("p_size") / 5 + 1).alias("w"), (F.col("p_retailprice") / 500).alias("l"), (F.col("p_partkey") % 7 + 1.0).alias("h"), (F.col("p_partkey") % 3 / 2 + 0.5).alias("r"))
+    part = _dealt(table(s, d, "part").select(F.col("p_partkey").alias("cid"), (F.col("p_size") / 5 + 1).alias("w"), (F.col("p_retailprice") / 500).alias("l"), (F.col("p_partkey") % 7 + 1.0).alias("h"), (F.col("p_partkey") % 3 / 2 + 0.5).alias("r")))
     corners = [(x, y, z) for y in (0, 1) for x, z in ((0, 0), (1, 0), (1, 1), (0.5, 2), (0, 1))]  # x and y in shares, z: floor, eaves, ridge
     height = {0: F.lit(0.0), 1: F.col("h"), 2: F.col("h") + F.col("r")}
     points = part.select(F.inline(F.array(*[F.struct((F.col("cid") * 10 + k).alias("pid"), (F.lit(float(x)) * F.col("w") + F.col("cid") % 50 * 20).alias("x"), (F.lit(float(y)) * F.col("l")).alias("y"), height[z].alias("z")) for k, (x, y, z) in enumerate(corners)])))
@@ -363,7 +405,7 @@ def _q_as_polyhedra(s, d):
     p, c = _part_boxes(s, d)
     c = as_polyhedra(c)
     inner = interface(c, "label").groupBy("cid").agg(F.count("*").alias("faces"))
-    return split_volumes(c, p).select("cid", F.round("volume", 8).alias("volume")).join(inner, "cid", "left").select("cid", "volume", F.coalesce("faces", F.lit(0).cast("long")).alias("faces"))
+    return split_volumes(c, p).select("cid", F.round("volume", 8).alias("volume")).join(inner.hint("merge"), "cid", "left").select("cid", "volume", F.coalesce("faces", F.lit(0).cast("long")).alias("faces"))
 
 
 QUERIES = {"polyhedra_volume": _q_polyhedra, "polyhedra_of_boxes": _q_as_polyhedra, "boundary_faces": _q_boundary, "interface_faces": _q_interface, "mesh_volume": _q_volume, "mesh_centroids": _q_centroid, "mesh_area": _q_area, "mesh_load_vector": _q_load, "flux_conserve": _q_flux, "material_energy": _q_energy}
