@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -110,7 +111,8 @@ def check_loss(r: Column, tau: float | Column) -> Column:
 
 def quantile_exact(x: np.ndarray, y: np.ndarray, tau: float, w: np.ndarray | None = None) -> np.ndarray:
     """Coefficients (the constant first) that minimise the weighted check loss, by interior points of the dual on up to
-    DENSE_ROWS rows, then brought to a vertex: as many points as coefficients are met exactly."""
+    DENSE_ROWS rows, then brought to a vertex: as many points as coefficients are met exactly. Of vertices with the same
+    loss it is one of lower fitted values, as the smallest value whose share reaches tau is a column's quantile."""
     a = np.hstack([np.ones((len(y), 1)), np.asarray(x, float).reshape(len(y), -1)])
     w = np.ones(len(y)) if w is None else np.asarray(w, float)
     n, p = a.shape
@@ -146,24 +148,36 @@ def quantile_exact(x: np.ndarray, y: np.ndarray, tau: float, w: np.ndarray | Non
             break
     if len(basis) < p:
         return beta
-    # from vertex to vertex along edges, each to the least of its piecewise-linear loss, until none is lower
-    vertex, value = np.linalg.solve(a[basis], y[basis]), math.inf
-    better = True
-    while better:
-        better = False
+    # from vertex to vertex along edges, each to the least of its piecewise-linear loss, until none is lower; where the loss
+    # is level between two vertices, to that of the lower fitted values
+    vertex, least = np.linalg.solve(a[basis], y[basis]), 1e-12 * np.abs(y).max()
+    value, fitted = loss(vertex), w @ a @ vertex
+    for _ in range(1_000):
+        moved = False
         for k in range(p):
             d = np.linalg.solve(a[basis], np.eye(p)[k])
             c, r = a @ d, y - a @ vertex
-            at = np.flatnonzero(np.abs(c) > 1e-12)
+            r[basis] = 0.0
+            size = np.abs(c).max()
+            at = np.flatnonzero(np.abs(c) > 1e-9 * size)
             t = r[at] / c[at]
             pull = w[at] * np.abs(c[at])
             order = np.argsort(t, kind="stable")
             want = (pull * np.where(c[at] > 0, tau, 1 - tau)).sum()
-            i = at[order[min(int(np.searchsorted(np.cumsum(pull[order]), want * (1 - 1e-12))), len(order) - 1)]]
-            new = vertex + r[i] / c[i] * d
-            now = loss(new)
-            if now < min(value, loss(vertex)) - 1e-12 * max(1.0, abs(now)):
-                basis[k], vertex, value, better = int(i), new, now, True
+            total = np.cumsum(pull[order])
+            i = min(int(np.searchsorted(total, want * (1 - 1e-10))), len(order) - 1)
+            level = i + 1 < len(order) and abs(total[i] - want) <= 1e-10 * want
+            to = order[i + 1 if level and w @ c < 0 else i]
+            if abs(t[to]) * size <= least:
+                continue
+            after = [*basis[:k], int(at[to]), *basis[k + 1 :]]
+            new = np.linalg.solve(a[after], y[after])
+            now, sums = loss(new), w @ a @ new
+            same = 1e-13 * max(1.0, abs(value))
+            if now < value - same or now <= value + same and sums < fitted - 1e-13 * abs(fitted):
+                basis, vertex, value, fitted, moved = after, new, now, sums, True
+        if not moved:
+            break
     return vertex
 
 
@@ -194,13 +208,31 @@ def quantile_fit(df: DataFrame, xs: Sequence[str], y: str, tau: float, rounds: i
 
 
 def quantile_process(df: DataFrame, by: str, xs: Sequence[str], y: str, taus: Sequence[float]) -> DataFrame:
-    """(by, tau, coef array): exact coefficients of several levels in each group of up to DENSE_ROWS rows."""
+    """(by, tau, coef array): exact coefficients of several levels in each group. Groups of up to DENSE_ROWS rows are fitted in
+    a task each, a larger one by `quantile_large`, whose sums the partitions share."""
+    from gramlake.operators.scalable import quantile_large
 
     def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        p = p.dropna().sort_values([*xs, y])
+        p = p.sort_values([*xs, y])
         return pd.DataFrame([(key[0], t, quantile_exact(p[list(xs)].to_numpy(float), p[y].to_numpy(float), t).tolist()) for t in taus], columns=[by, "tau", "coef"])
 
-    return df.select(by, *xs, y).groupBy(by).applyInPandas(run, f"`{by}` {df.schema[by].dataType.simpleString()}, tau double, coef array<double>")
+    kind = df.schema[by].dataType.simpleString()
+    numbers = list(dict.fromkeys([*xs, y]))
+    rows = df.select(by, *[F.col(c).cast("double").alias(c) for c in numbers]).dropna(subset=numbers)
+    large = [r[0] for r in rows.groupBy(by).count().where(F.col("count") > DENSE_ROWS).select(by).collect()]
+    own = lambda v: F.col(by).eqNullSafe(F.lit(v).cast(kind))
+    small = rows.where(~reduce(lambda a, b: a | b, map(own, large))) if large else rows
+    out = small.groupBy(by).applyInPandas(run, f"`{by}` {kind}, tau double, coef array<double>")
+    if not large:
+        return out
+    fits = []
+    for v in large:
+        for t in taus:
+            m = quantile_large(rows.where(own(v)), xs, y, t)
+            if not m["exact"]:
+                raise ValueError(f"group {v}: over {DENSE_ROWS} distinct rows lie on the plane of level {t}")
+            fits.append((v, float(t), [float(c) for c in m["coef"]]))
+    return out.unionByName(df.sparkSession.createDataFrame(fits, out.schema))
 
 
 # penalised additive models

@@ -56,27 +56,33 @@ def quantile_large(df: DataFrame, xs: Sequence[str], y: str, tau: float, rounds:
     n, spread = size.n, size.s or 1.0
     beta = np.array(fit_one(data, list(xs), y)["coef"], float)
     h, least = spread / 2, spread * max(n, 10) ** -0.7
+    narrow = 0  # rounds at the least width; among rows wider apart than it, steps go to and fro, and the exact fit goes on
     for _ in range(rounds):
         r = (F.col(y) - _plane(beta, xs)) / h
         up = 1 / (1 + F.exp(F.least(F.lit(700.0), F.greatest(F.lit(-700.0), r))))  # the smoothed share of rows below
         g, hess = _sums(data, xs, F.lit(tau) - up, up * (1 - up) / h)
         step = np.linalg.lstsq(hess + 1e-10 * np.trace(hess) * np.eye(len(beta)), g, rcond=None)[0]
-        beta = beta + step * min(1.0, 2 * spread / max(np.abs(step).max(), 1e-300))
-        if h <= least and np.abs(step).max() < h:
+        beta = beta + step * min(1.0, 4 * h / max(np.abs(step).max(), 1e-300))
+        narrow += h <= least
+        if narrow and np.abs(step).max() < h or narrow > 4:
             break
         h = max(h / 2, least)
     exact = False
     for _ in range(12):
         r = F.col(y) - _plane(beta, xs)
         wide = float(data.select(F.abs(r).alias("r")).agg(F.percentile_approx("r", min(1.0, NEAR_ROWS / n), 100_000)).first()[0])
-        near = data.where(F.abs(r) <= wide).groupBy(*xs, y).agg(F.count("*").cast("double").alias("_w"))
-        rows = near.limit(NEAR_ROWS + 300).toPandas()
+        for _ in range(100):  # a sketch of many rows misses the rank by more than 300: closer, until the rows are few
+            near = data.where(F.abs(r) <= wide).groupBy(*xs, y).agg(F.count("*").cast("double").alias("_w"))
+            rows = near.limit(NEAR_ROWS + 300).toPandas()
+            if len(rows) < NEAR_ROWS + 300 or wide <= 1e-9 * spread:
+                break
+            wide *= 0.7
         if len(rows) >= NEAR_ROWS + 300:
             break
         far = data.select(*xs, r.alias("_r")).where(F.abs(F.col("_r")) > wide).groupBy((F.col("_r") > 0).alias("up")).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in xs]).toPandas()
         x = np.vstack([rows[list(xs)].to_numpy(float), far[list(xs)].to_numpy(float)])
         w = np.append(rows["_w"], far["n"])
-        away = np.where(far["up"], 1, -1) * 1e3 * (spread + wide)
+        away = np.where(far["up"], 1, -1) * 10.0 * (spread + wide)
         values = np.append(rows[y], np.hstack([np.ones((len(far), 1)), far[list(xs)].to_numpy(float)]) @ beta + away)
         new = quantile_exact(x, values, tau, w / w.max())
         moved = data.select(r.alias("a"), (F.col(y) - _plane(new, xs)).alias("b")).where((F.abs("a") > wide) & (F.signum("a") * F.col("b") < 0)).limit(1).count()

@@ -72,3 +72,34 @@ def test_centres_cover_and_fit(spark):
     assert np.sqrt(np.mean((got - np.sin(5 * x[:, 0]) - x[:, 1] ** 2) ** 2)) < 0.04
     same = spark.createDataFrame([(1.0, 2.0)] * 50, "u double, w double")
     assert len(scalable.greedy_centres(same, ["u", "w"], 5, "squared_exponential", [1.0, 1.0])) == 1
+
+
+def test_level_losses_take_the_lower_vertex(spark):
+    """Where a share falls between two rows, the quantile is the lower one, as for a column; also beside far rows."""
+    from gramlake.operators.scalable import quantile_large
+
+    for n in (8, 4000):
+        x = np.repeat([0.0, 1.0], n)
+        y = np.concatenate([np.arange(n), 100 + 2.0 * np.arange(n)])
+        low, high = n // 4 - 1, 100 + 2.0 * (n // 4 - 1)
+        if n == 8:
+            assert np.allclose(quantile_exact(x, y, 0.25), [low, high - low])
+        m = quantile_large(spark.createDataFrame(pd.DataFrame({"x": x, "y": y})), ["x"], "y", 0.25)
+        assert m["exact"] and np.allclose(m["coef"], [low, high - low])
+
+
+def test_quantile_process_takes_groups_of_any_size(spark):
+    from gramlake.operators.additive import quantile_process
+
+    r = np.random.default_rng(2)
+    p = pd.DataFrame({"g": [0] * 5001 + [1] * 301 + [None] * 51, "x": r.integers(0, 3, 5353), "y": r.normal(size=5353)})
+    rows = [(None if g != g else int(g), int(x), float(y)) for g, x, y in p.itertuples(index=False)]
+    got = {(k.g, k.tau): k.coef for k in quantile_process(spark.createDataFrame(rows, "g long, x long, y double"), "g", ["x"], "y", [0.3, 0.5]).collect()}
+    assert set(got) == {(g, t) for g in (0, 1, None) for t in (0.3, 0.5)}
+    for (g, t), coef in got.items():
+        own = p[p.g.isna()] if g is None else p[p.g == g]
+        e = own.y - coef[0] - coef[1] * own.x
+        # subgradient conditions: the rows below and on the line hold the share, in all and along x
+        for z in (np.ones(len(e)), own.x.to_numpy(float)):
+            slope = (z * (t - (e < -1e-9)))[np.abs(e) > 1e-9].sum()
+            assert abs(slope) <= np.abs(z[np.abs(e) <= 1e-9]).sum() + 1e-9
