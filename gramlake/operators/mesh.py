@@ -306,7 +306,7 @@ def _graded(k: Column) -> tuple[Column, Column, Column]:
 
 def _dealt(rows: DataFrame) -> DataFrame:
     """Rows (cid, ..) dealt to all tasks before they become many: a small file is read by a few."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cid")
+    return rows.repartition("cid")
 
 
 def _part_boxes(s, d):
