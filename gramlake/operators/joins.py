@@ -15,6 +15,8 @@ from gramlake.session import table
 
 #: Reference points, and bytes of them, up to which a neighbour search broadcasts them as one matrix; beyond, the grid join is used.
 BROADCAST_POINTS, BROADCAST_BYTES = 50_000, 32 << 20
+#: Distances that a task of that search holds at once.
+MATRIX = 1 << 20
 #: Boxes of one side that a task pairs with as many of the other in a cell of a box join.
 BLOCK_ROWS = 4_096
 #: Values of an axis of a rectilinear grid, which come to the driver.
@@ -39,17 +41,22 @@ def nearest(queries: DataFrame, points: DataFrame, axes: Sequence[str], k: int,
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, at = held.value
             for b in batches:
-                for lo in range(0, len(b), 256):
-                    part = b.iloc[lo : lo + 256]
+                step = max(1, min(256, MATRIX // max(len(at), 1)))
+                for lo in range(0, len(b), step):
+                    part = b.iloc[lo : lo + step]
                     q = part[list(axes)].to_numpy(float)
                     d2 = np.zeros((len(q), len(at)))
                     for j in range(q.shape[1]):
                         d2 += (q[:, j, None] - at[None, :, j]) ** 2
-                    top = np.argsort(d2, axis=1, kind="stable")[:, :k]
-                    yield pd.DataFrame({
-                        query_id: np.repeat(part[query_id].to_numpy(), top.shape[1]), point_id: ids[top].ravel(),
-                        "distance": np.sqrt(np.take_along_axis(d2, top, 1)).ravel(), "rank": np.tile(np.arange(1, top.shape[1] + 1, dtype=np.int32), len(part)),
-                    })
+                    d2[np.isnan(d2)] = np.inf
+                    far = np.partition(d2, k - 1, axis=1)[:, k - 1, None] if len(at) > k else np.inf
+                    r, c = np.nonzero(d2 <= far)
+                    order = np.lexsort((c, d2[r, c], r))
+                    r, c = r[order], c[order]
+                    rank = np.arange(len(r)) - np.searchsorted(r, r)
+                    r, c, rank = (x[rank < k] for x in (r, c, rank))
+                    distance = np.sqrt(d2[r, c])
+                    yield pd.DataFrame({query_id: part[query_id].to_numpy()[r], point_id: ids[c], "distance": np.where(np.isinf(distance), np.nan, distance), "rank": (rank + 1).astype(np.int32)})
 
         return queries.select(query_id, *axes).mapInPandas(run, f"{query_id} long, {point_id} long, distance double, rank int")
     return kd_nearest(queries, points, axes, k, query_id, point_id)
