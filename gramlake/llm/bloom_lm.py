@@ -1,7 +1,8 @@
-"""LM scoring: a log-frequency Bloom filter of quantised bigram counts, broadcast, and probed for smoothed probabilities."""
+"""LM scoring: a log-frequency Bloom filter of quantised bigram counts, in shards, probed for smoothed probabilities."""
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -10,23 +11,26 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from gramlake.llm.runtime import Scope, give_back, lean, map_groups, spread_join, stage
+from gramlake.llm.runtime import Scope, give_back, lean, map_groups, small_batches, stage
 from gramlake.llm.text import hashed, mix, text_pieces
 
-#: Bits of the filter for each hash, and hashes of a probe of a level: an absent one is found at 1 to 2 %.
-BITS, PROBES = 1.45, 6
+#: Bits of the filter for each hash, and hashes of a probe of a level: an absent one is found at 0.4 %.
+BITS, PROBES = 1.45, 8
 #: Probes that say whether a bigram is there at all: so many, and SPARE more than the binary digits of the vocabulary, so
 #: that what is found falsely after a history adds under 2^-SPARE words' mass, whatever the size of the corpus.
 PRESENCE, SPARE = 24, 5
-#: Filters up to this size are broadcast, larger ones are probed where their shards lie. Words whose exact counts are broadcast.
-MAX_BYTES, HEAD = 256 << 20, 1_000_000
+#: Filters that cannot exceed this size are broadcast, others are probed where their shards are made. Words whose exact counts
+#: are broadcast.
+MAX_BYTES, HEAD = 32 << 20, 2_000_000
 #: Counts up to 4 have a level each; above, each level is wider than the last by this ratio.
 RATIO, LEVELS = 1.4, 120
 #: Bigram tokens of one reducer; words of one part of the vocabulary. Distinct bigrams that a mapper holds.
 PART, HELD = 1_500_000, 700_000
+#: Reducers, at least, where there are so many parts, and bigram tokens of each beyond: each sums up a text's tokens over its parts.
+REDUCERS, GROUP = 24, 32_000_000
 #: A history with over a quarter of a reducer's tokens is dealt by its bigrams; there are at most so many such.
 HOT = 65_536
 #: Bytes of text that a task scores at once: some 25 arrays of a number a token lie beside the filter.
@@ -144,9 +148,9 @@ def find(table: tuple[np.ndarray, ...], h: np.ndarray) -> tuple[np.ndarray, ...]
     return tuple(np.where(there, c[at], 0) for c in columns)
 
 
-def gram(before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """40 bits that tell a history's successors apart."""
-    return mix(mix(before) + after) & np.uint64((1 << 40) - 1)
+def gram(after: np.ndarray) -> np.ndarray:
+    """40 bits of a word's hash that tell a history's successors apart."""
+    return after >> np.uint64(24)
 
 
 def place_of(before: np.ndarray, grams: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -159,25 +163,31 @@ def place_of(before: np.ndarray, grams: np.ndarray, hot: np.ndarray) -> np.ndarr
 
 
 def _unigrams(docs: DataFrame) -> DataFrame:
+    """(h, c, m): the words of docs (text, train) and END, how often training rows hold each, and all rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> pa.RecordBatch:
-            keys, code = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            counts = np.bincount(code, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
+            keys, code = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+            counts = [np.bincount(code, np.concatenate([x[k] for x in held]), len(keys)).astype(np.int64) for k in (1, 2)]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["h", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, counts)], names=["h", "c", "m"])
 
         for batch in batches:
+            train = batch.column(1).to_numpy(zero_copy_only=False)
             for p, texts in text_pieces(batch.column(0)):
-                keys, n = np.unique(hashed(texts)[0], return_counts=True)
-                held.append((np.append(keys, END), np.append(n, p.stop - p.start)))
-                if sum(len(k) for k, _ in held) > HELD:
+                h, at = hashed(texts)
+                own = train[p]
+                keys, code = np.unique(h, return_inverse=True)
+                c, m = np.bincount(code, np.repeat(own, np.diff(at)), len(keys)), np.bincount(code, minlength=len(keys))
+                held.append((np.append(keys, END), np.append(c, own.sum()), np.append(m, len(own))))
+                if sum(len(x[0]) for x in held) > HELD:
                     yield flush()
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(lean(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return docs.select("text", "train").mapInArrow(lean(run), "h long, c long, m long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("m").alias("m"))
 
 
 def _runs(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -232,7 +242,7 @@ def _bigram_sums(docs: DataFrame, hot, parts: int, presence: int) -> DataFrame:
                 words, b, a, _ = bigrams(texts)
                 pair, n = np.unique(b * np.int64(len(words)) + a, return_counts=True)
                 before = words[pair // len(words)]
-                held.append((before, gram(before, words[pair % len(words)]), n))
+                held.append((before, gram(words[pair % len(words)]), n))
                 if sum(len(x[0]) for x in held) > HELD:
                     yield packed(*_summed(*map(np.concatenate, zip(*held, strict=True))))
                     held = []
@@ -300,7 +310,7 @@ class Model:
         at = np.flatnonzero(s_before > 0)  # other histories have no bigram: what were found would be false
         if len(at):
             b = before[at]
-            g = gram(b, after[at])
+            g = gram(after[at])
             q[at] = value(self.filter.levels(shard_of(place_of(b, g, self.hot), self.parts), mix(mix(b) + g)))
         return q
 
@@ -308,8 +318,13 @@ class Model:
         """Over all words and the unknown one the probabilities after a history sum to one: the kept bigrams have
         s_before / c, and the base estimate, which sums to one, the rest. c is the history's count, or a little over s_before
         where false levels bring that above the count."""
+        a, b = self.mixture(q, c_before, s_before)
+        return np.log10(a + b * self.base(c_after))
+
+    def mixture(self, q: np.ndarray, c_before: np.ndarray, s_before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the bigram itself gives, and the part of the base estimate."""
         c = np.maximum(np.maximum(c_before, 1), s_before + self.discount)
-        return np.log10(np.maximum(q - self.discount, 0) / c + (1 - s_before / c) * self.base(c_after))
+        return np.maximum(q - self.discount, 0) / c, 1 - s_before / c
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -319,8 +334,8 @@ def scored(docs: DataFrame) -> DataFrame:
     HEAD frequent words are broadcast, what they do not cover is joined. score is the model's log10 probability of the text:
     every bigram of the training rows, at quantised counts in a log-frequency Bloom filter, absolutely discounted to the
     words' base estimate; what a history's bigrams leave is known exactly, so that its probabilities sum to one (but for
-    false probes, whose mass is under 2^-SPARE words). The filter grows with the corpus. Up to MAX_BYTES it is broadcast;
-    beyond, its shards stay a written table, to which the texts' distinct bigrams go. The model, and so the scores, are the
+    false probes, whose mass is under 2^-SPARE words). The filter grows with the corpus. Where it is sure to be under
+    MAX_BYTES it is broadcast; else the texts' bigrams go to where its shards are made. The model, and so the scores, are the
     same either way.
 
     Null and empty texts are the end token alone. A null doc_id counts as the text ''. Repeated rows count each, in
@@ -333,8 +348,10 @@ def scored(docs: DataFrame) -> DataFrame:
 def _scores(docs: DataFrame, own: Scope) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"))
-    train = docs.where(~held_out(F.col("doc_id")))
-    counts = stage(_unigrams(train), "words")
+    docs = docs.withColumn("train", ~held_out(F.col("doc_id")))
+    train = docs.where("train")
+    every = stage(_unigrams(docs), "words")
+    counts = every.where("c > 0").select("h", "c")
     by_level = {r["lvl"]: r for r in counts.groupBy(level_of(F.col("c")).alias("lvl")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()}
     n_tokens, n_words = sum(r["c"] for r in by_level.values()), sum(r["n"] for r in by_level.values())
     end = counts.where(F.col("h") == int(END.view(np.int64))).first()
@@ -346,12 +363,15 @@ def _scores(docs: DataFrame, own: Scope) -> DataFrame:
         held += by_level[cut]["n"] if cut in by_level else 0
     in_head = level_of(F.col("c")) >= cut
     many = max(PART // 4, n_tokens // HOT)
-    often = [r["h"] for r in counts.where(F.col("c") > many).select("h").collect()] + [int(BEGIN.view(np.int64))] * (n_texts > many)
-    hot = np.sort(np.array(often, np.int64).view(np.uint64))
+    often = [(r["h"], r["c"]) for r in every.where(F.col("m") > many).select("h", "c").collect()] + [(int(BEGIN.view(np.int64)), n_texts)] * (n_texts > many)
+    often = sorted((h & (1 << 64) - 1, c) for h, c in often)
+    hot = np.array([h for h, _ in often], np.uint64)
     parts = max(1, -(-n_tokens // PART))
     presence = max(PRESENCE, math.ceil(math.log2(max(n_words, 1))) + SPARE)
+    if BITS * presence * n_tokens / 8 > MAX_BYTES:  # no filter of so many tokens is larger
+        return _scored_apart(docs, Model(n_tokens, n_words, 0.75, hot, parts), np.array([c for _, c in often], np.int64), n_texts, every, in_head, presence, own)
     sums = stage(_bigram_sums(train, spark.sparkContext.broadcast(hot), parts, presence), "bigrams")
-    size = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("singles", "twos", "bits")]).first()
+    size = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("singles", "twos")]).first()
     discount = size["singles"] / (size["singles"] + 2 * size["twos"]) if size["singles"] else 0.75
     histories = stage(_histories(sums, discount), "histories")
     vocabulary = stage(counts.join(histories, "h", "left").select("h", "c", F.coalesce("s", F.lit(0.0)).alias("s")), "vocabulary")
@@ -365,8 +385,6 @@ def _scores(docs: DataFrame, own: Scope) -> DataFrame:
     give_back()
     model = Model(n_tokens, n_words, discount, hot, parts)
     shards = sums.select("part", "data", "bits")
-    if size["bits"] / 8 > MAX_BYTES:
-        return _scored_apart(docs, model, vocabulary.where(~in_head), head, shards, presence, own)
     model.filter = _collected(shards, parts, presence)
     give_back()
     shared = spark.sparkContext.broadcast(model)
@@ -460,84 +478,224 @@ def _named(out: DataFrame, n_tokens: int) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _scored_apart(docs: DataFrame, model: Model, rest: DataFrame, head, shards: DataFrame, presence: int, own: Scope) -> DataFrame:
-    """The scores by joins: nothing that grows with the corpus is gathered. Each distinct bigram is probed once, where its
-    shard lies. Words of the head bring their counts by broadcast; those outside it (rest) are too rare to make a join
-    hot, and a pair without such a word has a key of its own. Frequent bigrams meet their documents by broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _dealt(docs: DataFrame, hot, parts: int, reducers: int) -> DataFrame:
+    """The bigrams of docs (text, doc_id, train), by part and in one shuffle: what the filter learns and what it is asked.
 
-    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p, texts in text_pieces(batch.column(0)):
-                words, b, a, owner = bigrams(texts)
-                pair = _runs(owner, b * np.int64(len(words)) + a)[0][1]  # once a document
-                pair, n = np.unique(pair, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(words[x].view(np.int64)) for x in (pair // len(words), pair % len(words))] + [pa.array(n)], names=["before", "h", "docs"])
+    A row has the bigrams of some texts in one part: their histories (before), how many successors each has here (run), the
+    successors (high, low), in how many texts each bigram is (times), in which and how often (owner: twice the text's number
+    and train; n). The texts' rows are numbered from row on, docs of them. Their ids come with one of their parts, and void
+    where an id is null. Arrays are packed as bytes.
+    """
+    kinds = {"reducer": "int", "part": "int", "row": "long", "docs": "int"} | dict.fromkeys(("ids", "void", "before", "run", "high", "low", "times", "owner", "n"), "binary")
+    schema = pa.schema([(k, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[v]) for k, v in kinds.items()])
+
+    def packed(row: int, held: list[tuple[np.ndarray, ...]], ids: list[pa.Array]) -> pa.RecordBatch:
+        b, g, o, n = map(np.concatenate, zip(*held, strict=True))
+        part = shard_of(place_of(b, g, hot.value), parts)
+        order = np.lexsort((g, b))
+        order = order[np.argsort(part[order], kind="stable")]
+        part, b, g, o, n = part[order], b[order], g[order], o[order], n[order]
+        new = np.concatenate([[True], (b[1:] != b[:-1]) | (part[1:] != part[:-1])])
+        head = np.flatnonzero(new)
+        first = np.flatnonzero(new | np.concatenate([[True], g[1:] != g[:-1]]))
+        ends = np.append(first, len(b))
+        run, times = np.diff(np.append(np.searchsorted(first, head), len(first))).astype(np.uint32), np.diff(ends).astype(np.uint32)
+        b, high, low = b[head], (g[first] >> np.uint64(32)).astype(np.uint8), g[first].astype(np.uint32)
+        o, n = o.astype(np.uint32), n.astype(np.uint32)
+        some = np.flatnonzero(np.bincount(part, minlength=parts))
+        at = np.append(np.searchsorted(part, some), len(part))
+        at_head, at_first = np.searchsorted(head, at), np.searchsorted(first, at)
+        cut = lambda x, where: [x[lo:hi].tobytes() for lo, hi in itertools.pairwise(where)]
+        column = pa.concat_arrays(ids)
+        blank = [None] * (len(some) - 1)
+        names = [pc.fill_null(column, 0).to_numpy().tobytes(), *blank], [column.is_null().to_numpy(zero_copy_only=False).tobytes(), *blank]
+        of = np.full(len(some), row), np.full(len(some), len(column))
+        columns = [some * reducers // parts, some, *of, *names, cut(b, at_head), cut(run, at_head), cut(high, at_first), cut(low, at_first), cut(times, at_first), cut(o, at), cut(n, at)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """With what the head knows; hx and hy are the words to be joined, or a key of the pair's own."""
-        for batch in batches:
-            before, after = (batch.column(k).to_numpy().view(np.uint64) for k in ("before", "h"))
-            c, s = find(head.value, before)
-            c_after = find(head.value, after)[0]
-            alone = mix(mix(before) + after)
-            hx, hy = np.where((c > 0) | (before == BEGIN), alone, before), np.where(c_after > 0, alone, after)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x.view(np.int64)) for x in (hx, hy)), pa.array(c), pa.array(s), pa.array(c_after)], names=[*batch.schema.names, "hx", "hy", "cx", "sx", "cy"])
-
-    pairs = docs.select("text").mapInArrow(lean(pairs_of), "before long, h long, docs long").groupBy("before", "h").agg(F.sum("docs").alias("docs"))
-    pairs = pairs.mapInArrow(lean(counted), "before long, h long, docs long, hx long, hy long, cx long, sx double, cy long")
-    both = pairs.join(rest.select(F.col("h").alias("hx"), F.col("c").alias("rx"), F.col("s").alias("rs")), "hx", "left")
-    both = both.join(rest.select(F.col("h").alias("hy"), F.col("c").alias("ry")), "hy", "left")
-    # a word is in the head or in the join, never in both; a pair's own key is no word but by a clash of 64 bits
-    one = lambda known, joined, zero: F.when(known != 0, known).otherwise(F.coalesce(joined, F.lit(zero)))
-    both = both.select("before", "h", "docs", one(F.col("cx"), "rx", 0).alias("c_before"), one(F.col("cy"), "ry", 0).alias("c"), one(F.col("sx"), "rs", 0.0).alias("s_before"))
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            before, after = (batch.column(k).to_numpy().view(np.uint64) for k in ("before", "h"))
-            g = gram(before, after)
-            part = shard_of(place_of(before, g, shared.value.hot), shared.value.parts)
-            # a bigram that no probe can find goes anywhere
-            idle = batch.column("s_before").to_numpy() <= 0
-            part[idle] = (g[idle] % np.uint64(shared.value.parts)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32)), pa.array(mix(mix(before) + g).view(np.int64))], names=[*batch.schema.names, "part", "key"])
-
-    kinds = "before long, h long, docs long, c_before long, c long, s_before double"
-    probes = both.mapInArrow(lean(keyed), f"{kinds}, part int, key long").unionByName(shards, allowMissingColumns=True)
-
-    def probe(t: pa.Table) -> pa.Table | None:
-        own = t.filter(pc.is_valid(t["data"]))
-        t = t.filter(pc.is_null(t["data"]))
-        q, s = np.zeros(len(t)), t["s_before"].to_numpy()
-        if len(own):
-            one = Shards(np.frombuffer(own["data"][0].as_py(), np.uint8), np.array([0]), np.array([own["bits"][0].as_py()]), presence)
-            at = np.flatnonzero(s > 0)
-            q[at] = value(one.levels(np.zeros(len(at), np.int64), t["key"].to_numpy().view(np.uint64)[at]))
-        lp = shared.value.smoothed(q, t["c_before"].to_numpy(), s, t["c"].to_numpy())
-        return t.select(["before", "h", "docs", "c"]).append_column("lp", pa.array(lp))
-
-    grams = stage(map_groups(probes, ["part"], probe, "before long, h long, docs long, c long, lp double", model.parts), "scores")
-    total = grams.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
-
-    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        held: list[tuple[np.ndarray, ...]] = []
+        ids: list[pa.Array] = []
         for batch in batches:
-            ids = batch.column(1)
+            train = batch.column(2).to_numpy(zero_copy_only=False)
             for p, texts in text_pieces(batch.column(0)):
                 words, b, a, owner = bigrams(texts)
-                (o, x, y), n = _runs(owner, b, a)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row + o), ids.slice(p.start, p.stop - p.start).take(pa.array(o)), pa.array(words[x].view(np.int64)), pa.array(words[y].view(np.int64)), pa.array(n)],
-                    names=["row", "doc_id", "before", "h", "n"],
-                )
-                row += p.stop - p.start
-
-    rows = spread_join(docs.mapInArrow(lean(occurrences), "row long, doc_id long, before long, h long, n long"), grams, ["before", "h"], "docs", total)
-    below = F.lit(float(model.tokens + model.vocabulary + 1))
-    out = rows.groupBy("row", "doc_id").agg(
-        F.sum("n").alias("n_tokens"),
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("n") * F.log10((F.col("c") + 1) / below)).alias("base_score"),
-        F.sum(F.col("n") * F.col("lp")).alias("score"),
-    )
-    return own.keep(_named(out, model.tokens), grams)
+                pair, n = np.unique((b * np.int64(len(words)) + a) * np.int64(len(texts)) + owner, return_counts=True)
+                pair, owner = pair // len(texts), pair % len(texts)
+                number = 2 * (owner + sum(map(len, ids))) + train[p][owner]
+                held.append((words[pair // len(words)], gram(words[pair % len(words)]), number, n))
+                ids.append(batch.column(1).slice(p.start, len(texts)))
+                if sum(len(x[0]) for x in held) > HELD:
+                    yield packed(row, held, ids)
+                    row += sum(map(len, ids))
+                    held, ids = [], []
+        if held:
+            yield packed(row, held, ids)
+
+    rows = docs.select("text", "doc_id", "train").mapInArrow(lean(emit), ", ".join(f"{k} {v}" for k, v in kinds.items()))
+    return rows.repartitionById(reducers, F.col("reducer")).sortWithinPartitions("part")
+
+
+@dataclass
+class Part:
+    """A part's distinct bigrams: histories (h, and of each bigram which), grams, counts of training rows. Each text's use of
+    a bigram: which, the text's place (texts in the order of rows), how often."""
+
+    h: np.ndarray
+    of: np.ndarray
+    grams: np.ndarray
+    counts: np.ndarray
+    which: np.ndarray
+    place: np.ndarray
+    n: np.ndarray
+    presence: int
+
+    @classmethod
+    def of_rows(cls, rows: list[Row], presence: int) -> Part:
+        join = lambda name, kind: np.frombuffer(b"".join(r[name] for r in rows), kind)
+        h, code = np.unique(join("before", np.uint64), return_inverse=True)
+        grams = join("high", np.uint8).astype(np.uint64) << np.uint64(32) | join("low", np.uint32)
+        key, back = np.unique(np.repeat(code.astype(np.uint64), join("run", np.uint32)) << np.uint64(40) | grams, return_inverse=True)
+        which, owner, n = np.repeat(back, join("times", np.uint32)), join("owner", np.uint32), join("n", np.uint32)
+        counts = np.bincount(which, n * (owner & np.uint32(1)), len(key)).astype(np.int64)
+        start = np.concatenate([[0], np.cumsum([r["docs"] for r in rows])])[:-1]
+        place = (owner >> np.uint32(1)) + np.repeat(start, [len(r["owner"]) // 4 for r in rows])
+        return cls(h, (key >> np.uint64(40)).astype(np.int64), key & np.uint64((1 << 40) - 1), counts, which, place, n, presence)
+
+    def probed(self, at: np.ndarray) -> np.ndarray:
+        """The counts of the bigrams at those places, by probes of the part's shard."""
+        if not hasattr(self, "shard"):
+            seen = self.counts > 0
+            data, bits = build(self._keys(seen), level(self.counts[seen]), self.presence)
+            self.shard = Shards(np.frombuffer(data, np.uint8), np.zeros(1, np.int64), np.array([bits]), self.presence)
+        return value(self.shard.levels(np.zeros(len(at), np.int64), self._keys(at)))
+
+    def _keys(self, at: np.ndarray) -> np.ndarray:
+        return mix(mix(self.h[self.of[at]]) + self.grams[at])
+
+    def held(self, at: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each history, what its bigrams at those places hold as the filter answers, and their number."""
+        return np.bincount(self.of[at], q, len(self.h)), np.bincount(self.of[at], minlength=len(self.h))
+
+
+def _places(hot: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of h are hot, and where in hot."""
+    at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+    mine = np.flatnonzero(hot[at] == h) if len(hot) else np.empty(0, np.int64)
+    return mine, at[mine]
+
+
+def _scored_apart(docs: DataFrame, model: Model, hot_c: np.ndarray, n_texts: int, every: DataFrame, in_head: Column, presence: int, own: Scope) -> DataFrame:
+    """The scores where shards are made: nothing that grows with the corpus is gathered, or shuffled twice.
+
+    The bigrams of all texts go to their parts once, and the parts are read twice: for the discount and what hot histories
+    hold, then for the scores. A part has all bigrams of its other histories, so it knows these words' counts too, and what
+    each brings to its texts' base scores. A bigram's second word has its count from the broadcast head; for words outside it
+    the part says what the count is put into (a + b * base), and they are joined.
+    """
+    spark = docs.sparkSession
+    sc = spark.sparkContext
+    small_batches(spark)
+    counts = every.where("c > 0").select("h", "c")
+    top = counts.where(in_head).toArrow()
+    names, code = np.unique(gram(np.append(top["h"].to_numpy().view(np.uint64), END)), return_inverse=True)
+    # END is in the head whatever its count
+    known = np.bincount(code, np.append(np.where(top["h"].to_numpy() == END.view(np.int64), 0, top["c"].to_numpy()), n_texts), len(names)).astype(np.int64)
+    head = sc.broadcast((names, known))
+    del top, names, code, known
+    give_back()
+    reducers = min(model.parts, max(REDUCERS, model.tokens // GROUP))
+    hot = model.hot
+    dealt = _dealt(docs, sc.broadcast(hot), model.parts, reducers).rdd  # both readings are of one shuffle
+
+    def learnt(rows: Iterator[Row]) -> Iterator[tuple[np.ndarray, ...]]:
+        once, mass, types = np.zeros(2, np.int64), np.zeros(len(hot)), np.zeros(len(hot), np.int64)
+        for _, group in itertools.groupby(rows, lambda r: r["part"]):
+            p = Part.of_rows(list(group), presence)
+            once += [(p.counts == 1).sum(), (p.counts == 2).sum()]
+            mine, at = _places(hot, p.h)
+            if len(mine):
+                bigram = np.flatnonzero((p.counts > 0) & np.isin(p.of, mine))
+                m, t = p.held(bigram, p.probed(bigram))
+                mass[at] += m[mine]
+                types[at] += t[mine]
+            del p
+            give_back()
+        yield once, mass, types
+
+    (singles, twos), mass, types = dealt.mapPartitions(learnt).treeReduce(lambda x, y: tuple(a + b for a, b in zip(x, y, strict=True)))
+    model.discount = float(singles / (singles + 2 * twos)) if singles else 0.75
+    hot_s = mass - model.discount * types
+    below = float(model.tokens + model.vocabulary + 1)
+
+    def batch_of(**columns: np.ndarray | pa.Array) -> tuple[bytes]:
+        batch = pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as out:
+            out.write_batch(batch)
+        return (sink.getvalue().to_pybytes(),)
+
+    def scores(rows: Iterator[Row]) -> Iterator[tuple[bytes]]:
+        sums: dict[int, np.ndarray] = {}  # by the first row of texts that came together
+        for _, group in itertools.groupby(rows, lambda r: r["part"]):
+            came = list(group)
+            p = Part.of_rows(came, presence)
+            c = np.bincount(p.of, p.counts, len(p.h))
+            seen = np.flatnonzero(p.counts)
+            q = np.zeros(len(p.of))
+            q[seen] = p.probed(seen)
+            m, t = p.held(seen, q[seen])
+            s = m - model.discount * t
+            mine, at = _places(hot, p.h)
+            c[mine], s[mine] = hot_c[at], hot_s[at]
+            q[s[p.of] <= 0] = 0
+            other = np.flatnonzero((p.counts == 0) & (s[p.of] > 0))
+            q[other] = p.probed(other)
+            c_after = find(head.value, p.grams)[0]
+            lp = model.smoothed(q, c[p.of], s[p.of], c_after)
+            lost = c_after == 0
+            lp[lost] = 0
+            begins = p.h == BEGIN
+            base, there = np.where(begins, 0, np.log10((c + 1) / below)), (c > 0) & ~begins
+            total = sum(r["docs"] for r in came)
+            of = p.of[p.which]
+            columns = np.stack([np.bincount(p.place, p.n * x, total) for x in (1, there[of], base[of], lp[p.which])])
+            start = 0
+            for r in came:
+                mine = columns[:, start : start + r["docs"]]
+                start += r["docs"]
+                sums[r["row"]] = sums[r["row"]] + mine if r["row"] in sums else mine.copy()
+                if r["ids"] is not None:
+                    # each text ends once
+                    sums[r["row"]] += np.array([[0], [n_texts > 0], [math.log10((n_texts + 1) / below)], [0]])
+                    ids = pa.array(np.frombuffer(r["ids"], np.int64), mask=np.frombuffer(r["void"], bool))
+                    yield batch_of(row=r["row"] + np.arange(r["docs"]), doc_id=ids)
+            use = np.flatnonzero(lost[p.which])
+            if len(use):
+                row = np.repeat([r["row"] for r in came], [r["docs"] for r in came]) + np.concatenate([np.arange(r["docs"]) for r in came])
+                w = p.which[use]
+                a, b = model.mixture(q[w], c[p.of[w]], s[p.of[w]])
+                yield batch_of(row=row[p.place[use]], h=p.grams[w].astype(np.int64), a=a, b=b, n=p.n[use].astype(np.int64))
+            del p, came
+            give_back()
+        for row, (size, there, base, score) in sums.items():
+            yield batch_of(row=row + np.arange(len(size)), n_tokens=size.astype(np.int64), n_known=there.astype(np.int64), base_score=base, score=score)
+
+    shape = {"row": "long", "doc_id": "long", "n_tokens": "long", "n_known": "long", "base_score": "double", "score": "double", "h": "long", "a": "double", "b": "double", "n": "long"}
+    schema = pa.schema([(k, pa.int64() if v == "long" else pa.float64()) for k, v in shape.items()])
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blob in (x.as_buffer() for batch in batches for x in batch.column(0)):
+            for b in pa.ipc.open_stream(blob):
+                yield pa.RecordBatch.from_arrays([b.column(f.name) if f.name in b.schema.names else pa.nulls(b.num_rows, f.type) for f in schema], schema=schema)
+
+    blobs = spark.createDataFrame(dealt.mapPartitions(scores), "batch binary")
+    rows = stage(blobs.mapInArrow(lean(opened), ", ".join(f"{k} {v}" for k, v in shape.items())), "scores")
+    rest = counts.where(~in_head).groupBy(F.shiftrightunsigned("h", 24).alias("h")).agg(F.sum("c").alias("c"))
+    p = F.col("a") + F.col("b") * (F.coalesce("c", F.lit(0)) + 1) / F.lit(below)
+    late = rows.where("n IS NOT NULL").select("row", "h", "a", "b", "n").join(rest, "h", "left").select("row", (F.col("n") * F.log10(p)).alias("score"))
+    sums_of = ["n_tokens", "n_known", "base_score", "score"]
+    out = rows.where("n IS NULL").select("row", "doc_id", *sums_of).unionByName(late, allowMissingColumns=True)
+    out = out.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(k).alias(k) for k in sums_of])
+    return own.keep(_named(out, model.tokens), rows, every)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gramlake.llm import bloom_lm, maglev, metric_join, mixing, pieces, quality, runtime, superminhash, toxicity, url_cascade, viterbi_count
 from gramlake.llm.queries import tokenizer
+from gramlake.llm.text import word_hashes
 from tests.llm.helpers import DOCS, crc, near_groups, prose, rows, words
 
 
@@ -155,6 +156,32 @@ def test_lm_scores_of_texts_that_start_alike_are_the_same_in_both_forms(spark, m
             assert score() == want
 
 
+def test_lm_reads_texts_twice_and_gathers_no_filter_where_it_is_large(spark, monkeypatch):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    data = [(k, prose(k, 40), "en", "s", 1) for k in range(60)]
+    docs = spark.createDataFrame(data, DOCS).withColumn("text", counted("text"))
+    monkeypatch.setattr(bloom_lm, "MAX_BYTES", 1000)
+    monkeypatch.setattr(bloom_lm, "_collected", None)
+    assert bloom_lm.scored(docs).count() == 60
+    assert read.value == 120  # for words, and for bigrams that both teach and ask
+
+
+def test_lm_deals_a_word_of_held_out_rows_alone_by_its_bigrams(spark, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "PART", 100)
+    monkeypatch.setattr(bloom_lm, "MAX_BYTES", 100)
+    held, old = [], bloom_lm._dealt
+    monkeypatch.setattr(bloom_lm, "_dealt", lambda docs, hot, *a: held.append(hot.value) or old(docs, hot, *a))
+    data = [(k, " ".join(f"zzz w{k}x{j}" if crc(k) % 7 == 2 else f"w{j}" for j in range(20)), "en", "s", 1) for k in range(60)]
+    assert bloom_lm.scored(spark.createDataFrame(data, DOCS)).count() == 60
+    assert word_hashes([b"zzz"])[0] in held[0]
+
+
 def plain_bigrams(data):
     """Counts of words and bigrams (None begins and 0 ends a text) of the training rows."""
     one, two = collections.Counter(), collections.Counter()
