@@ -7,11 +7,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramlake.operators.bounded import kd_nearest
-from gramlake.session import table
+from gramlake.session import saved, table
 
 #: Reference points, and bytes of them, up to which a neighbour search broadcasts them as one matrix; beyond, the grid join is used.
 BROADCAST_POINTS, BROADCAST_BYTES = 50_000, 32 << 20
@@ -19,6 +20,9 @@ BROADCAST_POINTS, BROADCAST_BYTES = 50_000, 32 << 20
 MATRIX = 1 << 20
 #: Boxes of one side that a task pairs with as many of the other in a cell of a box join.
 BLOCK_ROWS = 4_096
+#: Pairs of points of two cells of a variogram from which on they are measured as arrays. A cell is cut into blocks of one in
+#: BLOCKS of all rows, or BLOCK_ROWS, each of which meets each block of the other, in TASKS tasks at most; rows of a tile of a block.
+DENSE_PAIRS, BLOCKS, TASKS, TILE_ROWS = 65_536, 32, 256, 256
 #: Values of an axis of a rectilinear grid, which come to the driver.
 MAX_AXIS = 10_000
 
@@ -168,32 +172,171 @@ def overlap_seconds(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.greatest(F.lit(0), F.unix_timestamp(F.least(e1, e2).cast("timestamp")) - F.unix_timestamp(F.greatest(s1, s2).cast("timestamp")) + 1)
 
 
-def pairs_within(points: DataFrame, axes: Sequence[str], value: str, radius: float) -> DataFrame:
-    """(i, j, distance, half_square, d_<axis>): every pair of points within radius, once, by a grid equi-join on cells of that size."""
+def pairs_within(points: DataFrame, axes: Sequence[str], value: str, radius: float, without: DataFrame | None = None) -> DataFrame:
+    """(i, j, distance, half_square, d_<axis>): every pair of points within radius, once, by a grid equi-join on cells of that size.
+
+    without: pairs of cells (g0, .., c0, ..) whose points are left out."""
     cell = lambda a: F.floor(F.col(a) / F.lit(float(radius))).cast("long")
     left = points.select(F.col("pid").alias("i"), *[F.col(a).alias(f"a_{a}") for a in axes], F.col(value).alias("va"), *[cell(a).alias(f"g{j}") for j, a in enumerate(axes)])
     right = points.select(F.col("pid").alias("j"), *[F.col(a).alias(f"b_{a}") for a in axes], F.col(value).alias("vb"), *[cell(a).alias(f"c{j}") for j, a in enumerate(axes)])
     for j in range(len(axes)):
         right = right.select("*", F.explode(F.sequence(F.col(f"c{j}") - 1, F.col(f"c{j}") + 1)).alias(f"g{j}"))
+    if without is not None:
+        right = right.join(without, [f"{s}{j}" for s in "gc" for j in range(len(axes))], "left_anti")
     out = left.join(right, [f"g{j}" for j in range(len(axes))]).where("i < j")
     out = out.withColumn("distance", F.sqrt(squared_distance([f"a_{a}" for a in axes], [f"b_{a}" for a in axes]))).where(F.col("distance") <= radius)
     return out.select("i", "j", "distance", (0.5 * (F.col("va") - F.col("vb")) ** 2).alias("half_square"), F.abs(F.col("va") - F.col("vb")).alias("gap"), *[(F.col(f"b_{a}") - F.col(f"a_{a}")).alias(f"d_{a}") for a in axes])
 
 
+class Tile:
+    """Rows that lie together: ids, axes, values and which are there, with their box and, of each row, 1, there, value, its square."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, v: np.ndarray, there: np.ndarray):
+        self.ids, self.x, self.v, self.there = ids, x, v, there
+        self.lo, self.hi = x.min(1), x.max(1)
+        self.finite = bool(np.isfinite(v).all())
+        self.powers = np.stack([np.ones(len(v)), there, v, v * v], 1)
+
+
+def _tiles(t: pa.Table, axes: Sequence[str]) -> list[Tile]:
+    """Tiles of strips of the first axis, cut on the second."""
+    ids, v = (t[c].to_numpy() for c in ("pid", "value"))
+    there = t["value"].is_valid().to_numpy()
+    x = np.stack([t[a].to_numpy() for a in axes])
+    order = np.argsort(x[0], kind="stable")
+    if len(axes) > 1:
+        strip = np.empty(len(ids), np.int64)
+        strip[order] = np.arange(len(ids)) // max(TILE_ROWS, math.ceil(math.sqrt(len(ids) * TILE_ROWS)))
+        order = np.lexsort((x[1], strip))
+    return [Tile(ids[k], x[:, k], np.where(there[k], v[k], 0), there[k]) for k in (order[lo : lo + TILE_ROWS] for lo in range(0, len(order), TILE_ROWS))]
+
+
+def _distances(a: Tile, b: Tile, room: np.ndarray) -> np.ndarray:
+    d, step = (r[: len(a.ids) * len(b.ids)].reshape(len(a.ids), len(b.ids)) for r in room[:2])
+    np.subtract(a.x[0][:, None], b.x[0], out=d)
+    np.multiply(d, d, out=d)
+    for p, q in zip(a.x[1:], b.x[1:], strict=True):
+        np.subtract(p[:, None], q, out=step)
+        np.multiply(step, step, out=step)
+        np.add(d, step, out=d)
+    return np.sqrt(d, out=d)
+
+
+def _tile_sums(a: Tile, b: Tile, same: bool, twice: bool, edges: np.ndarray, robust: bool, unit: np.ndarray | None, least: float, room: np.ndarray) -> np.ndarray:
+    """Of the pairs of two tiles, for each bin: their number, the sum of distances, how many have both values, what gamma sums.
+
+    same: a and b are one tile, whose pairs count once. twice: an id may be in both, which is no pair. room: for three
+    matrices of the tiles' pairs.
+    """
+    last = len(edges) - 1
+    out = np.zeros((4, last))
+    gap = np.maximum(0, np.maximum(a.lo - b.hi, b.lo - a.hi))
+    reach = np.maximum(a.hi - b.lo, b.hi - a.lo)
+    low, high = (int(k) - 1 for k in np.searchsorted(edges, [math.sqrt(sum(g * g for g in gap)), math.sqrt(sum(g * g for g in reach))]))
+    if low >= last or high < 0:
+        return out
+    d = _distances(a, b, room)
+    if not (same or twice or robust) and unit is None and a.finite and b.finite:
+        # sums up to each edge that parts the pairs; the differences are the bins'
+        m = room[2][: d.size].reshape(d.shape)
+        begun = np.zeros(4)
+        for k in range(low + 1, min(high, last - 1) + 2):
+            if k <= high:
+                np.less_equal(d, edges[k], out=m)
+                f, far = m @ b.powers, np.vdot(m, d)
+            else:
+                f, far = np.broadcast_to(b.powers.sum(0), (len(a.ids), 4)), d.sum()
+            w, v, vv = a.powers[:, 1:].T
+            sums = np.array([f[:, 0].sum(), far, w @ f[:, 1], 0.5 * (vv @ f[:, 1] + w @ f[:, 3]) - v @ f[:, 2]])
+            if k:
+                out[:, k - 1] = sums - begun
+            begun = sums
+        return out
+    kept = a.ids[:, None] != b.ids
+    if same:
+        kept = np.triu(kept, 1)
+    if unit is not None:
+        kept &= np.abs(sum((q - p[:, None]) * u for p, q, u in zip(a.x, b.x, unit, strict=True))) >= d * least
+    for k in range(max(low, 0), min(high, last - 1) + 1):
+        r, c = np.nonzero(kept & (d > edges[k]) & (d <= edges[k + 1]))
+        out[:2, k] = len(r), d[r, c].sum()
+        both = a.there[r] & b.there[c]
+        g = np.abs(a.v[r[both]] - b.v[c[both]])
+        out[2:, k] = len(g), (np.sqrt(g) if robust else 0.5 * g * g).sum()
+    return out
+
+
+def _dense_sums(cells: DataFrame, dense: DataFrame, axes: Sequence[str], edges: Sequence[float], robust: bool, direction: Sequence[float] | None, least: float) -> DataFrame:
+    """(bin, pairs, far, valued, total): sums over the pairs of points of the dense pairs of cells (g0, .., c0, .., n, m).
+
+    A cell is cut into blocks, and each pair of blocks is measured by one task, a pair of tiles at a time. A row is copied a
+    bounded number of times, as blocks grow with the rows.
+    """
+    g, c = ([f"{s}{j}" for j in range(len(axes))] for s in "gc")
+    bounds, unit = np.array(edges, float), None if direction is None else np.array(direction, float) / math.sqrt(sum(x * x for x in direction))
+    size = max(BLOCK_ROWS, -(-cells.count() // BLOCKS))
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(size)).cast("int")
+    tasks = min(TASKS, dense.agg(F.sum(blocks("n") * blocks("m"))).first()[0] or 1)
+    block = lambda n: F.pmod(F.xxhash64("pid", *axes), blocks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    left = cells.join(dense, g).select("*", block("n").alias("ka"), every("m").alias("kb"))
+    again = [F.col(x).alias(x) for x in ("pid", *axes, "value")]
+    right = cells.select(*again, *[F.col(x).alias(y) for x, y in zip(g, c, strict=True)]).join(dense, c).select("*", block("m").alias("kb"), every("n").alias("ka"))
+    once = " AND ".join(f"{x} = {y}" for x, y in zip(g, c, strict=True))
+    keys = [*g, *c, "ka", "kb"]
+    left, right = (df.where(f"NOT ({once}) OR ka <= kb").select(*keys, "pid", *axes, "value").repartition(tasks, *keys) for df in (left, right))
+
+    def measured(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        at = [k.as_py() for k in key]
+        same = at[: len(axes)] == at[len(axes) : -2] and at[-2] == at[-1]
+        tiles = _tiles(a, axes)
+        others = tiles if same else _tiles(b, axes)
+        twice = len(np.unique(a["pid"].to_numpy())) < len(a) if same else bool(len(np.intersect1d(a["pid"].to_numpy(), b["pid"].to_numpy())))
+        room = np.empty((3, TILE_ROWS * TILE_ROWS))
+        out = np.zeros((4, len(bounds) - 1))
+        for i, p in enumerate(tiles):
+            for j in range(i if same else 0, len(others)):
+                out += _tile_sums(p, others[j], same and i == j, twice, bounds, robust, unit, least, room)
+        return pa.table({"bin": pa.array(range(len(bounds) - 1), pa.int32()), "pairs": out[0].astype(np.int64), "far": out[1], "valued": out[2].astype(np.int64), "total": out[3]})
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(measured, "bin int, pairs long, far double, valued long, total double")
+
+
 def variogram(points: DataFrame, axes: Sequence[str], value: str, edges: Sequence[float], robust: bool = False, direction: Sequence[float] | None = None, tolerance: float = 22.5) -> DataFrame:
     """(bin, pairs, distance, gamma) for bins (lo, hi] of pair distance; empty bins are absent.
 
-    robust: Cressie and Hawkins's estimator. direction: pairs within tolerance degrees of it, either way.
+    robust: Cressie and Hawkins's estimator. direction: pairs within tolerance degrees of it, either way. Every pair is
+    measured: those of cells with few points by a join, those of others as arrays, in blocks.
     """
-    pairs = pairs_within(points, axes, value, float(edges[-1]))
+    radius, least = float(edges[-1]), math.cos(math.radians(tolerance)) * (1 - 1e-12)
+    g, c = ([f"{s}{j}" for j in range(len(axes))] for s in "gc")
+    points = points.select("pid", *[F.col(a).cast("double").alias(f"axis{j}") for j, a in enumerate(axes)], F.col(value).cast("double").alias("value"))
+    axes = [f"axis{j}" for j in range(len(axes))]
+    there = " AND ".join(["pid IS NOT NULL", *[f"{a} IS NOT NULL AND NOT isnan({a})" for a in axes]])
+    cells = points.where(there).select("*", *[F.floor(F.col(a) / F.lit(radius)).cast("long").alias(x) for a, x in zip(axes, g, strict=True)])
+    sizes = cells.groupBy(*g).agg(F.count("*").alias("n"))
+    dense = None
+    if (sizes.agg(F.max("n")).first()[0] or 0) ** 2 > DENSE_PAIRS:
+        near = sizes.select(*[F.col(x).alias(y) for x, y in zip(g, c, strict=True)], F.col("n").alias("m"))
+        for x, y in zip(g, c, strict=True):
+            near = near.select("*", F.explode(F.sequence(F.col(y) - 1, F.col(y) + 1)).alias(x))
+        dense = saved(sizes.join(near, g).where(F.col("n") * F.col("m") > DENSE_PAIRS))
+    pairs = pairs_within(points, axes, "value", radius, None if dense is None else dense.select(*g, *c))
     if direction is not None:
         norm = math.sqrt(sum(x * x for x in direction))
         along = F.abs(sum((F.col(f"d_{a}") * (x / norm) for a, x in zip(axes, direction, strict=True)), F.lit(0.0)))
-        pairs = pairs.where(along >= F.col("distance") * math.cos(math.radians(tolerance)) * (1 - 1e-12))
+        pairs = pairs.where(along >= F.col("distance") * least)
     pairs = pairs.withColumn("bin", sum((F.when(F.col("distance") > F.lit(float(e)), 1).otherwise(0) for e in edges), F.lit(0)) - 1).where("bin >= 0")
-    m = F.count("*")
-    gamma = 0.5 * F.pow(F.avg(F.sqrt("gap")), 4) / (0.457 + 0.494 / m + 0.045 / m / m) if robust else F.avg("half_square")
-    return pairs.groupBy("bin").agg(m.alias("pairs"), F.avg("distance").alias("distance"), gamma.alias("gamma"))
+    kept = F.sqrt("gap") if robust else F.col("half_square")
+    sums = pairs.groupBy("bin").agg(F.count("*").alias("pairs"), F.sum("distance").alias("far"), F.count(kept).alias("valued"), F.sum(kept).alias("total"))
+    if dense is not None:
+        # a pair of cells once
+        first = F.struct(*g) <= F.struct(*c)
+        sums = sums.unionByName(_dense_sums(cells, dense.where(first), axes, edges, robust, direction, least))
+        sums = sums.groupBy("bin").agg(*[F.sum(x).alias(x) for x in ("pairs", "far", "valued", "total")]).where("pairs > 0")
+    m, mean = F.col("pairs"), F.try_divide("total", "valued")
+    gamma = 0.5 * F.pow(mean, 4) / (0.457 + 0.494 / m + 0.045 / m / m) if robust else mean
+    return sums.select("bin", "pairs", (F.col("far") / m).alias("distance"), gamma.alias("gamma"))
 
 
 def sparse_product(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from gramlake.operators import pairs
+from gramlake.operators import joins, pairs
 
 EDGES = [0.0, 0.1, 0.2, 0.4, 0.8]
 
@@ -62,3 +62,44 @@ def test_variograms_of_nothing(spark):
     for rows in (df.limit(0), df.where("pid = 0")):
         assert pairs.sampled_variogram(rows, ["x", "y"], "v", EDGES, 100).collect() == []
         assert pairs.cell_variogram(rows, ["x", "y"], "v", EDGES).collect() == []
+
+
+def _brute_variogram(rows, edges, robust=False, direction=None, tolerance=22.5):
+    rows = [r for r in rows if None not in r[:3]]
+    ids, xy = np.array([r[0] for r in rows]), np.array([r[1:3] for r in rows], float)
+    v, there = np.array([r[3] or 0.0 for r in rows]), np.array([r[3] is not None for r in rows])
+    i, j = np.triu_indices(len(rows), 1)
+    i, j = i[ids[i] != ids[j]], j[ids[i] != ids[j]]
+    step = xy[j] - xy[i]
+    d = np.sqrt((step**2).sum(1))
+    along = np.ones(len(d), bool)
+    if direction is not None:
+        along = np.abs(step @ direction) / np.linalg.norm(direction) >= d * np.cos(np.radians(tolerance)) * (1 - 1e-12)
+    out = {}
+    for k in range(len(edges) - 1):
+        m = (d > edges[k]) & (d <= edges[k + 1]) & along
+        both = m & there[i] & there[j]
+        g = np.abs(v[i[both]] - v[j[both]])
+        n = m.sum()
+        if n:
+            out[k] = (n, d[m].mean(), 0.5 * np.sqrt(g).mean() ** 4 / (0.457 + 0.494 / n + 0.045 / n / n) if robust else (0.5 * g**2).mean())
+    return out
+
+
+def test_variogram_measures_crowded_cells_as_arrays(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    rows = [(k, *map(float, r.normal(size=2) * 0.1), float(r.normal())) for k in range(900)]
+    rows += [(900 + k, *rows[7][1:3], None if k % 3 else 2.0) for k in range(300)]  # at one place, most without a value
+    rows += [(5, 0.3, 0.3, 1.0), (None, 0.1, 0.1, 1.0), (2000, None, 0.1, 1.0), (2001, 1.4, 1.4, 3.0), (2002, 1.5, 1.4, 4.0)]
+    points = spark.createDataFrame(rows, "pid long, x double, y double, v double")
+    edges = [0.0, 0.1, 0.3, 0.6]
+    joined, old = [], joins.pairs_within
+    monkeypatch.setattr(joins, "pairs_within", lambda *a: joined.append(old(*a)) or joined[-1])
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 150)
+    monkeypatch.setattr(joins, "DENSE_PAIRS", 200)
+    for options in ({}, {"robust": True}, {"direction": [1.0, 2.0]}):
+        got = {x["bin"]: (x["pairs"], x["distance"], x["gamma"]) for x in joins.variogram(points, ["x", "y"], "v", edges, **options).collect()}
+        want = _brute_variogram(rows, edges, **options)
+        assert got.keys() == want.keys()
+        assert all(got[k][0] == want[k][0] and np.allclose(got[k][1:], want[k][1:], rtol=1e-9) for k in want)
+    assert joined[0].count() < 2000  # of some 700,000
