@@ -478,6 +478,17 @@ def _named(out: DataFrame, n_tokens: int) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def _small(x: np.ndarray) -> bytes:
+    """32-bit numbers, the bytes of each place together, compressed."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T), codec="zstd", asbytes=True)
+
+
+def _large(packed: list[bytes], sizes: list[int]) -> np.ndarray:
+    """The numbers of all that was packed, sizes of each, in a row."""
+    planes = [np.frombuffer(pa.decompress(x, 4 * n, codec="zstd"), np.uint8).reshape(4, n) for x, n in zip(packed, sizes, strict=True)]
+    return np.ascontiguousarray(np.concatenate(planes, axis=1).T).view(np.uint32).ravel()
+
+
 def _dealt(docs: DataFrame, hot, parts: int, reducers: int) -> DataFrame:
     """The bigrams of docs (text, doc_id, train), by part and in one shuffle: what the filter learns and what it is asked.
 
@@ -506,11 +517,12 @@ def _dealt(docs: DataFrame, hot, parts: int, reducers: int) -> DataFrame:
         at = np.append(np.searchsorted(part, some), len(part))
         at_head, at_first = np.searchsorted(head, at), np.searchsorted(first, at)
         cut = lambda x, where: [x[lo:hi].tobytes() for lo, hi in itertools.pairwise(where)]
+        small = lambda x, where: [_small(x[lo:hi]) for lo, hi in itertools.pairwise(where)]
         column = pa.concat_arrays(ids)
         blank = [None] * (len(some) - 1)
         names = [pc.fill_null(column, 0).to_numpy().tobytes(), *blank], [column.is_null().to_numpy(zero_copy_only=False).tobytes(), *blank]
         of = np.full(len(some), row), np.full(len(some), len(column))
-        columns = [some * reducers // parts, some, *of, *names, cut(b, at_head), cut(run, at_head), cut(high, at_first), cut(low, at_first), cut(times, at_first), cut(o, at), cut(n, at)]
+        columns = [some * reducers // parts, some, *of, *names, cut(b, at_head), small(run, at_head), cut(high, at_first), cut(low, at_first), small(times, at_first), small(o, at), small(n, at)]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -554,13 +566,18 @@ class Part:
     @classmethod
     def of_rows(cls, rows: list[Row], presence: int) -> Part:
         join = lambda name, kind: np.frombuffer(b"".join(r[name] for r in rows), kind)
+        large = lambda name, sizes: _large([r[name] for r in rows], sizes)
         h, code = np.unique(join("before", np.uint64), return_inverse=True)
         grams = join("high", np.uint8).astype(np.uint64) << np.uint64(32) | join("low", np.uint32)
-        key, back = np.unique(np.repeat(code.astype(np.uint64), join("run", np.uint32)) << np.uint64(40) | grams, return_inverse=True)
-        which, owner, n = np.repeat(back, join("times", np.uint32)), join("owner", np.uint32), join("n", np.uint32)
+        run = large("run", [len(r["before"]) // 8 for r in rows])
+        key, back = np.unique(np.repeat(code.astype(np.uint64), run) << np.uint64(40) | grams, return_inverse=True)
+        of_row = [len(r["high"]) for r in rows]
+        times = large("times", of_row)
+        uses = np.add.reduceat(times, np.cumsum([0, *of_row[:-1]]), dtype=np.int64).tolist()
+        which, owner, n = np.repeat(back, times), large("owner", uses), large("n", uses)
         counts = np.bincount(which, n * (owner & np.uint32(1)), len(key)).astype(np.int64)
         start = np.concatenate([[0], np.cumsum([r["docs"] for r in rows])])[:-1]
-        place = (owner >> np.uint32(1)) + np.repeat(start, [len(r["owner"]) // 4 for r in rows])
+        place = (owner >> np.uint32(1)) + np.repeat(start, uses)
         return cls(h, (key >> np.uint64(40)).astype(np.int64), key & np.uint64((1 << 40) - 1), counts, which, place, n, presence)
 
     def probed(self, at: np.ndarray) -> np.ndarray:

@@ -182,6 +182,14 @@ def test_lm_deals_a_word_of_held_out_rows_alone_by_its_bigrams(spark, monkeypatc
     assert word_hashes([b"zzz"])[0] in held[0]
 
 
+def test_lm_small_numbers_are_packed():
+    r = np.random.default_rng(3)
+    rows = [r.integers(0, 1000, 15_000).astype(np.uint32), np.ones(5000, np.uint32), np.array([1 << 31, 7], np.uint32), np.arange(1, dtype=np.uint32)]
+    packed = [bloom_lm._small(x) for x in rows]
+    assert (bloom_lm._large(packed, [len(x) for x in rows]) == np.concatenate(rows)).all()
+    assert len(packed[0]) < 0.4 * rows[0].nbytes and len(packed[1]) < 0.01 * rows[1].nbytes
+
+
 def plain_bigrams(data):
     """Counts of words and bigrams (None begins and 0 ends a text) of the training rows."""
     one, two = collections.Counter(), collections.Counter()
